@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     )
     free_weight = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
     free_size = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0))
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * free_size.cast("double") / free_weight)
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.try_divide(F.col("weight") * free_size.cast("double"), free_weight.cast("double")))
     return capped.select("source", "source_size", target.alias("target"))
 
 
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     rows = k.join(r, same(F.col("k.source"), F.col("r.source")) & (F.col("k.range") == F.col("r.range"))).select("k.*", "r.range_before", "r.source_size", "r.target")
     within = W.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     prefix = F.col("range_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    epochs = F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0))
     rows = rows.withColumn("prefix", prefix).withColumn("epochs", epochs.cast("long"))
     left = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("prefix")))
