@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,15 @@ def id_bucket(doc_id: Column, n: int) -> Column:
 def doc_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the named columns: extra ones can't clash with an operator's own."""
     return df.select(*(F.col(f"`{c}`") for c in needed))
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries made inside give their shuffle files back when they end, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, quality, simhash, url_filter
+from . import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
