@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, url_filter
+from . import ann, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +42,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op9_nearest_neighbours, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
