@@ -159,8 +159,8 @@ def nearest(rows: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
 
     form = "ids binary, x binary, codes binary"
     index = checkpointed(rows.mapInArrow(packed(block, True), form))
-    groups = max(1, index.count())  # of one index block each, as a rule
-    index = index.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
+    groups = max(1, index.count())  # of about one index block each
+    index = index.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(packed(query_block, False), form)
     dealt = queries.select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
 

@@ -70,7 +70,12 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     largest counts. Equal keys are taken by doc_id; rows that repeat a doc_id
     are taken one after the other. No documents: no rows. Other columns are ignored.
     """
-    sized = doc_columns(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mixed_rows(docs, quality, weights, max_epochs, key_ranges).drop("text_key")
+
+
+def mixed_rows(docs: DataFrame, quality: DataFrame | None, weights: tuple[int, ...], max_epochs: int, key_ranges: int) -> DataFrame:
+    """mix() with text_key, which tells rows of one doc_id apart."""
+    sized = doc_columns(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
     if quality is not None:
         labels = doc_columns(quality, "doc_id", "quality").groupBy("doc_id").agg(F.max("quality").alias("_q"))
         sized = sized.join(labels, "doc_id", "left")
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     # u in (0, 1) from the first 52 bits of the id's digest: reruns and retries agree
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
     u = (bits.cast("double") + 0.5) / float(2**52)
-    keyed = sized.select("doc_id", "source", "size", (-F.log(u) / wt).alias("key"))
+    keyed = sized.select("doc_id", "source", "size", "text_key", (-F.log(u) / wt).alias("key"))
     # the key's own order, cut into ranges of about equal counts where weights are equal
     keyed = keyed.withColumn("range", F.floor((1 - F.exp(-F.col("key") * QUALITY_WEIGHT[None])) * key_ranges))
     by_range = keyed.groupBy("source", "range").agg(F.sum("size").alias("size"))
@@ -98,7 +103,19 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     rows = rows.withColumn("prefix", prefix).withColumn("epochs", epochs.cast("long"))
     left = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("prefix")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "text_key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, key_ranges: int = KEY_RANGES) -> DataFrame:
+    """The mixed corpus: every document, all its columns, as often as it is taken - whole, so taken / size is rounded.
+
+    A source misses its target by half a document at most. Documents without words are not taken.
+    """
+    taken = mixed_rows(docs, quality, weights, max_epochs, key_ranges).where("taken > 0")
+    times = taken.groupBy("doc_id", "text_key").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
+    times = times.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_times")
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & (F.xxhash64(docs["text"]) == times["_key"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 #: The whole query in DuckDB.
