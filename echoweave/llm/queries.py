@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, url_filter
+from . import ann, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op9_nearest_neighbours, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_suffix_dedup, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op9_nearest_neighbours, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
