@@ -5,8 +5,8 @@ predicts each bit. Decoding adds, over the bits, the logistic loss of the
 margin under each codeword, weighted by the bit's reliability; the language of
 the smallest loss wins, and a text whose two best are close is flagged.
 
-Scale: trained on a bounded sample (``SAMPLE_DOCS`` documents, dealt evenly to
-the languages, chosen by hash); prediction is one pass without a shuffle over
+Scale: trained on a bounded sample (about ``SAMPLE_DOCS`` documents, dealt evenly
+to the languages, chosen by hash); prediction is one pass without a shuffle over
 whole texts.
 """
 
@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import doc_columns, id_bucket
@@ -114,11 +113,13 @@ def train(docs: DataFrame) -> Model:
     """Learn from text and lang of documents outside the held-out fold; null langs and texts, and texts without letters, don't count."""
     docs = doc_columns(docs, "doc_id", "text", "lang")
     known = docs.where("doc_id is not null and text is not null and lang is not null").where(id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD)
-    n = known.select("lang").distinct().count()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    n = counts.count()
     if not n:
         return Model()
-    ranked = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    picked = ranked.where(F.col("nth") <= max(8, SAMPLE_DOCS // n)).select("doc_id").distinct().limit(max(8 * n, SAMPLE_DOCS))
+    # of each language the ids whose hash is below its share: no window holds a language
+    u = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.select("doc_id", "lang").join(counts, "lang").where(u < max(8, SAMPLE_DOCS // n) / F.col("rows")).select("doc_id").distinct().limit(max(16 * n, 2 * SAMPLE_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
