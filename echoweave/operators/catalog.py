@@ -45,7 +45,7 @@ def page(df: DataFrame, number: int, order: Sequence[Column], size: int = PAGE)
 
 
 def renumber(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "queue_order") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
 
 
 def illegal_transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], status: str, allowed: dict[str, Sequence[str]]) -> DataFrame:

@@ -43,7 +43,7 @@ def merge_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
 def runs_where(df: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column, least: int = 1) -> DataFrame:
     """Runs of rows that meet a condition, of ``least`` rows or more: run, n, first_pos (from 1)."""
     w = ordered(keys, order)
-    marked = df.withColumn("_hit", F.coalesce(condition, F.lit(False))).withColumn("_pos", F.row_number().over(w))
+    marked = df.withColumn("_hit", F.coalesce(condition, F.lit(False))).withColumn("_pos", F.row_number().over(w).cast("long"))
     return label_runs(marked, keys, order, "_hit").where("_hit").groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first_pos")).where(F.col("n") >= least)
 
 
@@ -62,7 +62,7 @@ def dense_relabel(df: DataFrame, label: str, name: str = "new_label") -> DataFra
 def relabel_first_seen(df: DataFrame, label: str, at: str, name: str = "new_label") -> DataFrame:
     """Labels renumbered from 0 by their first occurrence, ties by label; negative labels stay."""
     first = df.where(F.col(label) >= 0).groupBy(label).agg(F.min(at).alias("_first"))
-    ranks = first.select(label, (F.row_number().over(W.orderBy("_first", label)) - 1).alias("_rank"))
+    ranks = first.select(label, (F.row_number().over(W.orderBy("_first", label)) - 1).cast("long").alias("_rank"))
     return df.join(ranks, label, "left").withColumn(name, F.coalesce("_rank", label)).drop("_rank")
 
 

@@ -78,7 +78,7 @@ def overlong_windows(df: DataFrame, lo: str, hi: str, capacity: int = 148, strid
 def pause_candidates(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, least: int) -> DataFrame:
     """Of each key the place with the largest max(duration, pause to the next) of at least ``least``, the earliest on a tie."""
     w = ordered(keys, order)
-    rows = df.withColumns({"pos": F.row_number().over(w), "_gap": F.greatest(F.col(end) - F.col(start), F.lead(start).over(w) - F.col(end)), "_last": F.lead(start).over(w).isNull()})
+    rows = df.withColumns({"pos": F.row_number().over(w).cast("long"), "_gap": F.greatest(F.col(end) - F.col(start), F.lead(start).over(w) - F.col(end)), "_last": F.lead(start).over(w).isNull()})
     best = F.struct(F.col("_gap").alias("gap"), (-F.col("pos")).alias("neg"))
     return rows.where(~F.col("_last") & (F.col("_gap") >= least)).groupBy(*keys).agg(F.max(best).alias("b")).select(*keys, F.col("b.gap").alias("gap_ms"), (-F.col("b.neg")).alias("pos"))
 

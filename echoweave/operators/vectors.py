@@ -217,5 +217,5 @@ def block_topk(queries: DataFrame, rows: DataFrame, node: str, vector: str, k: i
                 yield pa.RecordBatch.from_pandas(out[out["cos"] > -3], preserve_index=False)
 
     found = index.join(dealt, "g").select("q_ids", "q_x", "r_ids", "r_x").mapInArrow(scan, "query long, neighbour long, cos double")
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cos"), "neighbour"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cos"), "neighbour")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

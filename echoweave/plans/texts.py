@@ -50,7 +50,7 @@ def first_occurrence_index(spark: S, d: D) -> DataFrame:
 def glossary_normalize(spark: S, d: D) -> DataFrame:
     t = table(spark, d, "part").select("p_partkey", T.strip(F.col("p_type")).alias("term")).where("term <> ''")
     first = O.first_of_each(t, F.lower("term"), "p_partkey")
-    return first.select("term", F.row_number().over(W.orderBy(F.lower("term"))).alias("pos"))
+    return first.select("term", F.row_number().over(W.orderBy(F.lower("term"))).cast("long").alias("pos"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_name, length(p_name) AS n, round(p_retailprice * 3)::BIGINT AS len FROM part)

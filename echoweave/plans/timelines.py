@@ -184,7 +184,7 @@ def integrate_and_fire(spark: S, d: D) -> DataFrame:
     """No step is above the threshold, so a step fires where the running sum passes a multiple of it: a window instead of a fold."""
     w = runs.ordered(KEYS, ORDER)
     x = F.least(F.round(F.col("value") * 100), F.lit(5000)).cast("long")
-    t = tokens(spark, d).withColumns({"x": x, "pos": F.row_number().over(w)}).withColumn("c", F.sum("x").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    t = tokens(spark, d).withColumns({"x": x, "pos": F.row_number().over(w).cast("long")}).withColumn("c", F.sum("x").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return t.where(F.floor(F.col("c") / 5000) > F.floor((F.col("c") - F.col("x")) / 5000)).select("user_id", "pos")
 
 
@@ -250,7 +250,7 @@ def segments_from_turns(spark: S, d: D) -> DataFrame:
     from echoweave.functions.text import strip
 
     t = table(spark, d, "conversations").withColumn("text", strip(F.col("text"))).where("text <> ''")
-    return t.select("conv_id", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).alias("segment_id"), "role", "text")
+    return t.select("conv_id", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long").alias("segment_id"), "role", "text")
 
 
 @query("""WITH n AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id)

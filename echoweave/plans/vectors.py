@@ -216,7 +216,7 @@ def profile_health(spark: S, d: D) -> DataFrame:
 
 @query(PAIRS + BOTH + ", k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cos DESC, other) AS rank FROM q) SELECT label, other, rank, CASE WHEN cos > 0.8 THEN 'high' WHEN cos > 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM k WHERE rank <= 3")
 def suggestions(spark: S, d: D) -> DataFrame:
-    t = both_ways(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("cos"), "other"))).where("rank <= 3")
+    t = both_ways(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy(F.desc("cos"), "other")).cast("long")).where("rank <= 3")
     return t.select("label", "other", "rank", F.when(F.col("cos") > 0.8, "high").when(F.col("cos") > 0.6, "medium").otherwise("low").alias("bucket"))
 
 
@@ -259,7 +259,7 @@ def spectral_labels(spark: S, d: D) -> DataFrame:
 def eigengap_k(spark: S, d: D) -> DataFrame:
     """Suppliers' balances stand for eigenvalues, a short list; the largest gap from rank 2 on, the first on a tie."""
     w = W.orderBy("s_acctbal", "s_suppkey")
-    g = table(spark, d, "supplier").select(F.row_number().over(w).alias("k"), (F.lead("s_acctbal").over(w) - F.col("s_acctbal")).alias("gap"))
+    g = table(spark, d, "supplier").select(F.row_number().over(w).cast("long").alias("k"), (F.lead("s_acctbal").over(w) - F.col("s_acctbal")).alias("gap"))
     return g.where("k >= 2 and gap is not null").orderBy(F.desc("gap"), "k").limit(1).select("k", r6("gap").alias("gap"))
 
 
