@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stages import materialized
+
 PAGE = 50
 #: A status, and the statuses that may follow it.
 TRANSITIONS = {"queued": ("running", "cancelled"), "running": ("done", "partial", "failed", "cancelled"), "partial": ("queued",), "failed": ("queued",), "cancelled": ("queued",), "done": ("queued",)}
@@ -30,7 +32,8 @@ def history(df: DataFrame, status: str, shown: Sequence[str], activity: str, key
 def positioned(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """Number all rows from 1 in a total order, without one task holding all: sorted ranges, and their counts before."""
     ranged = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_p": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    # the ranges' bounds come from samples: counts and rows have to come from one evaluation
+    ranged = materialized(ranged.withColumns({"_p": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND((1 << 33) - 1)}))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_p", before.alias("_before"))

@@ -37,7 +37,7 @@ def catalog_point_lookup(spark: S, d: D) -> DataFrame:
 
 @query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {DAY} DESC, o_orderkey DESC) AS pos FROM orders WHERE o_orderstatus IN ('F', 'P')")
 def history_order(spark: S, d: D) -> DataFrame:
-    return C.history(orders(spark, d), "o_orderstatus", ["F", "P"], "day", "o_orderkey").select("o_orderkey", "pos")
+    return C.history(orders(spark, d).select("o_orderkey", "o_orderstatus", "day"), "o_orderstatus", ["F", "P"], "day", "o_orderkey").select("o_orderkey", "pos")
 
 
 @query(f"SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus IN ('F', 'P') AND lower(o_orderpriority) LIKE '%urgent%') AS total FROM orders WHERE o_orderstatus IN ('F', 'P') AND lower(o_orderpriority) LIKE '%urgent%' ORDER BY {DAY} DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
@@ -50,7 +50,7 @@ def history_page(spark: S, d: D) -> DataFrame:
 def queue_order(spark: S, d: D) -> DataFrame:
     """Queued ones first in their order, then all others by time. (The two are one total order here.)"""
     q = F.col("o_orderstatus") == "O"
-    return C.positioned(orders(spark, d), [F.when(q, 0).otherwise(1), F.asc_nulls_last(F.when(q, F.col("o_orderpriority"))), F.desc("day"), F.col("o_orderkey")]).select("o_orderkey", "pos")
+    return C.positioned(orders(spark, d).select("o_orderkey", "o_orderstatus", "o_orderpriority", "day"), [F.when(q, 0).otherwise(1), F.asc_nulls_last(F.when(q, F.col("o_orderpriority"))), F.desc("day"), F.col("o_orderkey")]).select("o_orderkey", "pos")
 
 
 @query(f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, {DAY}, o_orderkey) - 1 AS queue_order FROM orders WHERE o_orderstatus = 'O'")
