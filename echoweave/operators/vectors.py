@@ -75,6 +75,19 @@ def label_pairs(centers: DataFrame, label: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", V.cosine(F.col("_x"), F.col("_y")).alias("cos"))
 
 
+def profile_health(pairs: DataFrame, persons: DataFrame, few: float = 0.50, many: float = 0.75) -> DataFrame:
+    """pairs(label, other, cos) both ways, persons(label, person) -> health by the most alike sibling of the same person.
+
+    One profile: gray. Two: red below ``few``. Three or more: red below ``many``. Else green.
+    """
+    of = lambda name, who: persons.select(F.col("label").alias(name), F.col("person").alias(who))
+    near = pairs.join(of("label", "_p"), "label").join(of("other", "_q"), "other").where(F.col("_p").eqNullSafe(F.col("_q")) & F.col("_p").isNotNull()).groupBy("label").agg(F.max("cos").alias("sibling"))
+    size = persons.groupBy("person").agg(F.count(F.lit(1)).alias("n"))
+    rows = persons.join(size, "person").join(near, "label", "left")
+    health = F.when((F.col("n") < 2) | F.col("sibling").isNull(), "gray").when(F.col("sibling") < F.when(F.col("n") == 2, few).otherwise(many), "red").otherwise("green")
+    return rows.select("label", "person", "sibling", health.alias("health"))
+
+
 def merge_labels(centers: DataFrame, label: str, least: float = MERGE_MIN) -> dict[int, int]:
     """Greedy agglomeration of the label table: the best pair merges, weighted by members, until no pair is alike enough.
 

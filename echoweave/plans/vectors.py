@@ -208,10 +208,13 @@ def similarity_margin(spark: S, d: D) -> DataFrame:
     return t.groupBy("label").agg(r6(F.max(F.when(F.col("r") == 1, F.col("cos"))) - F.max(F.when(F.col("r") == 2, F.col("cos")))).alias("margin"))
 
 
-@query(PAIRS + BOTH + " SELECT label, round(max(cos), 6) AS nearest, arg_max(other, (round(cos, 9), -other)) AS other, CASE WHEN max(cos) < 0.50 THEN 'red' WHEN max(cos) < 0.75 THEN 'amber' ELSE 'green' END AS health FROM q GROUP BY label")
+@query(PAIRS + BOTH + """, w AS (SELECT label, CASE WHEN label = 9 THEN 9 ELSE label % 4 END AS person FROM c), z AS (SELECT person, count(*) AS n FROM w GROUP BY person),
+ m AS (SELECT q.label, max(cos) AS sibling FROM q JOIN w a ON q.label = a.label JOIN w b ON q.other = b.label WHERE a.person = b.person GROUP BY q.label)
+SELECT w.label, round(sibling, 6) AS sibling, CASE WHEN n < 2 OR sibling IS NULL THEN 'gray' WHEN sibling < CASE WHEN n = 2 THEN 0.50 ELSE 0.75 END THEN 'red' ELSE 'green' END AS health FROM w JOIN z USING (person) LEFT JOIN m USING (label)""")
 def profile_health(spark: S, d: D) -> DataFrame:
-    t = both_ways(spark, d).groupBy("label").agg(F.max("cos").alias("c"), F.max_by("other", F.struct(F.round("cos", 9).alias("c"), (-F.col("other")).alias("o"))).alias("other"))
-    return t.select("label", r6("c").alias("nearest"), "other", F.when(F.col("c") < 0.50, "red").when(F.col("c") < 0.75, "amber").otherwise("green").alias("health"))
+    """Labels dealt to people: three of two or three profiles, one of a single one."""
+    persons = emb(spark, d).select("label").distinct().withColumn("person", F.when(F.col("label") == 9, 9).otherwise(F.col("label") % 4))
+    return X.profile_health(both_ways(spark, d), persons).select("label", r6("sibling").alias("sibling"), "health")
 
 
 @query(PAIRS + BOTH + ", k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cos DESC, other) AS rank FROM q) SELECT label, other, rank, CASE WHEN cos > 0.8 THEN 'high' WHEN cos > 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM k WHERE rank <= 3")

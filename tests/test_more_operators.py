@@ -65,3 +65,11 @@ def test_key_failover():
     assert k.answer("y", 429, "GenerateRequestsPerDay", 0) == "retry" and k.rest_until["y"] == 6 * 3600
     assert k.answer("x", 503, "", 100) == "retry" and k.current(100) == "z"
     assert k.answer("z", 400, "", 100) == "raise" and k.answer("z", 200, "", 100) == "ok"
+
+
+def test_profile_health(spark):
+    persons = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "b"), (5, "c")], "label int, person string")
+    cos = {(0, 1): 0.49, (2, 3): 0.8, (2, 4): 0.7, (3, 4): 0.6, (0, 5): 0.99}
+    pairs = spark.createDataFrame([(x, y, c) for (a, b), c in cos.items() for x, y in ((a, b), (b, a))], "label int, other int, cos double")
+    got = {r.label: r.health for r in X.profile_health(pairs, persons).collect()}
+    assert got == {0: "red", 1: "red", 2: "green", 3: "green", 4: "red", 5: "gray"}
