@@ -10,16 +10,20 @@ union-find makes components of which the first line stays.
 Scale: lines are reduced to signatures in the scan, with map-side combine on
 the line's 128-bit key, so repeats never move and whole-stage code does all the
 shingle work. A band's members are compared with its two pivots (smallest and
-largest key), found by an aggregate, so links grow with the members and not
-with their pairs; joins on keys that may be frequent are salted. Only texts of
-candidate lines are compared.
+largest key) first, found by an aggregate, so links grow with the members and not
+with their pairs; joins on keys that may be frequent are salted. Members of one
+band that this leaves in different components meet in an exact join by prefixes
+(similar.py). Only texts of candidate lines are compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import checkpointed, doc_columns, tidy_shuffles
 from .components import connected_components
 
@@ -52,20 +56,38 @@ def shingle_at(wide: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(wide, at * WIDE + 1, F.lit(SHINGLE * WIDE)))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line keys k1 that share a band, b being one of the band's pivots."""
+def shingles(wide: Column) -> Column:
+    """The different shingles of a text in UTF-32."""
+    at = F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0)))
+    return F.array_distinct(F.transform(at, lambda i: shingle_at(wide, i)))
+
+
+def band_members(lines: DataFrame) -> DataFrame:
+    """k1, band: each line key with its bands."""
     # encoded below the generator: in one projection with it, the encoding would be done again for every shingle
     wide = lines.select("k1", "k2", F.encode("line", "UTF-32").alias("wide"), positions(F.col("line")).alias("places"))
     h = wide.select("k1", "k2", "wide", F.explode("places").alias("at")).select("k1", "k2", shingle_at(F.col("wide"), F.col("at")).alias("h"))
     minima = h.groupBy("k1", "k2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks())))
     grid = [[f"m{GRID * i + j}" for j in range(GRID)] for i in range(GRID)]
     bands = [*grid, *map(list, zip(*grid, strict=True))]
-    members = minima.select("k1", F.explode(F.array(*(F.xxhash64(F.lit(i), *band) for i, band in enumerate(bands)))).alias("band"))
-    pivots = members.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high")
-    met = members.join(pivots, "band").where("k1 <> low")
+    return minima.select("k1", F.explode(F.array(*(F.xxhash64(F.lit(i), *band) for i, band in enumerate(bands)))).alias("band"))
+
+
+def pivots_of(members: DataFrame) -> DataFrame:
+    return members.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+
+
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of line keys k1 that share a band, b being one of the band's pivots."""
+    met = members.join(pivots_of(members), "band").where("k1 <> low")
     return met.select(F.col("k1").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
 
 
+def candidates(lines: DataFrame) -> DataFrame:
+    """The pairs of all bands' pivots."""
+    return pivot_pairs(band_members(lines))
+
+
 def verified(lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) of (k1, k2) keys of the pairs whose exact Jaccard similarity is high enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
@@ -76,10 +98,6 @@ def verified(lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     of_a = texts.select(F.col("key").alias("a"), F.col("node").alias("node_a"), F.col("line").alias("line_a"))
     both = pairs.join(of_a, "a").withColumn("salt", salt).join(of_b, ["b", "salt"])
 
-    def shingles(wide: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0)))
-        return F.array_distinct(F.transform(at, lambda i: shingle_at(wide, i)))
-
     # through a generator, so that the optimiser can't move the encoding into the loop over the shingles
     wide = both.select("node_a", "node_b", F.explode(F.array(F.struct(F.encode("line_a", "UTF-32").alias("a"), F.encode("line_b", "UTF-32").alias("b")))).alias("w"))
     sets = wide.select("node_a", "node_b", shingles(F.col("w.a")).alias("s"), shingles(F.col("w.b")).alias("t"))
@@ -87,13 +105,50 @@ def verified(lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return sets.where(F.col("common") >= similarity * (F.size("s") + F.size("t") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def unresolved(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """k1 of band members that are no pivots, of bands where these are in more than one component: they may be like and were not compared."""
+    inner = members.join(pivots_of(members).where("n > 3"), "band").where("k1 <> low and k1 <> high").select("band", F.col("k1").alias("key"))
+    rows = checkpointed(similar.components_of(inner, edges))
+    open_bands = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return rows.join(open_bands, "band", "left_semi").select(F.col("key").alias("k1")).distinct()
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """key (k1), s: the lines' different shingles in order."""
+    wide = lines.select(F.col("k1").alias("key"), F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))
+    return wide.select("key", F.array_sort(shingles(F.col("wide"))).alias("s"))
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """key, n, pos, token of the first shingles, frequent ones last."""
+    often = F.array(*map(F.lit, similar.often(sets.select(F.explode("s").alias("token"))))).cast("array<bigint>")
+    ordered = sets.select("key", F.size("s").alias("n"), F.concat(F.array_except("s", often), F.array_intersect("s", often)).alias("s"))
+    return checkpointed(ordered.select("key", "n", F.posexplode(F.slice("s", F.lit(1), similar.needed(F.col("n"), similarity))).alias("pos", "token")))
+
+
+def like_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of (k1, k2) keys that connect all lines that share a band and are like enough."""
+    members = checkpointed(band_members(lines))
+    edges = checkpointed(verified(lines, checkpointed(pivot_pairs(members)), similarity))
+    of_keys = lambda e: e.select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
+    rest = checkpointed(unresolved(members, of_keys(edges)))
+    if rest.isEmpty():
+        return edges
+    texts = lines.select("k1", "k2", "line").join(rest, "k1", "left_semi").dropDuplicates(["k1"])
+    sets = checkpointed(shingle_sets(texts))
+    more = similar.resolve(prefixes(sets, similarity), of_keys(edges), lambda pairs: similar.verified(pairs, sets, similarity), similarity)
+    nodes = checkpointed(texts.select("k1", F.struct("k1", "k2").alias("node")))
+    of = lambda c: nodes.select(F.col("k1").alias(c), F.col("node").alias(f"node_{c}"))
+    new = more.join(of_keys(edges), ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return edges.unionByName(new)
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, gone array<int>: the numbers of the lines that go, for documents that lose any."""
     spark = docs.sparkSession
     with tidy_shuffles(spark):
         lines = numbered_lines(doc_columns(docs, "doc_id", "text"))
-        pairs = checkpointed(candidates(lines))
-        parts = connected_components(checkpointed(verified(lines, pairs, similarity)))
+        parts = connected_components(like_lines(lines, similarity))
         named = parts.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component")
         at = lines.select("k1", "k2", F.struct("doc_id", "text_key", "line_no").alias("at"))
         firsts = at.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))

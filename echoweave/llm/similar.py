@@ -1,0 +1,90 @@
+"""Pairs of like sets that pivots leave: an exact Jaccard join by prefixes (DataFrame functions only).
+
+Sets of at least ``similarity`` t share one of their first tokens in any fixed
+order: of the larger set the first n - ceil(t n) + 1, of the smaller the first
+n - ceil(2t / (1 + t) n) + 1. Members of a token are compared over components
+only: those outside the token's largest component meet all others. Further
+pivot rounds come first while the pairs are many more than the members. Neither
+they nor the order of the tokens change which sets end in one component.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+from .components import SALTS, connected_components
+
+#: Tokens of more sets than this come last in the order, at most so many of them.
+OFTEN, MOST = 32, 4096
+#: Pivot rounds go on while there are more pairs than so many times the members.
+FAR = 64
+#: Members of a token that meet the others in one piece.
+PIECE = 256
+
+
+def often(tokens: DataFrame, least: int = OFTEN) -> list[int]:
+    """The most frequent of tokens(token). Only the order depends on them, never the result."""
+    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return sorted(r.token for r in many.orderBy(F.desc("n"), "token").limit(MOST).collect())
+
+
+def needed(n: Column, similarity: float) -> Column:
+    """n - ceil(similarity n) + 1, on the safe side of rounding."""
+    return (n - F.ceil(n * similarity - 1e-6) + 1).cast("int")
+
+
+def components_of(tokens: DataFrame, edges: DataFrame) -> DataFrame:
+    """tokens with comp, the component of their key."""
+    parts = connected_components(edges).select(F.col("node").alias("key"), "component")
+    return tokens.join(parts, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) of keys of sets(key, s), s of different longs, that are like enough."""
+    of_b = sets.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi")
+    of_b = of_b.select(F.col("key").alias("b"), F.col("s").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    both = pairs.join(sets.withColumnRenamed("key", "a"), "a").withColumn("salt", F.pmod("a", F.lit(SALTS)).cast("int")).join(of_b, ["b", "salt"])
+    sized = both.select("a", "b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("common"))
+    return sized.where(F.col("common") >= similarity * (F.col("m") + F.col("n") - F.col("common"))).select("a", "b")
+
+
+def resolve(tokens: DataFrame, edges: DataFrame, verify: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """tokens(key, n, pos, token) of the prefixes, edges(a, b) known -> edges that connect all like keys too.
+
+    verify(pairs(a, b)) gives the pairs that are like enough. All keys are longs.
+    """
+    index = 2 * similarity / (1 + similarity)
+    tokens = tokens.withColumn("first", F.col("pos") < needed(F.col("n"), index))
+    for k in range(64):
+        rows = checkpointed(components_of(tokens, edges))
+        per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.count_if("first").alias("f"))
+        groups = per.groupBy("token").agg(F.sum("c").alias("all"), F.sum("f").alias("all_first"), F.max(F.struct("c", "comp", "f")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and all_first > 0")
+        few = F.col("all") - F.col("top.c")
+        groups = checkpointed(groups.select("token", F.col("top.comp").alias("top"), F.ceil(few / PIECE).cast("int").alias("pieces"), "all", (few * F.col("all_first") + (F.col("all_first") - F.col("top.f")) * F.col("all")).alias("pairs")))
+        size = groups.agg(F.sum("pairs").alias("pairs"), F.sum("all").alias("members")).first()
+        if not size.pairs:
+            return edges
+        held = rows.join(groups, "token")
+        few = held.where("comp <> top")
+        if k == 63 or size.pairs <= FAR * size.members:
+            break
+        pivots = few.groupBy("token").agg(F.min_by(F.struct("key", "comp"), F.xxhash64(F.lit(k), "key")).alias("p"))
+        pairs = rows.join(pivots, "token").where("comp <> p.comp").select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
+        found = checkpointed(verify(checkpointed(pairs)))
+        if found.isEmpty():
+            break
+        edges = checkpointed(edges.unionByName(found))
+    x = few.select("token", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int").alias("piece"), "top", *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "pos", "comp", "first")))
+    y = held.select("token", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "pos", "comp", "first")))
+    once = (F.col("comp_y") == F.col("top")) | (F.col("key_x") < F.col("key_y"))
+    sizes = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6
+    room = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= index / 2 * (F.col("n_x") + F.col("n_y")) - 1e-6
+    far = (F.col("comp_x") != F.col("comp_y")) & once & sizes & room
+    pairs = x.where("first_x").join(y, ["token", "piece"]).where(far & (F.col("n_x") <= F.col("n_y")))
+    pairs = pairs.unionByName(x.join(y.where("first_y"), ["token", "piece"]).where(far & (F.col("n_y") <= F.col("n_x"))))
+    pairs = checkpointed(pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct())
+    return checkpointed(edges.unionByName(verify(pairs)))

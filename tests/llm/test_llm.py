@@ -119,6 +119,30 @@ def test_line_pairs_recall(spark, sample):
     assert merges(a) >= 0.9 * merges(b) > 0
 
 
+def test_lines_of_a_hot_family_that_are_unlike_the_pivots(spark):
+    """Lines of one boilerplate, like only in pairs: all share bands, and only some pairs have a pivot."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, lines = text(240), []
+    for _ in range(150):
+        own = text(40)
+        lines += [common + own, common + own[:-1] + "?"]
+    rows = line_dedup.numbered_lines(docs_of(spark, lines))
+    parts = {}
+    for a, b in ((r.a.k1, r.b.k1) for r in line_dedup.like_lines(rows).collect()):
+        parts.setdefault(a, set()).add(b)
+        parts.setdefault(b, set()).add(a)
+    members = defaultdict(set)
+    for r in line_dedup.band_members(rows).collect():
+        members[r.k1].add(r.band)
+    key = {r.line: r.k1 for r in rows.collect()}
+    pairs = [(key[lines[i]], key[lines[i + 1]]) for i in range(0, len(lines), 2)]
+    shared = [(a, b) for a, b in pairs if members[a] & members[b]]
+    assert len(shared) > 100 and all(b in parts.get(a, ()) for a, b in shared)
+    pivots = {frozenset((r.a, r.b)) for r in line_dedup.candidates(rows).collect()}
+    assert any(frozenset(p) not in pivots for p in shared)
+
+
 # -- 2 simhash --------------------------------------------------------------------------------------------------
 
 
