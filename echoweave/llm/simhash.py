@@ -12,6 +12,9 @@ an aggregate with map-side combine. A key's members are compared in blocks of
 ``BLOCK``: two blocks meet in one task, and a task returns a spanning forest of
 the links it finds, never the pairs, so a large group of near copies yields
 rows in proportion to its members, and no task holds more than two blocks.
+
+near_dedup(), the pipeline's stage, is bound to no number of bits: it finds all
+texts of five-word Jaccard similarity >= 0.8 by an exact join (similar.py).
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, doc_columns
+from . import similar
+from .common import checkpointed, doc_columns, tidy_shuffles
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: near_dedup(): words of a shingle, and the similarity of near copies. One text of so many shows which shingles are frequent, at most so many.
+WORDS, SIMILARITY, SAMPLE, FREQUENT = 5, 0.8, 16, 65_536
 #: Members of a key that are compared in one piece.
 BLOCK = 4096
 #: Shingles of a text that are hashed at once.
@@ -148,7 +154,59 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.join(of_fp, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id, all columns; the texts are not shuffled unless Spark must."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Different hashes (long) of the shingles of ``shingle`` words, or of the whole of fewer words, in order."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n).view(np.int64))
+
+
+def shingle_sets(texts: DataFrame, shingle: int, often: list[int] | None = None, similarity: float = 0.0) -> DataFrame:
+    """texts(key, text) -> key, n, s: the n hashes of a text, frequent ones last; similarity: only those of the prefix."""
+    last = np.array(sorted(often or []), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
+            n = [len(x) for x in sets]
+            if similarity:
+                sets = [x[np.argsort(np.isin(x, last), kind="stable")][: len(x) - int(np.ceil(len(x) * similarity - 1e-6)) + 1] for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "n", "s"])
+
+    return texts.mapInArrow(run, "key long, n int, s array<long>")
+
+
+def near_links(texts: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """texts(key, text) -> edges(a, b) of keys that connect all texts whose Jaccard similarity is high enough: complete, by prefixes."""
+    some = shingle_sets(texts.where(F.pmod("key", F.lit(SAMPLE)) == 0), shingle).select("key", F.explode("s").alias("token")).distinct()
+    often = similar.often(some.select("token"), 2, FREQUENT)
+    tokens = shingle_sets(texts, shingle, often, similarity).select("key", "n", F.posexplode("s").alias("pos", "token"))
+    repeated = tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
+    tokens = checkpointed(tokens.join(repeated, "token").distinct())
+    none = tokens.where("false").select(F.col("key").alias("a"), F.col("key").alias("b"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = checkpointed(shingle_sets(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), shingle).select("key", "s"))
+        return similar.verified(pairs, sets, similarity)
+
+    return similar.resolve(tokens, none, verify, similarity)
+
+
+def near_dedup(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each component of near copies the document with the smallest doc_id, all columns; the texts are not shuffled unless Spark must.
+
+    Near copies: Jaccard similarity of the sets of five-word shingles (or wholes
+    of fewer words) of at least 0.8; words as for near_duplicates().
+    """
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    with tidy_shuffles(docs.sparkSession):
+        parts = checkpointed(connected_components(near_links(texts, shingle, similarity)).select(F.col("node").alias("key"), "component"))
+    least = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(parts, "key", "left")
+    least = least.withColumn("part", F.coalesce("component", "key"))
+    of_part = least.groupBy("part").agg(F.min("least").alias("keep"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    keep = least.join(of_part, "part").select("key", "keep", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+    gone = dealt.join(keep, ["key", "salt"]).where("doc_id <> keep").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -26,10 +26,10 @@ FAR = 64
 PIECE = 256
 
 
-def often(tokens: DataFrame, least: int = OFTEN) -> list[int]:
+def often(tokens: DataFrame, least: int = OFTEN, most: int = MOST) -> list[int]:
     """The most frequent of tokens(token). Only the order depends on them, never the result."""
     many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    return sorted(r.token for r in many.orderBy(F.desc("n"), "token").limit(MOST).collect())
+    return sorted(r.token for r in many.orderBy(F.desc("n"), "token").limit(most).collect())
 
 
 def needed(n: Column, similarity: float) -> Column:

@@ -195,6 +195,23 @@ def test_near_dedup_keeps_one(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_dedup_finds_all_of_similarity(spark):
+    """Near copies that differ in many bits of their fingerprints, against brute force."""
+    rng = random.Random(13)
+    texts = [words(rng, 120) for _ in range(6)] + [None, "", "two words"]
+    for i in range(6):
+        w = texts[i].split()
+        for cut in (2, 6, 9, 14, 30):
+            texts.append(" ".join(w[cut:]) + "".join(f" t{i}x{cut}y{j}" for j in range(cut)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    edges = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    gone = {i for i, c in brute_components(edges).items() if i != c}
+    got = {r.doc_id for r in simhash.near_dedup(docs_of(spark, texts)).collect()}
+    assert got == set(range(len(texts))) - gone
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert any((fps[i] ^ fps[j]).bit_count() > 4 for i, j in edges)
+
+
 # -- 3 substrings -----------------------------------------------------------------------------------------------
 
 
