@@ -121,8 +121,8 @@ def shingle_sets(lines: DataFrame) -> DataFrame:
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """key, n, pos, token of the first shingles, frequent ones last."""
-    often = F.array(*map(F.lit, similar.often(sets.select(F.explode("s").alias("token"))))).cast("array<bigint>")
-    ordered = sets.select("key", F.size("s").alias("n"), F.concat(F.array_except("s", often), F.array_intersect("s", often)).alias("s"))
+    wide = sets.select("key", "s", similar.often_array(sets.select(F.explode("s").alias("token"))).alias("often"))
+    ordered = wide.select("key", F.size("s").alias("n"), F.concat(F.array_except("s", "often"), F.array_intersect("s", "often")).alias("s"))
     return checkpointed(ordered.select("key", "n", F.posexplode(F.slice("s", F.lit(1), similar.needed(F.col("n"), similarity))).alias("pos", "token")))
 
 

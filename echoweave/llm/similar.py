@@ -32,6 +32,12 @@ def often(tokens: DataFrame, least: int = OFTEN, most: int = MOST) -> list[int]:
     return sorted(r.token for r in many.orderBy(F.desc("n"), "token").limit(most).collect())
 
 
+def often_array(tokens: DataFrame) -> Column:
+    """The same as one array that is looked up, without the driver."""
+    many = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).orderBy(F.desc("n"), "token").limit(MOST)
+    return many.agg(F.collect_list("token").alias("often")).scalar()
+
+
 def needed(n: Column, similarity: float) -> Column:
     """n - ceil(similarity n) + 1, on the safe side of rounding."""
     return (n - F.ceil(n * similarity - 1e-6) + 1).cast("int")
