@@ -47,11 +47,14 @@ def doc_columns(df: DataFrame, *needed: str) -> DataFrame:
 
 @contextlib.contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries made inside give their shuffle files back when they end, not when the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    """For operators of many steps: queries made inside give their shuffle files back when they end, not when the
+    driver collects its garbage, and checkpoints don't carry the constraints of all plans before them."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.constraintPropagation.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-SALTS = 16
-
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges(a, b): every node's neighbours move to its smallest one.
 
     large: of each node, the larger neighbours; else each node with its smaller
     neighbours. The smallest neighbour is found with map-side combine and joined
-    back by a salt, so a node with very many neighbours is dealt over tasks.
+    back; a node with very many neighbours is a skewed join that Spark's adaptive
+    execution splits, as an exchange follows.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rows = both if large else both.where("b < a")
-    low = rows.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(low, ["a", "salt"])
+    low = rows.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    joined = rows.join(low, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.where("salt = 0").select("a", F.col("low").alias("b")))
+        out = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -1,172 +1,244 @@
 """Fuzzy line dedup by MinHash (DataFrame functions only).
 
-A line's shingles are its runs of SHINGLE characters. One 64-bit hash of each is
-taken; the minima of the hash under 16 xor masks are the signature (for hashes
-that are random, the nearest one to a random mask is a random shingle). The
-rows and columns of the 4 x 4 grid of minima are 8 bands of 4. Lines that share
-a band are candidates; their exact Jaccard similarity decides, and distributed
-union-find makes components of which the first line stays.
-
-Scale: lines are reduced to signatures in the scan, with map-side combine on
-the line's 128-bit key, so repeats never move and whole-stage code does all the
-shingle work. A band's members are compared with its two pivots (smallest and
-largest key) first, found by an aggregate, so links grow with the members and not
-with their pairs; joins on keys that may be frequent are salted. Members of one
-band that this leaves in different components meet in an exact join by prefixes
-(similar.py). Only texts of candidate lines are compared.
+Signature: one 64-bit hash of each shingle (a run of SHINGLE UTF-8 bytes) is
+turned and masked into BANDS * ROWS orders, and the least value of each order is
+kept: six turns of the hash's upper half, three masks each, so that the orders
+look at different bits. Longer lines are signed by a sample of their shingles,
+chosen by the hash (KINDS); the lengths of the kinds overlap by as much as like
+lines can differ, so two like lines always have a signature of the same kind.
+
+Banding: ROWS minima are a band. A group of lines that share a band is compared
+in full up to SMALL lines. A larger one is compared with its pivot (smallest
+key); while its lines lie in more than one component it is split by further
+minima, in CHAINS different orders, until its parts are small: lines behind a
+common template part where a minimum is their own. Lines that agree in all
+minima are compared with one pivot after the other until none is left.
+
+Candidates that agree in too few minima to be alike are dropped; of the others
+the exact Jaccard similarity of their sets of SHINGLE characters decides.
+Distributed union-find makes components, of which the first line stays.
+
+Scale: signing is one pass in whole-stage code with map-side combine on the
+line's 128-bit key, so copies of a line are one row before any shuffle. Links
+grow with the members of a group, not with its pairs. The second pass fetches
+the lines that are repeated or candidates, and their places, at once. Joins are
+on keys that may be hot (a line, a band); they stand below aggregates with
+map-side combine, so that Spark's adaptive execution can split them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import similar
 from .common import checkpointed, doc_columns, tidy_shuffles
 from .components import connected_components
 
 SHINGLE = 10
 SIMILARITY = 0.8
-GRID = 4
-SALTS = 16
-#: Bytes a character: the texts are cut in UTF-32, where a substring needs no search.
+BANDS, ROWS = 6, 3
+TURNS, MASKS = range(0, 30, 5), (0, 0x55555555, -0x55555556)
+#: (least bytes, most bytes, mask): lines of such a length are signed by the shingles whose hash has zeros under the mask.
+KINDS = ((0, 80, 0), (64, 400, 3), (320, 1 << 31, 15))
+#: Minima of BANDS * ROWS that candidates agree in. Of lines of similarity 0.8, one pair of a hundred agrees in fewer.
+AGREE = 10
+#: Lines of a group that are compared with each other.
+SMALL = 8
+#: Orders of the further minima that split a larger group, and minima of a step.
+CHAINS, STEP = 2, 3
+#: Signatures that a larger group is split by.
+DRAWS = 2
+#: Bytes a character: texts are cut in UTF-32, where a substring needs no search.
 WIDE = 4
 
 
-def masks() -> list[int]:
-    """GRID * GRID fixed 64-bit masks: multiples of the golden ratio, made signed."""
-    step, full = 0x9E3779B97F4A7C15, 1 << 64
-    return [m - full if m >= full >> 1 else m for m in ((j * step * step + step) % full for j in range(1, GRID * GRID + 1))]
-
-
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, line, k1, k2 of each line that isn't blank. text_key tells rows of one doc_id apart."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
-def positions(line: Column) -> Column:
-    """Where the shingles start; a line shorter than a shingle is one."""
-    return F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-
+def orders(h: Column) -> Iterator[Column]:
+    """The hash (int) in BANDS * ROWS orders."""
+    for turn in TURNS:
+        turned = F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 32 - turn)) if turn else h
+        for mask in MASKS:
+            yield turned.bitwiseXOR(F.lit(mask).cast("int"))
 
-def shingle_at(wide: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(wide, at * WIDE + 1, F.lit(SHINGLE * WIDE)))
 
+def signatures(lines: DataFrame, seed: int = 0, kinds: tuple[tuple[int, int, int], ...] = KINDS) -> DataFrame:
+    """k1, k2, kind, copies, sig array<int>: how often each line occurs, and its signature of each kind it has. The first shingle is in every sample, for the count."""
+    fits = [F.when(F.octet_length("line").between(lo, hi - 1), F.struct(F.lit(k).alias("kind"), F.lit(mask).cast("long").alias("mask"))) for k, (lo, hi, mask) in enumerate(kinds)]
+    of_kind = lines.select("k1", "k2", F.col("line").cast("binary").alias("bytes"), F.explode(F.array_compact(F.array(*fits))).alias("as"))
+    seeds = [F.lit(seed)] if seed else []
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length("bytes") - SHINGLE + 1, F.lit(1)))
+    at = of_kind.select("k1", "k2", "as", "bytes", F.explode(places).alias("at"))
+    hashed = at.select("k1", "k2", "as", F.xxhash64(*seeds, F.substring("bytes", F.col("at"), F.lit(SHINGLE))).alias("h"), (F.col("at") == 1).alias("start"))
+    kept = hashed.where(F.col("start") | (F.col("h").bitwiseAND(F.col("as.mask")) == 0))
+    kept = kept.select("k1", "k2", "as.kind", "start", F.shiftright("h", 32).cast("int").alias("h"))
+    minima = kept.groupBy("k1", "k2", "kind").agg(F.count_if("start").alias("copies"), *(F.min(x).alias(f"m{j}") for j, x in enumerate(orders(F.col("h")))))
+    return minima.select("k1", "k2", "kind", "copies", F.array(*(f"m{j}" for j in range(BANDS * ROWS))).alias("sig"))
 
-def shingles(wide: Column) -> Column:
-    """The different shingles of a text in UTF-32."""
-    at = F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0)))
-    return F.array_distinct(F.transform(at, lambda i: shingle_at(wide, i)))
 
+def groups_of(members: DataFrame) -> DataFrame:
+    """members(group, key, ...) -> the members of groups of two different keys and more, with n (members) and low (smallest key)."""
+    groups = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").drop("high")
+    return members.join(groups.hint("shuffle_hash"), "group")
 
-def band_members(lines: DataFrame) -> DataFrame:
-    """k1, band: each line key with its bands."""
-    # encoded below the generator: in one projection with it, the encoding would be done again for every shingle
-    wide = lines.select("k1", "k2", F.encode("line", "UTF-32").alias("wide"), positions(F.col("line")).alias("places"))
-    h = wide.select("k1", "k2", "wide", F.explode("places").alias("at")).select("k1", "k2", shingle_at(F.col("wide"), F.col("at")).alias("h"))
-    minima = h.groupBy("k1", "k2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks())))
-    grid = [[f"m{GRID * i + j}" for j in range(GRID)] for i in range(GRID)]
-    bands = [*grid, *map(list, zip(*grid, strict=True))]
-    return minima.select("k1", F.explode(F.array(*(F.xxhash64(F.lit(i), *band) for i, band in enumerate(bands)))).alias("band"))
 
+def band_groups(signed: DataFrame) -> DataFrame:
+    """group, key (k1), kind, n, low: the lines that share a band with others."""
+    band = [F.xxhash64("kind", F.lit(i), *(F.get("sig", F.lit(ROWS * i + j)) for j in range(ROWS))) for i in range(BANDS)]
+    return groups_of(signed.select(F.col("k1").alias("key"), "kind", F.explode(F.array(*band)).alias("group")))
 
-def pivots_of(members: DataFrame) -> DataFrame:
-    return members.groupBy("band").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
 
+def pairs_in(groups: DataFrame) -> DataFrame:
+    """a, b, kind: all pairs of groups of up to SMALL, and the pairs with the smallest key of larger ones."""
+    keys = groups.where(F.col("n") <= SMALL).groupBy("group", "kind").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    few = keys.select("kind", F.explode(pairs).alias("p")).select("p.a", "p.b", "kind")
+    many = groups.where(F.col("n") > SMALL).select(F.col("low").alias("a"), F.col("key").alias("b"), "kind")
+    return few.unionByName(many).where("a <> b").distinct()
 
-def pivot_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line keys k1 that share a band, b being one of the band's pivots."""
-    met = members.join(pivots_of(members), "band").where("k1 <> low")
-    return met.select(F.col("k1").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
 
+def likely(pairs: DataFrame, signed: DataFrame, agree: int = AGREE) -> DataFrame:
+    """a, b: the pairs whose signatures agree in enough minima."""
+    sig = lambda c: signed.select(F.col("k1").alias(c), "kind", F.col("sig").alias(f"sig_{c}"))
+    both = pairs.join(sig("a"), ["a", "kind"]).join(sig("b"), ["b", "kind"])
+    same = reduce(Column.__add__, ((F.get("sig_a", F.lit(j)) == F.get("sig_b", F.lit(j))).cast("int") for j in range(BANDS * ROWS)))
+    return both.where(same >= agree).select("a", "b").distinct()
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """The pairs of all bands' pivots."""
-    return pivot_pairs(band_members(lines))
 
+def shingles(line: Column) -> Column:
+    """The different shingles of a line; one shorter than a shingle is one."""
+    at = lambda wide: F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0)))
+    of = lambda wide: F.array_distinct(F.transform(at(wide), lambda i: F.xxhash64(F.substring(wide, i * WIDE + 1, F.lit(SHINGLE * WIDE)))))
+    # the encoded line is bound to a variable: a column would be copied from its row again for every shingle
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), F.lit(0))
 
-def verified(lines: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of (k1, k2) keys of the pairs whose exact Jaccard similarity is high enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    texts = lines.select("k1", "k2", "line").join(wanted, "k1", "left_semi").dropDuplicates(["k1", "k2"])
-    texts = checkpointed(texts.select(F.col("k1").alias("key"), F.struct("k1", "k2").alias("node"), "line"))
-    salt = F.pmod(F.col("a"), F.lit(SALTS)).cast("int")
-    of_b = texts.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.col("node").alias("node_b"), F.col("line").alias("line_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    of_a = texts.select(F.col("key").alias("a"), F.col("node").alias("node_a"), F.col("line").alias("line_a"))
-    both = pairs.join(of_a, "a").withColumn("salt", salt).join(of_b, ["b", "salt"])
 
-    # through a generator, so that the optimiser can't move the encoding into the loop over the shingles
-    wide = both.select("node_a", "node_b", F.explode(F.array(F.struct(F.encode("line_a", "UTF-32").alias("a"), F.encode("line_b", "UTF-32").alias("b")))).alias("w"))
-    sets = wide.select("node_a", "node_b", shingles(F.col("w.a")).alias("s"), shingles(F.col("w.b")).alias("t"))
-    sets = sets.withColumn("common", F.size(F.array_intersect("s", "t")))
-    return sets.where(F.col("common") >= similarity * (F.size("s") + F.size("t") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) of (k1, k2) keys of the pairs of k1 whose exact Jaccard similarity is high enough; texts(k1, k2, line) has each line once."""
+    of = lambda c: texts.select(F.col("k1").alias(c), F.struct("k1", "k2").alias(f"node_{c}"), F.col("line").alias(f"line_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    # through a generator, so that the optimiser can't put the sets into each of the conditions
+    sets = both.select("node_a", "node_b", F.explode(F.array(F.struct(shingles(F.col("line_a")).alias("s"), shingles(F.col("line_b")).alias("t")))).alias("x"))
+    sized = sets.select("node_a", "node_b", F.size("x.s").alias("m"), F.size("x.t").alias("n"), "x").where(F.least("m", "n") >= similarity * F.greatest("m", "n"))
+    sets = sized.select("node_a", "node_b", "m", "n", F.explode(F.array(F.size(F.array_intersect("x.s", "x.t")))).alias("common"))
+    return sets.where(F.col("common") >= similarity * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def unresolved(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """k1 of band members that are no pivots, of bands where these are in more than one component: they may be like and were not compared."""
-    inner = members.join(pivots_of(members).where("n > 3"), "band").where("k1 <> low and k1 <> high").select("band", F.col("k1").alias("key"))
-    rows = checkpointed(similar.components_of(inner, edges))
-    open_bands = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return rows.join(open_bands, "band", "left_semi").select(F.col("key").alias("k1")).distinct()
+def with_components(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members(key, ...) with comp, the component of the key's line."""
+    parts = connected_components(edges).select(F.col("node.k1").alias("key"), F.col("component.k1").alias("comp")).dropDuplicates(["key"])
+    return members.join(parts, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """key (k1), s: the lines' different shingles in order."""
-    wide = lines.select(F.col("k1").alias("key"), F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))
-    return wide.select("key", F.array_sort(shingles(F.col("wide"))).alias("s"))
+def open_groups(members: DataFrame) -> DataFrame:
+    """members(group, key, comp, ...) of groups with more than one component, with n, low and low_comp of the smallest key."""
+    stats = F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    groups = members.groupBy("group").agg(*stats).where("lo <> hi").drop("lo", "hi")
+    return members.join(groups, "group")
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """key, n, pos, token of the first shingles, frequent ones last."""
-    wide = sets.select("key", "s", similar.often_array(sets.select(F.explode("s").alias("token"))).alias("often"))
-    ordered = wide.select("key", F.size("s").alias("n"), F.concat(F.array_except("s", "often"), F.array_intersect("s", "often")).alias("s"))
-    return checkpointed(ordered.select("key", "n", F.posexplode(F.slice("s", F.lit(1), similar.needed(F.col("n"), similarity))).alias("pos", "token")))
+def apart(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b, kind), those of rows(key, comp) in different components."""
+    comps = rows.select("key", "comp").distinct()
+    of = lambda c: comps.select(F.col("key").alias(c), F.col("comp").alias(f"comp_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b", "kind")
 
 
-def like_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of (k1, k2) keys that connect all lines that share a band and are like enough."""
-    members = checkpointed(band_members(lines))
-    edges = checkpointed(verified(lines, checkpointed(pivot_pairs(members)), similarity))
-    of_keys = lambda e: e.select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
-    rest = checkpointed(unresolved(members, of_keys(edges)))
-    if rest.isEmpty():
+def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """large(group, key, kind): groups that were compared with one pivot only, edges known -> edges with those that further minima find."""
+    start = checkpointed(open_groups(with_components(large.select("group", "key", "kind"), edges)).drop("n", "low"))
+    if start.isEmpty():
         return edges
-    texts = lines.select("k1", "k2", "line").join(rest, "k1", "left_semi").dropDuplicates(["k1"])
-    sets = checkpointed(shingle_sets(texts))
-    more = similar.resolve(prefixes(sets, similarity), of_keys(edges), lambda pairs: similar.verified(pairs, sets, similarity), similarity)
-    nodes = checkpointed(texts.select("k1", F.struct("k1", "k2").alias("node")))
-    of = lambda c: nodes.select(F.col("k1").alias(c), F.col("node").alias(f"node_{c}"))
-    new = more.join(of_keys(edges), ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return edges.unionByName(new)
+    rows, before, seed = start, None, 0
+    while True:
+        if seed:  # other minima, of all shingles
+            left = texts.join(rows.select(F.col("key").alias("k1")).distinct(), "k1", "left_semi")
+            signed = checkpointed(signatures(left, seed, ((0, 1 << 31, 0),)))
+            rows = rows.withColumn("kind", F.lit(0))
+        rows = rows.join(signed.select(F.col("k1").alias("key"), "kind", "sig"), ["key", "kind"])
+        rows = rows.select(F.explode(F.array(*(F.xxhash64("group", F.lit(c)) for c in range(CHAINS)))).alias("group"), "key", "kind", "comp", "sig")
+        rows = rows.withColumn("from", F.pmod(F.col("group"), F.lit(BANDS * ROWS)).cast("int"))
+        found = []
+        for step in range(0, BANDS * ROWS, STEP):
+            further = (F.get("sig", F.pmod(F.col("from") + step + j, F.lit(BANDS * ROWS))) for j in range(STEP))
+            rows = checkpointed(open_groups(rows.withColumn("group", F.xxhash64("group", *further))))
+            if rows.isEmpty():
+                break
+            found.append(apart(rows, pairs_in(rows)))
+            rows = rows.where(F.col("n") > SMALL).drop("n", "low")
+        if found:
+            edges = checkpointed(edges.unionByName(verified(texts, likely(reduce(DataFrame.unionByName, found).distinct(), signed), similarity)))
+        seed += 1
+        # after the draws for all: what agrees in all minima
+        rows = start if seed < DRAWS else rows.select(F.xxhash64("kind", "sig").alias("group"), "key", "kind").distinct()
+        rows = checkpointed(open_groups(with_components(rows.drop("comp"), edges)).drop("n", "low"))
+        n = rows.count()
+        if not n:
+            return edges
+        if seed > DRAWS and n > before // 2:
+            return edges.unionByName(pivots_of_components(rows, texts, similarity))
+        before = n
+
+
+def pivots_of_components(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges between the first line of each component and the group's other lines; rows(group, key, comp) agree in all minima that were drawn."""
+    pivots = rows.groupBy("group", F.col("comp").alias("of")).agg(F.min("key").alias("a"))
+    pairs = rows.join(pivots, "group").where("comp <> of").select("a", F.col("key").alias("b")).distinct()
+    return checkpointed(verified(texts, pairs, similarity))
+
+
+def fetched(lines: DataFrame, signed: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """at (doc_id, text_key, line_no), k1, k2, line of the lines that occur more than once or whose k1 is in texts_of; line is null for the others."""
+    repeated = signed.where("copies > 1").select("k1", F.lit(False).alias("text"))
+    wanted = repeated.unionByName(texts_of.select("k1", F.lit(True).alias("text"))).groupBy("k1").agg(F.bool_or("text").alias("text"))
+    rows = lines.select(F.struct("doc_id", "text_key", "line_no").alias("at"), "k1", "k2", "line").join(wanted, "k1")
+    return rows.select("at", "k1", "k2", F.when(F.col("text"), F.col("line")).alias("line"))
+
+
+def like_lines(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of (k1, k2) keys that connect like lines, and the places (see fetched()) of all lines that are repeated or may be like others."""
+    signed = checkpointed(signatures(lines))
+    groups = checkpointed(band_groups(signed))
+    pairs = checkpointed(likely(pairs_in(groups), signed))
+    large = groups.where(F.col("n") > SMALL)
+    texts_of = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(large.select(F.col("key").alias("k1"))).distinct()
+    places = checkpointed(fetched(lines, signed, texts_of))
+    texts = places.where("line is not null").select("k1", "k2", "line").distinct()
+    edges = checkpointed(verified(texts, pairs, similarity))
+    return split_further(large, signed, texts, edges, similarity), places
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_key, gone array<int>: the numbers of the lines that go, for documents that lose any."""
-    spark = docs.sparkSession
-    with tidy_shuffles(spark):
-        lines = numbered_lines(doc_columns(docs, "doc_id", "text"))
-        parts = connected_components(like_lines(lines, similarity))
-        named = parts.select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "component")
-        at = lines.select("k1", "k2", F.struct("doc_id", "text_key", "line_no").alias("at"))
-        firsts = at.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-        firsts = firsts.join(named, ["k1", "k2"], "left")
-        of_part = firsts.where("component is not null").groupBy("component").agg(F.min("first").alias("part_first"))
-        keep = firsts.join(of_part, "component", "left").select("k1", "k2", "n", F.coalesce("part_first", "first").alias("keep"), F.col("component").isNotNull().alias("fuzzy"))
-        # keys that occur once and are alike to no other lose nothing
-        keep = keep.where("n > 1 or fuzzy").select("k1", "k2", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        dealt = at.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
-        gone = dealt.join(keep, ["k1", "k2", "salt"]).where(~F.col("at").eqNullSafe(F.col("keep")))
-        return checkpointed(gone.groupBy("at.doc_id", "at.text_key").agg(F.collect_set("at.line_no").alias("gone")))
+    """doc_id, text_key, gone array<int>: the numbers of the lines that go, in order, for documents that lose any."""
+    with tidy_shuffles(docs.sparkSession):
+        edges, places = like_lines(numbered_lines(doc_columns(docs, "doc_id", "text")), similarity)
+        parts = connected_components(edges).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("component.k1").alias("p1"), F.col("component.k2").alias("p2"))
+        rows = places.select("at", "k1", "k2").join(parts, ["k1", "k2"], "left").select("at", F.coalesce("p1", "k1").alias("k1"), F.coalesce("p2", "k2").alias("k2"))
+        rows = checkpointed(rows)
+        firsts = rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last or first is null").drop("last")
+        gone = rows.join(firsts, ["k1", "k2"]).where(~F.col("at").eqNullSafe(F.col("first")))
+        return checkpointed(gone.groupBy("at.doc_id", "at.text_key").agg(F.array_sort(F.collect_set("at.line_no")).alias("gone")))
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The lines but those of the numbers gone, in order: these are laid out as a row of bytes, which is looked up by place."""
+    steps = F.transform(gone, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get(gone, i - 1)).otherwise(-1) - 1), F.lit("1")))
+    mask = F.array_join(steps, "").cast("binary")
+    return F.filter(lines, lambda _, i: F.substring(mask, i + 1, F.lit(1)) != F.lit(b"1"))
 
 
 def marked(docs: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
     """docs joined with the numbers of the lines that go (_gone), and the text that stays."""
     gone = removed_lines(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(gone["_gone"], i)), "\n")
+    left = F.array_join(without(F.split(docs["text"], "\n"), gone["_gone"]), "\n")
     return rows, F.when(gone["_gone"].isNull(), docs["text"]).otherwise(left)
 
 

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .components import SALTS, connected_components
+from .components import connected_components
 
 #: Tokens of more sets than this come last in the order, at most so many of them.
 OFTEN, MOST = 32, 4096
 #: Pivot rounds go on while there are more pairs than so many times the members.
 FAR = 64
+SALTS = 16
 #: Members of a token that meet the others in one piece.
 PIECE = 256
 
