@@ -67,8 +67,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     Null or empty text: size 0, taken 0. A null source is a source of its own.
     quality(doc_id, quality) sets the sampling weight; documents without a
     label, or with a null one, have the weight of None; of several labels the
-    largest counts. Equal keys are taken by doc_id; rows that repeat a doc_id
-    are taken one after the other. No documents: no rows. Other columns are ignored.
+    largest counts. Equal keys are taken by doc_id, size and text, so reruns
+    agree; rows that repeat a doc_id are taken one after the other. No documents: no rows. Other columns are ignored.
     """
     return mixed_rows(docs, quality, weights, max_epochs, key_ranges).drop("text_key")
 
@@ -83,7 +83,9 @@ def mixed_rows(docs: DataFrame, quality: DataFrame | None, weights: tuple[int, .
         sized = sized.withColumn("_q", F.lit(None).cast("int"))
     wt = F.when(F.col("_q") == 1, QUALITY_WEIGHT[1]).when(F.col("_q") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None])
     # u in (0, 1) from the first 52 bits of the id's digest: reruns and retries agree
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
+    # (of a null id: from the text's key, so that such documents are dealt over the ranges)
+    seed = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("text_key").cast("string")))
+    bits = F.conv(F.substring(F.md5(seed.cast("binary")), 1, 13), 16, 10).cast("long")
     u = (bits.cast("double") + 0.5) / float(2**52)
     keyed = sized.select("doc_id", "source", "size", "text_key", (-F.log(u) / wt).alias("key"))
     # the key's own order, cut into ranges of about equal counts where weights are equal
@@ -97,7 +99,7 @@ def mixed_rows(docs: DataFrame, quality: DataFrame | None, weights: tuple[int, .
     ranges = ranges.alias("r").join(t, same(F.col("r.source"), F.col("t.source"))).select("r.*", "t.source_size", "t.target")
     k, r = keyed.alias("k"), ranges.alias("r")
     rows = k.join(r, same(F.col("k.source"), F.col("r.source")) & (F.col("k.range") == F.col("r.range"))).select("k.*", "r.range_before", "r.source_size", "r.target")
-    within = W.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
     prefix = F.col("range_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     epochs = F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0))
     rows = rows.withColumn("prefix", prefix).withColumn("epochs", epochs.cast("long"))
@@ -140,7 +142,7 @@ WITH sized AS (
 ), rows AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
-    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prefix
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prefix
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
