@@ -1,64 +1,85 @@
 """Quality classifier from compression with zstandard dictionaries.
 
 One dictionary is built from good and one from bad labelled text. A text is
-compressed whole with each; the difference of the two sizes, normalised, with
-the sizes a byte, is calibrated by logistic regression to the chance of label 1.
-
-Scale: dictionaries come from ``DICT_DOCS`` labelled documents a class and the
-calibration from ``CALIBRATION_DOCS`` labelled documents, chosen by hash of the
-id - bounded samples; only their ids are broadcast. Scoring is one pass over
-the documents without a shuffle; each text is held by itself.
+compressed whole with each, and without one. Its score is calibrated, by
+logistic regression, from normalised differences of sizes only: bad against good
+dictionary (of the whole text, and the mean of its chunks, where a long text's
+own history doesn't hide the dictionary), no dictionary against good and against
+bad, and uncompressed against compressed.
+
+Scale: half of the labelled documents (by hash of the id) give chunks to the
+dictionaries, of which ``DICT_CHUNKS`` a class are drawn by hash from anywhere in
+their texts; ``CALIBRATION_DOCS`` of the other half calibrate. Only these bounded
+samples reach the driver. Scoring is one pass over the documents without a
+shuffle; each text is held by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_columns, id_bucket
 
-#: Labelled documents a class that a dictionary is built from, and their characters at most.
-DICT_DOCS, DICT_CHARS = 600, 32_000
+#: Labelled documents, of both classes, whose chunks are offered to the dictionaries, and chunks that a dictionary is built from.
+DICT_DOCS, DICT_CHUNKS = 4_000, 2_500
 DICT_BYTES, CHUNK_BYTES = 112_640, 2_000
-#: Labelled documents, as they come, that the score is calibrated on.
+#: Other labelled documents, as they come, that the score is calibrated on.
 CALIBRATION_DOCS = 4_000
+#: Bytes of the chunks that are compressed by themselves.
+PART_BYTES = 1_000
 LEVEL = 3
 FOLDS, HELD_OUT_FOLD = 5, 0
 THRESHOLD = 0.3
+FEATURES = 5
+
 
+def chunks(data: bytes, size: int) -> list[bytes]:
+    return [data[i : i + size] for i in range(0, len(data), size)]
 
-def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """A dictionary of the texts; of too few texts, the texts themselves."""
-    data = [t.encode("utf-8", "replace") for t in texts]
-    samples = [d[i : i + CHUNK_BYTES] for d in data for i in range(0, len(d), CHUNK_BYTES)]
+
+def dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A dictionary of the chunks; of too few, the chunks themselves."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-def compressor(raw: bytes) -> zstandard.ZstdCompressor:
+def compressor(raw: bytes | None = None) -> zstandard.ZstdCompressor:
+    """With a dictionary, or with none."""
+    plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False}
+    if raw is None:
+        return zstandard.ZstdCompressor(**plain)
     d = zstandard.ZstdCompressionDict(raw)
     d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=d, write_dict_id=False, **plain)
+
 
+def difference(a: int, b: int) -> float:
+    return (a - b) / max(a, b, 1)
 
-def features(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float, float, float]:
-    """Normalised size difference; either size a byte; log of the length."""
+
+def features(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, none: zstandard.ZstdCompressor) -> tuple[float, ...]:
+    """The normalised differences of sizes."""
     data = text.encode("utf-8", "replace")
-    n, g, b = len(data) + 1, len(good.compress(data)), len(bad.compress(data))
-    return (b - g) / max(b, g), g / n, b / n, float(np.log(n))
+    size = lambda z, x: len(z.compress(x))
+    g, b, n = (size(z, data) for z in (good, bad, none))
+    parts = [difference(size(bad, x), size(good, x)) for x in chunks(data, PART_BYTES)] if len(data) > PART_BYTES else [difference(b, g)]
+    return difference(b, g), float(np.mean(parts)), difference(n, g), difference(n, b), difference(len(data), n)
 
 
 def expand(x: np.ndarray) -> np.ndarray:
-    d, g, b, n = x.T
-    return np.column_stack([np.ones(len(x)), d, g, b, n, d * d, g * g, d * n, g * n])
+    """One, the features and their products."""
+    return np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i, j in combinations_with_replacement(range(x.shape[1]), 2))])
 
 
 @dataclass
@@ -72,11 +93,10 @@ class Model:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> None:
-        a = expand(x)
-        self.mean, self.scale = a.mean(0), a.std(0) + 1e-9
-        self.mean[0], self.scale[0] = 0, 1
-        a, w = (a - self.mean) / self.scale, np.zeros(a.shape[1])
+    def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> None:
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        a = expand((x - self.mean) / self.scale)
+        w = np.zeros(a.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
@@ -85,7 +105,13 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None or not len(x):
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip((expand(x) - self.mean) / self.scale @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(expand((x - self.mean) / self.scale) @ self.weights, -30, 30)))
+
+    def score_texts(self, texts: pa.Array) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(texts), self.prior)
+        tools = compressor(self.good), compressor(self.bad), compressor()
+        return self.score(np.array([features(t.as_py() or "", *tools) for t in texts]).reshape(-1, FEATURES))
 
 
 def with_features(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
@@ -93,34 +119,43 @@ def with_features(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, b = map(compressor, shared.value)
+        tools = *map(compressor, shared.value), compressor()
         for batch in batches:
-            x = [features(t.as_py() or "", g, b) for t in batch.column("text")]
+            x = [features(t.as_py() or "", *tools) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def drawn_chunks(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, quality) -> quality, order, chunk: each chunk of the whole texts, and a hash that deals them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q, text in zip(b.column("quality").to_pylist(), b.column("text"), strict=True):
+                cut = chunks((text.as_py() or "").encode("utf-8", "replace"), CHUNK_BYTES)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(cut), pa.int32()), pa.array([xxhash.xxh64_intdigest(c) >> 1 for c in cut], pa.int64()), pa.array(cut, pa.binary())], names=["quality", "order", "chunk"])
+
+    return docs.select("quality", "text").mapInArrow(run, "quality int, order long, chunk binary")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from documents outside the held-out fold. Null labels and ids don't count; of several labels of a document the largest does."""
+    """Learn from documents outside the held-out fold. Null labels and ids don't count; of several labels of a document the largest does. Rows that repeat an id count each."""
     docs = doc_columns(docs, "doc_id", "text")
     known = (
-        doc_columns(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .where(id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD)
+        doc_columns(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+        .where(id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT_FOLD).withColumn("_h", F.xxhash64("doc_id"))
     )
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("quality = 1").orderBy(*by_hash).limit(DICT_DOCS).unionByName(known.where("quality = 0").orderBy(*by_hash).limit(DICT_DOCS))
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.substring("text", 1, DICT_CHARS).alias("text")).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    text = {q: [r.text for r in rows if r.quality == q and r.text] for q in (0, 1)}
-    if not text[0] or not text[1]:
-        return Model(prior=1.0 if text[1] else 0.0 if text[0] else 0.5)
-    model = Model(dictionary(text[1]), dictionary(text[0]))
-    # other documents, where there are enough, in the proportion in which labels come
-    last = F.desc(F.xxhash64("doc_id"))
-    sample = known.orderBy(last, "doc_id").limit(CALIBRATION_DOCS)
-    got = with_features(docs.join(F.broadcast(sample), "doc_id", "left_semi"), model.good, model.bad).join(F.broadcast(sample), "doc_id").collect()
-    got.sort(key=lambda r: r.doc_id)
+    half = F.pmod("_h", F.lit(2))
+    sample = lambda n, which: known.where(half == which).orderBy("_h", "doc_id").limit(n).select("doc_id", "quality")
+    offered = drawn_chunks(docs.join(F.broadcast(sample(DICT_DOCS, 0)), "doc_id"))
+    drawn = {q: [r.chunk for r in offered.where(F.col("quality") == q).orderBy("order", "chunk").limit(DICT_CHUNKS).collect()] for q in (0, 1)}
+    if not drawn[0] or not drawn[1]:
+        return Model(prior=1.0 if drawn[1] else 0.0 if drawn[0] else 0.5)
+    model = Model(dictionary(drawn[1]), dictionary(drawn[0]))
+    others = F.broadcast(sample(CALIBRATION_DOCS, 1))
+    got = with_features(docs.join(others, "doc_id", "left_semi"), model.good, model.bad).join(others, "doc_id").collect()
+    got.sort(key=lambda r: (r.doc_id, r.x))
     y = np.array([r.quality for r in got], float)
     if 0 < y.sum() < len(y):
         model.calibrate(np.array([r.x for r in got]), y)
@@ -138,11 +173,8 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        g, b = (compressor(m.good), compressor(m.bad)) if m.weights is not None else (None, None)
-        for batch in batches:
-            x = [features(t.as_py() or "", g, b) if g else (0, 0, 0, 0) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.score(np.array(x, float).reshape(-1, 4)))], names=["doc_id", "score"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.score_texts(b.column("text")))], names=["doc_id", "score"])
 
     scored = doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD, F.lit(True))
@@ -150,15 +182,15 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, all their columns. One pass: the texts are not shuffled."""
+    """The documents that the classifier accepts, all their columns. One pass: the texts are not shuffled.
+
+    Rows are judged each for itself, whatever their ids; null texts as empty
+    ones; no documents: no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        g, b = (compressor(m.good), compressor(m.bad)) if m.weights is not None else (None, None)
-        for batch in batches:
-            x = [features(t.as_py() or "", g, b) if g else (0, 0, 0, 0) for t in batch.column("text")]
-            yield batch.filter(pa.array(m.score(np.array(x, float).reshape(-1, 4)) >= threshold))
+        for b in batches:
+            yield b.filter(pa.array(model.value.score_texts(b.column("text")) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

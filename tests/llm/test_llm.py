@@ -388,6 +388,43 @@ def test_quality_on_held_out_documents(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_quality_equals_brute_force(spark):
+    """Dictionaries, features, calibration and scores once more in one process."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    got = {r.doc_id: r.score for r in quality.classify(docs, quality.train(docs, labels)).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    label = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    raw = {q: quality.dictionary(sorted((c for i, v in label.items() if v == q and h[i] % 2 == 0 for c in quality.chunks(texts[i].encode(), 2000)), key=lambda c: (xxhash.xxh64_intdigest(c) >> 1, c))[:2500]) for q in (0, 1)}
+    g, b, n = (quality.compressor(x) for x in (raw[1], raw[0], None))
+
+    def x_of(text):
+        d = text.encode()
+        diff = lambda p, q: (p - q) / max(p, q, 1)
+        size = lambda z, v=d: len(z.compress(v))
+        parts = [diff(size(b, d[i : i + 1000]), size(g, d[i : i + 1000])) for i in range(0, len(d), 1000)] or [diff(size(b), size(g))]
+        return [diff(size(b), size(g)), sum(parts) / len(parts), diff(size(n), size(g)), diff(size(n), size(b)), diff(len(d), size(n))]
+
+    ids = sorted(i for i in label if h[i] % 2)
+    x, y = np.array([x_of(texts[i]) for i in ids]), np.array([label[i] for i in ids], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    wide = lambda v: np.array([[1, *row, *(row[i] * row[j] for i in range(5) for j in range(i, 5))] for row in (np.array(v) - mean) / scale])
+    a, w = wide(x), np.zeros(21)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(21), a.T @ (y - p) - 0.1 * w)
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-np.clip(wide([x_of(t)]) @ w, -30, 30)))[0]), abs=1e-6)
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    rows = docs.select("doc_id", "text", F.lit(1).alias("quality"), F.lit(2).alias("score"), F.lit(3).alias("_h"))
+    twice = rows.unionByName(rows.limit(5))
+    out = quality.keep_good(twice, labels)
+    assert out.columns == rows.columns and out.count() >= quality.keep_good(docs, labels).count()
+
+
 def test_quality_edges(spark):
     docs = docs_of(spark, [None, "", "word " * 50_000], [1, 1, None])
     none = spark.createDataFrame([], "doc_id long, quality int")
