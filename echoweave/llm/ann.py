@@ -1,23 +1,29 @@
 """Nearest neighbours by score-aware anisotropic quantisation.
 
-Euclidean nearness is turned into a maximum inner product: a vector x becomes
-(x, -|x|^2 / 2), a query q becomes (q, 1). Vectors are coded by 16 centres for
-each pair of coordinates; codes are chosen so that the residual's part parallel
-to the vector, which moves the inner product, weighs ``ETA`` times as much as
-the rest. A query adds up a table of 4-bit codes for every vector and the best
-``RERANK`` of a block are measured exactly, in double precision.
-
-Scale: the centres are fitted on a bounded sample; every vector is coded. The
-index lies in blocks of ``BLOCK`` vectors, each made in one task; query blocks
-of ``QUERY_BLOCK`` are dealt to every index block by a join on a number
-of the block, so neither side is broadcast or collected, and memory is that of two
-blocks. Equal vectors of a block are coded once and measured once; no more than
-k + 1 of their ids, the smallest, can be among the k nearest.
+Vectors are dealt to lists by their nearest coarse centre, and a query looks into
+the lists of its nearest centres. Euclidean nearness there is turned into a
+maximum inner product: a vector x becomes (x, -|x|^2 / 2), a query q becomes
+(q, 1). Vectors are coded by 16 centres for each pair of coordinates; codes are
+chosen so that the residual's part parallel to the vector, which moves the inner
+product, weighs ``ETA`` times as much as the rest. Two 4-bit codes share a byte;
+a query adds up a table of 256 sums for each byte, and the best ``RERANK`` of a
+block are measured exactly, in double precision.
+
+Scale: all centres are fitted on a bounded sample, and so is the number of lists
+that a query looks into: the least that hold ``COVER`` of the sample's true
+neighbours. Every vector is coded. There are about LISTS * sqrt(vectors) lists,
+up to MAX_LISTS, and only their centres and counts are broadcast, so work grows
+with the vectors to the power of 1.5. A list with many vectors - one vector may
+hold a third of the table - is cut into blocks of about ``BLOCK`` by the id's
+hash. Queries of a block are packed too and meet it by a join on list and block,
+so neither side is collected, and memory is that of two blocks. Equal vectors of
+a block are coded once and measured once; no more than k + 1 of their ids, the
+smallest, can be among the k nearest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,9 @@ from .common import checkpointed, doc_columns
 K, QUERY_EVERY = 10, 100
 SAMPLE, CENTRES, ROUNDS, PASSES = 10_000, 16, 12, 2
 ETA = 4.0
+LISTS, MAX_LISTS, LIST_ROUNDS = 1, 16_384, 8
+#: Share of the true neighbours of PROBE_QUERIES vectors of the sample that lie in the lists looked into.
+COVER, PROBE_QUERIES = 0.98, 500
 BLOCK, QUERY_BLOCK, RERANK = 8_192, 512, 128
 
 
@@ -79,29 +88,47 @@ def fit(v: np.ndarray, eta: float = ETA) -> np.ndarray:
     return centres
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, centres: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int = K, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, distance) of each query's k nearest among the block's vectors, its own id left out."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
-    _, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    same = same.ravel()
-    holders = np.argsort(same, kind="stable")  # by vector, then by id
-    starts = np.searchsorted(same[holders], np.arange(len(first) + 1))
-    one, code = x[first].astype(np.float64), codes[first]
+def pack_codes(codes: np.ndarray) -> np.ndarray:
+    """(n, m) codes of four bits -> (n, ceil(m / 2)) bytes, the even code in the lower half."""
+    if codes.shape[1] % 2:
+        codes = np.column_stack([codes, np.zeros(len(codes), np.uint8)])
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def byte_tables(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Queries -> (queries, bytes, 256): what each byte of two codes adds to the inner product."""
     width = centres.shape[0] * 2
-    q_wide = np.column_stack([q.astype(np.float64), np.ones(len(q)), *([np.zeros(len(q))] if width > q.shape[1] + 1 else [])])
-    tables = np.einsum("qmd,mcd->qmc", q_wide.reshape(len(q), -1, 2), centres).astype(np.float32)
-    score = np.zeros((len(q), len(one)), np.float32)
-    for j in range(code.shape[1]):
-        score += tables[:, j][:, code[:, j]]
+    q_wide = np.column_stack([q, np.ones(len(q)), *([np.zeros(len(q))] if width > q.shape[1] + 1 else [])])
+    t = np.einsum("qmd,mcd->qmc", q_wide.reshape(len(q), -1, 2), centres)
+    if t.shape[1] % 2:
+        t = np.concatenate([t, np.zeros((len(q), 1, CENTRES))], 1)
+    return (t[:, 1::2, :, None] + t[:, ::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES).astype(np.float32)
+
+
+def made_block(ids: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids by vector and then by id, where each vector's start, the different vectors, and their packed codes."""
+    one, same = np.unique(x, axis=0, return_inverse=True)
+    order = np.lexsort((ids, same.ravel()))
+    starts = np.searchsorted(same.ravel()[order], np.arange(len(one) + 1))
+    return ids[order], starts, one, pack_codes(encode(augmented(one), centres))
+
+
+def search_block(ids: np.ndarray, starts: np.ndarray, one: np.ndarray, codes: np.ndarray, centres: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int = K, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of each query's k nearest among the block's vectors, its own id left out."""
     depth = min(rerank, len(one))
-    best = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
+    if depth < len(one):
+        tables = byte_tables(q, centres)
+        score = np.zeros((len(q), len(one)), np.float32)
+        for j in range(codes.shape[1]):
+            score += tables[:, j][:, codes[:, j]]
+        best = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
+    else:
+        best = np.broadcast_to(np.arange(len(one)), (len(q), len(one)))
     out_q, out_v, out_d = [], [], []
-    for i, (q_id, row) in enumerate(zip(q_ids.tolist(), best, strict=True)):
-        d = np.sqrt(((one[row] - q[i].astype(np.float64)) ** 2).sum(1))
-        near = np.lexsort((ids[first[row]], d))[: k + 1]
-        found = [(d[j], v) for j in near for v in ids[holders[starts[row[j]] : starts[row[j] + 1]][: k + 1]].tolist() if v != q_id]
-        found.sort()
+    for q_id, x, row in zip(q_ids.tolist(), q, best, strict=True):
+        d = np.sqrt(((one[row] - x) ** 2).sum(1))
+        near = np.lexsort((ids[starts[row]], d))[: k + 1]
+        found = sorted((d[j], v) for j in near for v in ids[starts[row[j]] : min(starts[row[j] + 1], starts[row[j]] + k + 1)].tolist() if v != q_id)
         for dist, v in found[:k]:
             out_q.append(q_id)
             out_v.append(v)
@@ -109,6 +136,30 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, centres: np.
     return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_d)
 
 
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances but for |x|^2."""
+    return (centres * centres).sum(1) - 2 * x @ centres.T
+
+
+def fit_lists(x: np.ndarray, n: int, k: int) -> tuple[np.ndarray, int]:
+    """n coarse centres of the sample, and how many lists a query looks into."""
+    rng = np.random.default_rng(9)
+    centres = x[rng.choice(len(x), min(n, len(x)), False)].copy()
+    for _ in range(LIST_ROUNDS):
+        at = distances(x, centres).argmin(1)
+        count = np.bincount(at, minlength=len(centres))
+        total = np.stack([np.bincount(at, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+    at = distances(x, centres).argmin(1)
+    some = rng.choice(len(x), min(PROBE_QUERIES, len(x)), False)
+    near = distances(x[some], x)
+    near[np.arange(len(some)), some] = np.inf
+    true = at[np.argsort(near, 1)[:, : min(k, len(x) - 1)]]  # lists of the true neighbours
+    place = np.argsort(np.argsort(distances(x[some], centres), 1), 1)
+    need = np.sort(np.take_along_axis(place, true, 1).ravel())
+    return centres, int(need[min(len(need) - 1, int(np.ceil(COVER * len(need))))]) + 1 if len(need) else 1
+
+
 def usable(vector: Column, dims: int) -> Column:
     """Not null, of the common length, with finite components only and one that isn't zero."""
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -122,7 +173,8 @@ def nearest(rows: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
     ties go to the smaller vec_id. Null, zero and non-finite vectors, null ids,
     and vectors of another length than the most frequent one take no part. A
     query's own id is no candidate, in any row; other rows that repeat an id are
-    candidates each for itself. Fewer rows than k: all of them. No rows: none.
+    candidates each for itself. Rows that repeat a query's id ask once, with the
+    smallest of their vectors. Fewer rows than k: all of them. No rows: none.
     Other columns are ignored.
     """
     rows = doc_columns(rows, "vec_id", "embedding").where("vec_id is not null and embedding is not null")
@@ -135,42 +187,80 @@ def nearest(rows: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not sample:
         return rows.sparkSession.createDataFrame([], schema)
-    centres = fit(augmented(np.array([r.x for r in sample], float)))
+    x = np.array([r.x for r in sample], float)
+    centres = fit(augmented(x))
+    coarse, probes = fit_lists(x, max(1, min(MAX_LISTS, int(LISTS * rows.count() ** 0.5))), k)
+    shared = rows.sparkSession.sparkContext.broadcast((centres, coarse))
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                v = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(distances(v, shared.value[1]).argmin(1), pa.int32())], names=["vec_id", "x", "list"])
 
-    def packed(size: int, coded: bool):
-        """Rows -> one row for each block of up to size: ids and vectors (and codes) as bytes."""
+    listed = checkpointed(rows.mapInArrow(assigned, "vec_id long, x array<double>, list int"))
+    # a row for each list, MAX_LISTS at most
+    counts = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+
+    def packed(size: int, make: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> Callable:
+        """Rows that lie together by list and block -> one row for each group, or of a larger one for each up to size: ids, vectors and more as bytes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def out(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-                codes = encode(augmented(x), centres).tobytes() if coded else b""
-                return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (ids.tobytes(), x.tobytes(), codes)], names=["ids", "x", "codes"])
+            def out(key: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(key[:1], pa.int32()), pa.array(key[1:], pa.int32()), *(pa.array([m.tobytes()], pa.binary()) for m in make(ids, v))], names=["list", "part", *names])
 
-            ids, x = np.zeros(0, np.int64), np.zeros((0, dims))
+            keys, ids, v = np.zeros((0, 2), np.int32), np.zeros(0, np.int64), np.zeros((0, dims))
             for b in batches:
+                keys = np.concatenate([keys, np.column_stack([b.column(c).to_numpy() for c in ("list", "part")])])
                 ids = np.concatenate([ids, b.column("vec_id").to_numpy()])
-                x = np.concatenate([x, b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)])
-                while len(ids) >= size:
-                    yield out(ids[:size], x[:size])
-                    ids, x = ids[size:], x[size:]
+                v = np.concatenate([v, b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)])
+                ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(ids)]
+                lo = 0
+                for hi in ends:  # the last group may go on in the next batch
+                    while hi - lo >= size or (hi < len(ids) and hi > lo):
+                        end = min(hi, lo + size)
+                        yield out(keys[lo], ids[lo:end], v[lo:end])
+                        lo = end
+                keys, ids, v = keys[lo:], ids[lo:], v[lo:]
             if len(ids):
-                yield out(ids, x)
+                yield out(keys[0], ids, v)
 
         return run
 
-    form = "ids binary, x binary, codes binary"
-    index = checkpointed(rows.mapInArrow(packed(block, True), form))
-    groups = max(1, index.count())  # of about one index block each
-    index = index.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(packed(query_block, False), form)
-    dealt = queries.select(F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    dealt = listed.join(counts, "list").select("list", part.alias("part"), "vec_id", "x").repartition("list", "part").sortWithinPartitions("list", "part")
+    index = checkpointed(dealt.mapInArrow(packed(2 * block, lambda i, v: made_block(i, v, shared.value[0]), ["ids", "starts", "one", "codes"]), "list int, part int, ids binary, starts binary, one binary, codes binary"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, x, codes, q_ids, q in zip(*(b.column(c) for c in ("ids", "x", "codes", "q_ids", "q")), strict=True):
-                v = np.frombuffer(ids.as_buffer(), np.int64)
-                found = search_block(v, np.frombuffer(x.as_buffer()).reshape(-1, dims), np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(v), -1), centres, np.frombuffer(q_ids.as_buffer(), np.int64), np.frombuffer(q.as_buffer()).reshape(-1, dims), k, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
-
-    found = index.join(dealt, "group").select("ids", "x", "codes", "q_ids", "q").mapInArrow(scan, "query_id long, vec_id long, score double")
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(queries: DataFrame, probes: int) -> DataFrame:
+        """queries(vec_id, x) -> query_id, vec_id, score, rank of the k nearest in so many lists."""
+
+        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                near = np.argsort(distances(v, shared.value[1]), 1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["vec_id", "x", "lists"])
+
+        asked = queries.mapInArrow(probed, "vec_id long, x array<double>, lists array<int>").select("vec_id", "x", F.explode("lists").alias("list")).join(counts, "list")
+        asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "vec_id", "x").repartition("list", "part").sortWithinPartitions("list", "part")
+        asked = asked.mapInArrow(packed(query_block, lambda i, v: (i, v), ["q_ids", "q"]), "list int, part int, q_ids binary, q binary")
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for ids, starts, one, codes, q_ids, q in zip(*(b.column(c) for c in ("ids", "starts", "one", "codes", "q_ids", "q")), strict=True):
+                    of = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
+                    vectors = of(one, np.float64).reshape(-1, dims)
+                    found = search_block(of(ids, np.int64), of(starts, np.int64), vectors, of(codes, np.uint8).reshape(len(vectors), -1), shared.value[0], of(q_ids, np.int64), of(q, np.float64).reshape(-1, dims), k, rerank)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+        found = index.join(asked, ["list", "part"]).select("ids", "starts", "one", "codes", "q_ids", "q").mapInArrow(scan, "query_id long, vec_id long, score double")
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+        return checkpointed(found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    queries = listed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    out = search(queries, probes)
+    if probes < len(coarse):  # a query whose lists held too few looks into all
+        short = queries.join(out.where(F.col("rank") == k), queries["vec_id"] == out["query_id"], "left_anti")
+        if not short.isEmpty():
+            out = out.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(short, len(coarse)))
+    return out

@@ -590,6 +590,35 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_neighbours_of_a_large_clustered_table_with_a_hot_vector(spark):
+    """Several lists, lists of several blocks, a vector that a third of the rows share; recall against brute force."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 6000)] + 0.4 * rng.normal(size=(6000, 16))
+    x[rng.random(6000) < 1 / 3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, block=256, query_block=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(6000), d))[:10].tolist()
+        assert len(got[q]) == 10
+        hit += len(set(want) & set(got[q]))
+    assert hit >= 0.9 * 10 * 60
+
+
+def test_packed_codes_and_tables():
+    rng = np.random.default_rng(5)
+    codes, centres, q = rng.integers(0, 16, (50, 5), np.uint8), rng.normal(size=(5, 16, 2)), rng.normal(size=(3, 9))
+    packed, tables = ann.pack_codes(codes), ann.byte_tables(q, centres)
+    score = sum(tables[:, j][:, packed[:, j]] for j in range(packed.shape[1]))
+    wide = np.column_stack([q, np.ones(3)]).reshape(3, 5, 2)
+    want = np.array([[sum(wide[i, m] @ centres[m, c[m]] for m in range(5)) for c in codes] for i in range(3)])
+    assert np.allclose(score, want, atol=1e-4)
+
+
 def test_neighbours_edges(spark):
     v = [0.0, 1.0, 0.5, 2.0]
     bad = [None, [0.0] * 4, [1.0, float("nan"), 0.0, 0.0], [1.0, float("inf"), 0.0, 0.0], [1.0, None, 0.0, 0.0], [1.0]]
