@@ -119,7 +119,7 @@ def train(docs: DataFrame) -> Model:
         return Model()
     # of each language the ids whose hash is below its share: no window holds a language
     u = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.select("doc_id", "lang").join(counts, "lang").where(u < max(8, SAMPLE_DOCS // n) / F.col("rows")).select("doc_id").distinct().limit(max(16 * n, 2 * SAMPLE_DOCS))
+    picked = known.select("doc_id", "lang").join(counts, "lang").where(u < max(8, SAMPLE_DOCS // n) / F.col("rows")).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(8), F.col("doc_id")), "doc_id").limit(max(16 * n, 2 * SAMPLE_DOCS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

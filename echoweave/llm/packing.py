@@ -3,7 +3,7 @@
 Every document is tokenised, closed with an end id and cut into pieces of at
 most ``CAPACITY`` ids. Full pieces are sequences of their own; the rest is
 dealt, longest first, to the sequence of the lowest cost (linear plus quadratic
-in each piece's length) with capacity left, cut where it doesn't fit.
+in each piece's length) that has room for it; it is cut where none has.
 
 Scale: one pass without any shuffle. A task packs its own documents in blocks
 of about ``BLOCK_BYTES`` of text, so memory doesn't grow with the partition and
@@ -33,8 +33,6 @@ END_ID = 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Text of the documents that are packed together.
 BLOCK_BYTES = 8 << 20
-#: Sequences that are looked at for a place where a piece needs no cut.
-LOOK = 16
 VOCABULARY = "byte_bpe_50k"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -65,12 +63,50 @@ def encoder(vocabulary: str = VOCABULARY):
     return encode
 
 
+class Open:
+    """Sequences with room, by room: a tree over the rooms finds the cheapest one of at least some room."""
+
+    def __init__(self, n: int, capacity: int) -> None:
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.best = [(np.inf, -1)] * (2 * self.size)
+        self.heaps[capacity] = [(0.0, s) for s in range(n)]
+        self.settle(capacity)
+
+    def settle(self, room: int) -> None:
+        heap, i = self.heaps[room], room + self.size
+        self.best[i] = heap[0] if heap else (np.inf, -1)
+        while i > 1:
+            i //= 2
+            self.best[i] = min(self.best[2 * i], self.best[2 * i + 1])
+
+    def cheapest(self, room: int) -> tuple[float, int]:
+        lo, hi, out = room + self.size, 2 * self.size, (np.inf, -1)
+        while lo < hi:
+            if lo & 1:
+                out = min(out, self.best[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                out = min(out, self.best[hi])
+            lo, hi = lo // 2, hi // 2
+        return out
+
+    def take(self, room: int) -> None:
+        heapq.heappop(self.heaps[room])
+        self.settle(room)
+
+    def put(self, room: int, cost: float, s: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, s))
+        self.settle(room)
+
+
 def deal(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Token counts -> pieces (document, start, length, sequence, offset), sequences from 0 and gapless.
 
     Documents are taken by descending length of what is left after their full
-    pieces, ties in order; a piece goes to the cheapest sequence where it fits
-    among the ``LOOK`` cheapest with room, else it is cut to the cheapest one.
+    pieces, ties in order; a piece goes to the cheapest sequence that has room
+    for it, ties to the first; if none has, it is cut to the cheapest one.
     """
     pieces, rests, n_seq = [], [], 0
     for d, n in enumerate(lengths):
@@ -80,25 +116,20 @@ def deal(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
         if n % capacity:
             rests.append((d, full * capacity, n % capacity))
     need = -(-sum(r[2] for r in rests) // capacity)
-    used = [0] * need
-    heap = [(0.0, s) for s in range(need)]
+    used, left = [0] * need, Open(need, capacity)
     for d, start, n in sorted(rests, key=lambda r: -r[2]):
         while n:
-            seen = []
-            while heap and len(seen) < LOOK:
-                cost, s = heapq.heappop(heap)
-                seen.append((cost, s))
-                if capacity - used[s] >= n:
-                    break
-            cost, s = seen.pop() if capacity - used[seen[-1][1]] >= n else seen.pop(0)
-            for x in seen:
-                heapq.heappush(heap, x)
-            take = min(n, capacity - used[s])
+            cost, s = left.cheapest(n)
+            if s < 0:
+                cost, s = left.cheapest(1)
+            room = capacity - used[s]
+            take = min(n, room)
+            left.take(room)
             pieces.append((d, start, take, n_seq + s, used[s]))
             used[s] += take
             start, n = start + take, n - take
             if used[s] < capacity:
-                heapq.heappush(heap, (cost + LINEAR * take + QUADRATIC * take * take, s))
+                left.put(capacity - used[s], cost + LINEAR * take + QUADRATIC * take * take, s)
     return pieces
 
 
@@ -109,6 +140,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     counts as empty: the end id alone. Rows that repeat a doc_id are packed each
     for itself. A null doc_id stays null. No documents: no rows. Other columns
     are ignored. crc32 is over the ids as little-endian unsigned 32-bit numbers.
+    Ids are those of the tokenizers library's file; encoder() says where another
+    library that reads the same vocabulary encodes them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
