@@ -70,6 +70,19 @@ def fires(alphas: Column, threshold: float = CIF_THRESHOLD) -> Column:
     return F.aggregate(alphas, state, step, lambda s: s["at"])
 
 
+def token_times(places: Column, n: Column, longest: Column, unit: float = 20.0, grid: int = 60) -> Column:
+    """Milliseconds of n + 1 token bounds from firing places: units, kept between 0 and the longest.
+
+    Missing ones follow the last in steps of the grid; with fewer than two
+    places all lie on the grid.
+    """
+    have = F.size(places)
+    known = F.transform(F.slice(places, F.lit(1), n + 1), lambda p: F.least(longest, F.greatest(F.lit(0), F.round(p * unit).cast("int"))))
+    after = F.transform(F.when(have <= n, F.sequence(have, n)).otherwise(F.array().cast("array<int>")), lambda i: F.least(longest, F.element_at(known, -1) + (i - have + 1) * grid))
+    even = F.transform(F.sequence(F.lit(0), n), lambda i: F.least(longest, i * grid))
+    return F.when(n <= 0, F.array().cast("array<int>")).when(have < 2, even).otherwise(F.concat(known, after))
+
+
 def padded(v: Column, size: int) -> Column:
     """Cut or zero-padded to a size."""
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), size)), 1, size)

@@ -1,12 +1,16 @@
 """Clusters over label tables: aligning batches, merging fragments, repairing weak profiles.
 
-A label table has one row per label (and batch). Folds over such tables run on
-the driver; everything with a row per window stays in Spark.
+A label table has one row per label (and batch) of a job. Folds over it run in
+one task for each job; everything with a row per window stays distributed.
+Helpers that take a plain list (merge_fragments) fold over one job's table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,28 +24,36 @@ def cos(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1.0))
 
 
-def align_batches(df: DataFrame, batch: str, label: str, vector: str, least: float = SAME) -> DataFrame:
+def align_batches(df: DataFrame, batch: str, label: str, vector: str, least: float = SAME, keys: Sequence[str] = ()) -> DataFrame:
     """Local labels of each batch -> global labels, in batch order: the most alike known centroid, if alike enough, else a new one.
 
-    Centroids are averaged in Spark; the fold over (batch, label) rows is on the driver.
+    Centroids are averaged in Spark; a job (keys) folds over its (batch, label) rows in one task.
     """
-    spark = df.sparkSession
-    key = df.withColumn("_k", F.struct(F.col(batch).alias("batch"), F.col(label).alias("label")))
+    job = F.struct(F.lit(0).alias("_"), *(F.col(k) for k in keys))
+    key = df.withColumn("_k", F.struct(job.alias("job"), F.col(batch).alias("batch"), F.col(label).alias("label")))
     members = key.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
-    known: list[list] = []
-    out = []
-    for r in sorted(X.centroids(key, "_k", vector).join(members, "_k").collect(), key=lambda r: (r["_k"]["batch"], r["_k"]["label"])):
-        c = np.array(r["centroid"])
-        scores = [cos(c, k[0]) for k in known]
-        at = int(np.argmax(scores)) if scores else -1
-        if at >= 0 and scores[at] >= least:
-            old, n = known[at]
-            known[at] = [(old * n + c * r["n"]) / (n + r["n"]), n + r["n"]]
-        else:
-            known.append([c, r["n"]])
-            at = len(known) - 1
-        out.append((int(r["_k"]["batch"]), int(r["_k"]["label"]), at))
-    return spark.createDataFrame(out, f"{batch} long, {label} long, global_label long")
+    table = X.centroids(key, "_k", vector).join(members, "_k").select(*(F.col(f"_k.job.{k}").alias(k) for k in keys), F.col("_k.batch").alias(batch), F.col("_k.label").alias(label), "centroid", "n")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known: list[list] = []
+        out = []
+        pdf = pdf.sort_values([batch, label])
+        for centroid, n in zip(pdf["centroid"], pdf["n"], strict=True):
+            c = np.array(centroid)
+            scores = [cos(c, k[0]) for k in known]
+            at = int(np.argmax(scores)) if scores else -1
+            if at >= 0 and scores[at] >= least:
+                old, m = known[at]
+                known[at] = [(old * m + c * n) / (m + n), m + n]
+            else:
+                known.append([c, n])
+                at = len(known) - 1
+            out.append(at)
+        return pdf[[*keys, batch, label]].assign(global_label=out)
+
+    types = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    grouped = table.groupBy(*keys) if keys else table.groupBy(F.lit("all"))
+    return grouped.applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), f"{batch} {types[batch]}", f"{label} {types[label]}", "global_label long"]))
 
 
 def merge_fragments(profiles: list[dict], total_ms: int) -> dict[int, int]:
@@ -74,6 +86,42 @@ def merge_fragments(profiles: list[dict], total_ms: int) -> dict[int, int]:
     return into
 
 
+def merged_fragments(profiles: DataFrame, job: str) -> DataFrame:
+    """profiles(job, label, centroid, duration_ms, chunks, cohesion, total_ms) -> job, label, into: merge_fragments() in each job."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        into = merge_fragments(pdf.to_dict("records"), int(pdf["total_ms"].iloc[0]))
+        return pd.DataFrame({job: pdf[job].iloc[0], "label": list(into), "into": list(into.values())})
+
+    types = {f.name: f.dataType.simpleString() for f in profiles.schema.fields}
+    return profiles.groupBy(job).applyInPandas(run, f"{job} {types[job]}, label {types['label']}, into {types['label']}")
+
+
+def linked_labels(labels: DataFrame, pairs: DataFrame, job: str, label: str) -> DataFrame:
+    """labels(job, label), pairs(job, a, b) -> job, label, root: the smallest label that pairs lead to.
+
+    A job's label table is small: its pairs are united in one task, job by job.
+    """
+    schema = f"{job} {labels.schema[job].dataType.simpleString()}, {label} {labels.schema[label].dataType.simpleString()}, root {labels.schema[label].dataType.simpleString()}"
+
+    def run(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        root = {x: x for x in rows[label]}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in zip(links["_a"], links["_b"], strict=True):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return pd.DataFrame({job: key[0], label: list(root), "root": [find(x) for x in root]})
+
+    links = pairs.select(F.col(job).alias("_job"), F.col("a").alias("_a"), F.col("b").alias("_b"))  # columns of their own: both tables may come from one
+    return labels.groupBy(job).cogroup(links.groupBy("_job")).applyInPandas(run, schema)
+
+
 def reassign(df: DataFrame, key: str, label: str, vector: str, valid: DataFrame, least: float = REASSIGN_MIN) -> DataFrame:
     """Rows of labels that aren't in valid(label, centroid) go to the most alike valid label, -1 if none is alike enough."""
     lost = df.join(valid.select(label), label, "left_anti")

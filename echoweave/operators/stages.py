@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder that ``spark.checkpoint.dir`` names (a temporary one only where it is unset).
+    """The rows, written once to the shared folder that ``spark.checkpoint.dir`` names (a temporary one only in local mode).
 
     For plans that must not be evaluated twice with different outcomes, such as
     ids that depend on sampled range bounds.
@@ -16,5 +16,7 @@ def materialized(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

@@ -88,12 +88,9 @@ def profile_health(pairs: DataFrame, persons: DataFrame, few: float = 0.50, many
     return rows.select("label", "person", "sibling", health.alias("health"))
 
 
-def merge_labels(centers: DataFrame, label: str, least: float = MERGE_MIN) -> dict[int, int]:
-    """Greedy agglomeration of the label table: the best pair merges, weighted by members, until no pair is alike enough.
-
-    The table has a row per label and is read to the driver for it.
-    """
-    rows = {r[label]: (np.array(r["centroid"]), r["members"]) for r in centers.collect()}
+def merged_labels(rows: dict[int, tuple[np.ndarray, int]], least: float = MERGE_MIN) -> dict[int, int]:
+    """Greedy agglomeration of one job's label -> (centroid, members): the best pair merges, weighted by members, until no pair is alike enough."""
+    rows = dict(rows)
     into = {k: k for k in rows}
     while len(rows) > 1:
         keys = sorted(rows)
@@ -110,6 +107,18 @@ def merge_labels(centers: DataFrame, label: str, least: float = MERGE_MIN) -> di
     return {k: order[v] for k, v in into.items()}
 
 
+def merge_labels(centers: DataFrame, label: str, least: float = MERGE_MIN, keys: tuple[str, ...] = ()) -> DataFrame:
+    """centers(keys, label, centroid, members) -> keys, label, merged: merged_labels() of each job's label table, in a task for each job."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        into = merged_labels({k: (np.array(c), n) for k, c, n in zip(pdf[label], pdf["centroid"], pdf["members"], strict=True)}, least)
+        return pdf[[*keys, label]].assign(merged=[into[k] for k in pdf[label]])
+
+    types = {f.name: f.dataType.simpleString() for f in centers.schema.fields}
+    grouped = centers.groupBy(*keys) if keys else centers.groupBy(F.lit("all"))
+    return grouped.applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), f"{label} {types[label]}", "merged long"]))
+
+
 def batch_ranges(total: Column, size: int = 4096, overlap: int = 256) -> Column:
     """Ranges of at most size, each overlapping the one before."""
     step = size - overlap
@@ -117,6 +126,15 @@ def batch_ranges(total: Column, size: int = 4096, overlap: int = 256) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.struct(i.alias("batch"), (i * step).alias("lo"), F.least(i * step + size, total).alias("hi")))
 
 
+def batched(df: DataFrame, position: str, size: int = 4096, overlap: int = 256) -> DataFrame:
+    """df with batch: each row in the batches of batch_ranges() that its position (from 0) lies in, two in an overlap."""
+    step = size - overlap
+    total = df.agg(F.count(F.lit(1))).scalar()
+    last = F.when(total <= size, F.lit(0)).otherwise(F.ceil((total - overlap) / step) - 1)
+    lo, hi = F.greatest(F.lit(0), F.floor((F.col(position) - size) / step) + 1), F.least(F.floor(F.col(position) / step), last)
+    return df.withColumn("batch", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
+
+
 def top_edges(df: DataFrame, batch: str, node: str, vector: str, keep: int) -> DataFrame:
     """Affinity edges inside each batch: of every node its ``keep`` most alike, itself included, ties to the smaller node.
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from echoweave.functions import text as T
 from echoweave.functions import timing
+from echoweave.operators import catalog, folds, runs
 from echoweave.operators import documents as O
-from echoweave.operators import folds, runs
 
 from .registry import KEYS, ORDER, query, table, tokens
 
@@ -37,7 +37,7 @@ def vocab_lookup(spark: S, d: D) -> DataFrame:
     """Token ids from a vocabulary table, 0 for what it doesn't have."""
     w = docs(spark, d).select("doc_id", F.explode(T.mixed_tokens(F.coalesce("text", F.lit("")))).alias("token"))
     v = table(spark, d, "part").select(F.lower("p_type").alias("token")).union(w.where(F.length("token") == 2).select("token")).distinct()
-    v = v.withColumn("id", F.row_number().over(W.orderBy("token")))
+    v = catalog.positioned(v, [F.col("token")], "id")
     return w.join(v, "token", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("id", F.lit(0)).cast("long")).alias("id_sum"))
 
 
@@ -50,7 +50,7 @@ def first_occurrence_index(spark: S, d: D) -> DataFrame:
 def glossary_normalize(spark: S, d: D) -> DataFrame:
     t = table(spark, d, "part").select("p_partkey", T.strip(F.col("p_type")).alias("term")).where("term <> ''")
     first = O.first_of_each(t, F.lower("term"), "p_partkey")
-    return first.select("term", F.row_number().over(W.orderBy(F.lower("term"))).cast("long").alias("pos"))
+    return catalog.positioned(first.select("term"), [F.lower("term")]).select("term", "pos")
 
 
 @query("""WITH s AS (SELECT p_partkey, p_name, length(p_name) AS n, round(p_retailprice * 3)::BIGINT AS len FROM part)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echoweave.functions import timing
+from echoweave.functions import vectors as V
 from echoweave.operators import folds, frames, intervals, runs, timeline
 
 from .registry import HOUR, KEYS, ORDER, TOK, query, r6, table, tokens
@@ -181,17 +182,16 @@ def nearest_rank_percentile(spark: S, d: D) -> DataFrame:
 @query(f"""WITH {TOK}, a AS (SELECT *, row_number() OVER w AS pos, sum(least(round(value * 100), 5000)::BIGINT) OVER w AS c, least(round(value * 100), 5000)::BIGINT AS x FROM tok WINDOW w AS (PARTITION BY user_id ORDER BY sm, event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, pos FROM a WHERE c // 5000 > (c - x) // 5000""")
 def integrate_and_fire(spark: S, d: D) -> DataFrame:
-    """No step is above the threshold, so a step fires where the running sum passes a multiple of it: a window instead of a fold."""
-    w = runs.ordered(KEYS, ORDER)
-    x = F.least(F.round(F.col("value") * 100), F.lit(5000)).cast("long")
-    t = tokens(spark, d).withColumns({"x": x, "pos": F.row_number().over(w).cast("long")}).withColumn("c", F.sum("x").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return t.where(F.floor(F.col("c") / 5000) > F.floor((F.col("c") - F.col("x")) / 5000)).select("user_id", "pos")
+    """The library's fold over each recording's array of weights; no step is above the threshold, so SQL can say it by a running sum."""
+    x = F.least(F.round(F.col("value") * 100), F.lit(5000)).cast("double")
+    t = tokens(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sm", "event_id", x.alias("x")))), lambda s: s["x"]).alias("alphas"))
+    return t.select("user_id", F.explode(V.fires(F.col("alphas"), 5000.0)).alias("pos")).select("user_id", (F.col("pos") + 1).cast("long").alias("pos"))
 
 
 @query(f"""WITH {TOK}, a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY sm, event_id) - 1 AS i FROM tok) SELECT user_id, i - 1.5::DOUBLE AS place FROM a WHERE value / 100 >= 1 - 1e-4::DOUBLE""")
 def threshold_positions(spark: S, d: D) -> DataFrame:
-    t = tokens(spark, d).withColumn("i", F.row_number().over(runs.ordered(KEYS, ORDER)) - 1)
-    return t.where(F.col("value") / 100 >= 1 - 1e-4).select("user_id", (F.col("i") - F.lit(1.5)).cast("double").alias("place"))
+    t = tokens(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sm", "event_id", "value"))), lambda s: s["value"] / 100).alias("peaks"))
+    return t.select("user_id", F.explode(V.fire_places(F.col("peaks"))).alias("place"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice * 16)::BIGINT AS n, (l_quantity * 37)::BIGINT AS a, (l_quantity * 91)::BIGINT AS b FROM lineitem)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from echoweave.functions import vectors as V
 from echoweave.functions.hashing import fingerprint_id
-from echoweave.operators import frames, runs, votes
+from echoweave.operators import catalog, clustering, frames, runs, votes
 from echoweave.operators import vectors as X
 
 from .registry import HOUR, KEYS, ORDER, TOK, query, r6, table, tokens
@@ -223,46 +223,57 @@ def suggestions(spark: S, d: D) -> DataFrame:
     return t.select("label", "other", "rank", F.when(F.col("cos") > 0.8, "high").when(F.col("cos") > 0.6, "medium").otherwise("low").alias("bucket"))
 
 
-EDGES = """WITH n AS (SELECT vec_id // 128 AS batch, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+#: Batches of 4,096 vectors, the last 256 of one the first of the next.
+EDGES = """WITH o AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS total FROM embeddings),
+ n AS (SELECT unnest(range(greatest(0, floor((pos - 4096) / 3840.0)::BIGINT + 1), least(pos // 3840, CASE WHEN total <= 4096 THEN 0 ELSE ceil((total - 256) / 3840.0)::BIGINT - 1 END) + 1)) AS batch, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM o),
  p AS (SELECT a.batch, a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.x, b.x), 12) AS w FROM n a JOIN n b ON a.batch = b.batch),
- e AS (SELECT batch, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS k FROM p) WHERE k <= 6),
+ e AS (SELECT batch, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY batch, src ORDER BY w DESC, dst) AS k FROM p) WHERE k <= 6),
  y AS (SELECT batch, src, dst, sum(w) / 2 AS w FROM (SELECT * FROM e UNION ALL SELECT batch, dst, src, w FROM e) GROUP BY batch, src, dst)
 """
 
 
+def batches(spark: S, d: D) -> DataFrame:
+    rows = catalog.positioned(emb(spark, d).select("vec_id", "embedding"), [F.col("vec_id")])
+    return X.batched(rows.withColumn("pos", F.col("pos") - 1), "pos").drop("pos")
+
+
 def edges(spark: S, d: D) -> DataFrame:
-    """Affinity graph inside batches of 128 vectors: six edges a node, itself included."""
-    e = emb(spark, d).withColumn("batch", F.floor(F.col("vec_id") / 128))
-    return X.top_edges(e.select("batch", "vec_id", "embedding"), "batch", "vec_id", "embedding", 6)
+    """Affinity graph inside the overlapping batches: six edges a node, itself included."""
+    return X.top_edges(batches(spark, d).select("batch", "vec_id", "embedding"), "batch", "vec_id", "embedding", 6)
 
 
-@query(EDGES + "SELECT src, dst, round(w, 6) AS w FROM e")
+@query(EDGES + "SELECT batch, src, dst, round(w, 6) AS w FROM e")
 def topp_graph(spark: S, d: D) -> DataFrame:
-    return edges(spark, d).select("src", "dst", r6("w").alias("w"))
+    return edges(spark, d).select("batch", "src", "dst", r6("w").alias("w"))
 
 
-@query(EDGES + "SELECT src, round(sum(abs(w)), 6) AS degree, count(*) AS neighbours FROM y WHERE src <> dst GROUP BY src")
+@query(EDGES + "SELECT batch, src, round(sum(abs(w)), 6) AS degree, count(*) AS neighbours FROM y WHERE src <> dst GROUP BY batch, src")
 def graph_laplacian(spark: S, d: D) -> DataFrame:
-    return X.laplacian_degrees(edges(spark, d), ["batch"]).select("src", r6("degree").alias("degree"), "neighbours")
+    return X.laplacian_degrees(edges(spark, d), ["batch"]).select("batch", "src", r6("degree").alias("degree"), "neighbours")
 
 
-@query(EDGES + "SELECT src, round(sum(w * (dst % 7)), 6) AS y FROM y GROUP BY src")
+@query(EDGES + "SELECT batch, src, round(sum(w * (dst % 7)), 6) AS y FROM y GROUP BY batch, src")
 def spmv(spark: S, d: D) -> DataFrame:
     sym = X.symmetrized(edges(spark, d), ["batch"])
-    v = emb(spark, d).select(F.floor(F.col("vec_id") / 128).alias("batch"), F.col("vec_id").alias("node"), (F.col("vec_id") % 7).alias("x"))
-    return X.spmv(sym, ["batch"], v).select("src", r6("y").alias("y"))
+    v = batches(spark, d).select("batch", F.col("vec_id").alias("node"), (F.col("vec_id") % 7).alias("x"))
+    return X.spmv(sym, ["batch"], v).select("batch", "src", r6("y").alias("y"))
 
 
 @query()
 def spectral_labels(spark: S, d: D) -> DataFrame:
-    return X.spectral_labels(edges(spark, d), "batch")
+    """Clusters of each batch, brought to one numbering by their centroids; a vector of two batches has the label of the first."""
+    of = X.spectral_labels(edges(spark, d), "batch")
+    vectors = emb(spark, d).select(F.col("vec_id").alias("node"), "embedding")
+    one = clustering.align_batches(of.join(vectors, "node"), "batch", "label", "embedding")
+    return of.join(one, ["batch", "label"]).groupBy(F.col("node").alias("vec_id")).agg(F.min_by("global_label", "batch").alias("label"))
 
 
 @query("WITH g AS (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i, lead(s_acctbal) OVER (ORDER BY s_acctbal, s_suppkey) - s_acctbal AS gap FROM supplier) SELECT i AS k, round(gap, 6) AS gap FROM g WHERE i >= 2 AND gap IS NOT NULL ORDER BY g.gap DESC, i LIMIT 1")
 def eigengap_k(spark: S, d: D) -> DataFrame:
     """Suppliers' balances stand for eigenvalues, a short list; the largest gap from rank 2 on, the first on a tie."""
-    w = W.orderBy("s_acctbal", "s_suppkey")
-    g = table(spark, d, "supplier").select(F.row_number().over(w).cast("long").alias("k"), (F.lead("s_acctbal").over(w) - F.col("s_acctbal")).alias("gap"))
+    t = catalog.positioned(table(spark, d, "supplier").select("s_acctbal", "s_suppkey"), [F.col("s_acctbal"), F.col("s_suppkey")], "k")
+    after = t.select((F.col("k") - 1).alias("k"), F.col("s_acctbal").alias("_next"))
+    g = t.join(after, "k").withColumn("gap", F.col("_next") - F.col("s_acctbal"))
     return g.where("k >= 2 and gap is not null").orderBy(F.desc("gap"), "k").limit(1).select("k", r6("gap").alias("gap"))
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from echoweave.functions import vectors as V
 from echoweave.operators import clustering, pauses, punctuation
 from echoweave.operators import vectors as X
 from echoweave.sources.failover import Keys
@@ -73,3 +74,48 @@ def test_profile_health(spark):
     pairs = spark.createDataFrame([(x, y, c) for (a, b), c in cos.items() for x, y in ((a, b), (b, a))], "label int, other int, cos double")
     got = {r.label: r.health for r in X.profile_health(pairs, persons).collect()}
     assert got == {0: "red", 1: "red", 2: "green", 3: "green", 4: "red", 5: "gray"}
+
+
+def test_merges_of_each_job(spark):
+    near = [[1.0, 0.0, 0.0], [0.9, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.9, 0.3]]
+    rows = [(job, k, v, 10) for job in (1, 2) for k, v in enumerate(near if job == 1 else near[1:3])]
+    df = spark.createDataFrame(rows, "job int, label int, centroid array<double>, members int")
+    got = {(r.job, r.label): r.merged for r in X.merge_labels(df, "label", keys=("job",)).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 1, (1, 3): 1, (2, 0): 0, (2, 1): 1}
+    profiles = df.select("job", "label", "centroid", (F.lit(20_000) - F.col("label") * 1000).alias("duration_ms"), F.lit(5).alias("chunks"), F.lit(0.9).alias("cohesion"), F.lit(100_000).alias("total_ms"))
+    got = {(r.job, r.label): r.into for r in clustering.merged_fragments(profiles, "job").collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (1, 3): 2, (2, 0): 0, (2, 1): 1}
+
+
+def test_labels_of_jobs_are_aligned_and_linked(spark):
+    df = spark.createDataFrame([(j, b, k, v) for j in (1, 2) for b, k, v in [(0, 0, [1.0, 0.0]), (0, 1, [0.0, 1.0]), (1, 0, [0.1, 1.0]), (1, 1, [-1.0, 0.0])]], "job int, batch int, label int, v array<double>")
+    got = {(r.job, r.batch, r.label): r.global_label for r in clustering.align_batches(df, "batch", "label", "v", keys=("job",)).collect()}
+    assert got == {(j, *k): g for j in (1, 2) for k, g in {(0, 0): 0, (0, 1): 1, (1, 0): 1, (1, 1): 2}.items()}
+    labels = spark.createDataFrame([(1, x) for x in "abcdefg"] + [(2, "a")], "job int, label string")
+    pairs = spark.createDataFrame([(1, "f", "c"), (1, "a", "f"), (1, "d", "g"), (1, "g", "e")], "job int, a string, b string")
+    got = {(r.job, r.label): r.root for r in clustering.linked_labels(labels, pairs, "job", "label").collect()}
+    assert got == {(1, "a"): "a", (1, "b"): "b", (1, "c"): "a", (1, "d"): "d", (1, "e"): "d", (1, "f"): "a", (1, "g"): "d", (2, "a"): "a"}
+
+
+def test_batches_overlap_as_their_ranges_say(spark):
+    for n in (3, 10, 11, 17, 18, 25):
+        rows = spark.range(n).select(F.col("id").alias("pos"))
+        got = {(r.pos, r.batch) for r in X.batched(rows, "pos", 10, 3).collect()}
+        ranges = spark.range(1).select(F.explode(X.batch_ranges(F.lit(n), 10, 3)).alias("r")).select("r.*").collect()
+        assert got == {(p, r.batch) for r in ranges for p in range(r.lo, r.hi)}
+
+
+def test_token_times(spark):
+    def brute(places, n, longest):
+        if len(places) < 2:
+            return [min(longest, i * 60) for i in range(n + 1)]
+        out = [min(longest, max(0, int(p * 20 + 0.5))) for p in places[: n + 1]]
+        last = out[-1]
+        while len(out) < n + 1:
+            out.append(min(longest, last + (len(out) - (len(places) - 1)) * 60))
+        return out
+
+    rows = [([-1.5, 2.5, 9.5], n, 700) for n in (1, 2, 3, 5)] + [([4.5], 3, 100), ([], 2, 900), ([1.5, 2.5, 40.5, 60.5], 6, 1000)]
+    df = spark.createDataFrame(rows, "places array<double>, n int, longest int")
+    got = df.select("places", "n", "longest", V.token_times(F.col("places"), F.col("n"), F.col("longest")).alias("t")).collect()
+    assert all(r.t == brute(r.places, r.n, r.longest) for r in got)

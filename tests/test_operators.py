@@ -228,7 +228,7 @@ def test_profiles_and_graph(spark):
     assert edges.count() == 320
     labels = {r.node: r.label for r in vectors.spectral_labels(edges, "batch").collect()}
     assert len(set(labels[i] for i in range(20))) == 1 and labels[0] != labels[39]
-    merged = vectors.merge_labels(vectors.profiles(df.withColumn("label", (F.col("id") / 10).cast("int")), "label", "v"), "label")
+    merged = {r.label: r.merged for r in vectors.merge_labels(vectors.profiles(df.withColumn("label", (F.col("id") / 10).cast("int")), "label", "v"), "label").collect()}
     assert merged == {0: 0, 1: 0, 2: 1, 3: 1}
     top = {(r["query"], r["neighbour"]) for r in vectors.block_topk(df.where("id = 3"), df, "id", "v", 1, 16).collect()}
     x = np.array([d[2] for d in data])
