@@ -131,10 +131,15 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY)
     return sets.where(F.col("common") >= similarity * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def with_components(members: DataFrame, edges: DataFrame) -> DataFrame:
+def components_of(edges: DataFrame) -> DataFrame:
+    """k1, k2, p1, p2: lines with their components."""
+    return checkpointed(connected_components(edges).select("node.k1", "node.k2", F.col("component.k1").alias("p1"), F.col("component.k2").alias("p2")))
+
+
+def with_components(members: DataFrame, parts: DataFrame) -> DataFrame:
     """members(key, ...) with comp, the component of the key's line."""
-    parts = connected_components(edges).select(F.col("node.k1").alias("key"), F.col("component.k1").alias("comp")).dropDuplicates(["key"])
-    return members.join(parts, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    comps = parts.select(F.col("k1").alias("key"), F.col("p1").alias("comp")).dropDuplicates(["key"])
+    return members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
 def open_groups(members: DataFrame) -> DataFrame:
@@ -151,47 +156,50 @@ def apart(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b", "kind")
 
 
-def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """large(group, key, kind): groups that were compared with one pivot only, edges known -> edges with those that further minima find."""
-    start = checkpointed(open_groups(with_components(large.select("group", "key", "kind"), edges)).drop("n", "low"))
-    if start.isEmpty():
-        return edges
-    rows, before, seed = start, None, 0
-    while True:
-        if seed:  # other minima, of all shingles
-            left = texts.join(rows.select(F.col("key").alias("k1")).distinct(), "k1", "left_semi")
-            signed = checkpointed(signatures(left, seed, ((0, 1 << 31, 0),)))
+def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, compared: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """The components of lines. large(group, key, kind): groups that were compared with one pivot only; compared(a, b): pairs; edges: their links."""
+    parts = components_of(edges)
+    start = checkpointed(open_groups(with_components(large.select("group", "key", "kind"), parts)).drop("n", "low"))
+    rows, before, draw = start, None, 0
+    while not rows.isEmpty():
+        keys = rows.select(F.col("key").alias("k1")).distinct()
+        if draw:  # other minima, of all shingles
+            signed = signatures(texts.join(keys, "k1", "left_semi"), draw, ((0, 1 << 31, 0),))
             rows = rows.withColumn("kind", F.lit(0))
+        else:
+            signed = signed.join(keys, "k1", "left_semi")
+        signed = checkpointed(signed)
         rows = rows.join(signed.select(F.col("k1").alias("key"), "kind", "sig"), ["key", "kind"])
         rows = rows.select(F.explode(F.array(*(F.xxhash64("group", F.lit(c)) for c in range(CHAINS)))).alias("group"), "key", "kind", "comp", "sig")
-        rows = rows.withColumn("from", F.pmod(F.col("group"), F.lit(BANDS * ROWS)).cast("int"))
-        found = []
-        for step in range(0, BANDS * ROWS, STEP):
-            further = (F.get("sig", F.pmod(F.col("from") + step + j, F.lit(BANDS * ROWS))) for j in range(STEP))
-            rows = checkpointed(open_groups(rows.withColumn("group", F.xxhash64("group", *further))))
+        rows = checkpointed(rows.withColumn("at", F.pmod(F.col("group"), F.lit(BANDS * ROWS)).cast("int")))
+        levels = []
+        for _ in range(0, BANDS * ROWS, STEP):  # the place is a column, so that each step is the same code
+            further = [F.get("sig", F.pmod(F.col("at") + j, F.lit(BANDS * ROWS))) for j in range(STEP)]
+            rows = rows.withColumns({"group": F.xxhash64("group", *further), "at": F.pmod(F.col("at") + STEP, F.lit(BANDS * ROWS))})
+            rows = checkpointed(open_groups(rows))
             if rows.isEmpty():
                 break
-            found.append(apart(rows, pairs_in(rows)))
+            levels.append(rows.select("group", "key", "kind", "comp", "n", "low"))
             rows = rows.where(F.col("n") > SMALL).drop("n", "low")
-        if found:
-            edges = checkpointed(edges.unionByName(verified(texts, likely(reduce(DataFrame.unionByName, found).distinct(), signed), similarity)))
-        seed += 1
+        if levels:
+            groups = reduce(DataFrame.unionByName, levels)
+            pairs = checkpointed(likely(apart(groups, pairs_in(groups)), signed).join(compared, ["a", "b"], "left_anti"))
+            new = checkpointed(verified(texts, pairs, similarity))
+            compared = compared.unionByName(pairs)
+            if not new.isEmpty():
+                edges = edges.unionByName(new)
+                parts = components_of(edges)
+        draw += 1
         # after the draws for all: what agrees in all minima
-        rows = start if seed < DRAWS else rows.select(F.xxhash64("kind", "sig").alias("group"), "key", "kind").distinct()
-        rows = checkpointed(open_groups(with_components(rows.drop("comp"), edges)).drop("n", "low"))
+        rows = start if draw < DRAWS else rows.select(F.xxhash64("kind", "sig").alias("group"), "key", "kind").distinct()
+        rows = checkpointed(open_groups(with_components(rows.drop("comp"), parts)).drop("n", "low"))
         n = rows.count()
-        if not n:
-            return edges
-        if seed > DRAWS and n > before // 2:
-            return edges.unionByName(pivots_of_components(rows, texts, similarity))
+        if draw > DRAWS and n > before // 2:  # the first line of each component meets the others
+            pivots = rows.groupBy("group", F.col("comp").alias("of")).agg(F.min("key").alias("a"))
+            pairs = rows.join(pivots, "group").where("comp <> of").select("a", F.col("key").alias("b")).distinct()
+            return components_of(edges.unionByName(verified(texts, pairs, similarity)))
         before = n
-
-
-def pivots_of_components(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges between the first line of each component and the group's other lines; rows(group, key, comp) agree in all minima that were drawn."""
-    pivots = rows.groupBy("group", F.col("comp").alias("of")).agg(F.min("key").alias("a"))
-    pairs = rows.join(pivots, "group").where("comp <> of").select("a", F.col("key").alias("b")).distinct()
-    return checkpointed(verified(texts, pairs, similarity))
+    return parts
 
 
 def fetched(lines: DataFrame, signed: DataFrame, texts_of: DataFrame) -> DataFrame:
@@ -203,23 +211,22 @@ def fetched(lines: DataFrame, signed: DataFrame, texts_of: DataFrame) -> DataFra
 
 
 def like_lines(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) of (k1, k2) keys that connect like lines, and the places (see fetched()) of all lines that are repeated or may be like others."""
+    """The components of like lines (k1, k2, p1, p2), and the places (see fetched()) of all lines that are repeated or may be like others."""
     signed = checkpointed(signatures(lines))
     groups = checkpointed(band_groups(signed))
     pairs = checkpointed(likely(pairs_in(groups), signed))
     large = groups.where(F.col("n") > SMALL)
     texts_of = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(large.select(F.col("key").alias("k1"))).distinct()
     places = checkpointed(fetched(lines, signed, texts_of))
-    texts = places.where("line is not null").select("k1", "k2", "line").distinct()
+    texts = checkpointed(places.where("line is not null").select("k1", "k2", "line").distinct())
     edges = checkpointed(verified(texts, pairs, similarity))
-    return split_further(large, signed, texts, edges, similarity), places
+    return split_further(large, signed, texts, pairs, edges, similarity), places
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, gone array<int>: the numbers of the lines that go, in order, for documents that lose any."""
     with tidy_shuffles(docs.sparkSession):
-        edges, places = like_lines(numbered_lines(doc_columns(docs, "doc_id", "text")), similarity)
-        parts = connected_components(edges).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("component.k1").alias("p1"), F.col("component.k2").alias("p2"))
+        parts, places = like_lines(numbered_lines(doc_columns(docs, "doc_id", "text")), similarity)
         rows = places.select("at", "k1", "k2").join(parts, ["k1", "k2"], "left").select("at", F.coalesce("p1", "k1").alias("k1"), F.coalesce("p2", "k2").alias("k2"))
         rows = checkpointed(rows)
         firsts = rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last or first is null").drop("last")
