@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup, url_filter
+from . import ann, exact_dedup, langid, line_dedup, mixing, packing, phrases, pieces, quality, simhash, suffix_dedup, url_filter, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +55,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_suffix_dedup, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op9_nearest_neighbours, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_suffix_dedup, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_mix_sources, op8_language_id, op9_nearest_neighbours, op10_packing, op11_whitening, op12_sentencepiece, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.EXACT_SQL, "op7_mix_sources": mixing.MIX_SQL}
+    return {"op6_exact_dedup": exact_dedup.EXACT_SQL, "op7_mix_sources": mixing.MIX_SQL, "op13_phrases": phrases.PHRASES_SQL}
