@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CIF_THRESHOLD = 1.0
+#: A peak fires from here on.
+PEAK = 1 - 1e-4
 
 
 def is_finite(x: Column) -> Column:
@@ -54,7 +56,7 @@ def softmax_of_max(v: Column) -> Column:
 
 def fire_places(peaks: Column) -> Column:
     """Indices of peaks of 1 - 1e-4 or more, shifted by -1.5."""
-    places = F.transform(peaks, lambda x, i: F.when(x >= 1 - 1e-4, i - 1.5))
+    places = F.transform(peaks, lambda x, i: F.when(x >= PEAK, i - 1.5))
     return F.filter(places, lambda p: p.isNotNull())
 
 
@@ -70,17 +72,35 @@ def fires(alphas: Column, threshold: float = CIF_THRESHOLD) -> Column:
     return F.aggregate(alphas, state, step, lambda s: s["at"])
 
 
-def token_times(places: Column, n: Column, longest: Column, unit: float = 20.0, grid: int = 60) -> Column:
-    """Milliseconds of n + 1 token bounds from firing places: units, kept between 0 and the longest.
+def recomputed_fires(alphas: Column, expected: Column) -> Column:
+    """Firing places from the weights, scaled to sum to the expected number of fires: integrated with carry, at most one a step, shifted by -1.5.
+
+    None where the weights sum to 1e-6 or less.
+    """
+    total = F.aggregate(alphas, F.lit(0.0), lambda s, x: s + x)
+    scaled = F.transform(alphas, lambda x: x * F.try_divide(expected.cast("double"), total))
+    places = F.transform(fires(scaled, PEAK), lambda i: i - 1.5)
+    return F.when(total > 1e-6, places).otherwise(F.array().cast("array<double>"))
+
+
+def firing_places(peaks: Column, alphas: Column, n: Column) -> Column:
+    """Places of n + 1 fires: those of the peaks, unless their number differs and there are weights to recompute them from."""
+    seen = fire_places(peaks)
+    return F.when((F.size(seen) != n + 1) & (F.size(alphas) > 0), recomputed_fires(alphas, n + 1)).otherwise(seen)
+
+
+def token_times(peaks: Column, alphas: Column, n: Column, longest: Column, unit: float = 20.0, grid: int = 60) -> Column:
+    """Milliseconds of n + 1 token bounds from firing_places(): units, kept between 0 and the longest.
 
     Missing ones follow the last in steps of the grid; with fewer than two
-    places all lie on the grid.
+    places all lie on the grid. No tokens or no length: none.
     """
+    places = firing_places(peaks, alphas, n)
     have = F.size(places)
     known = F.transform(F.slice(places, F.lit(1), n + 1), lambda p: F.least(longest, F.greatest(F.lit(0), F.round(p * unit).cast("int"))))
     after = F.transform(F.when(have <= n, F.sequence(have, n)).otherwise(F.array().cast("array<int>")), lambda i: F.least(longest, F.element_at(known, -1) + (i - have + 1) * grid))
     even = F.transform(F.sequence(F.lit(0), n), lambda i: F.least(longest, i * grid))
-    return F.when(n <= 0, F.array().cast("array<int>")).when(have < 2, even).otherwise(F.concat(known, after))
+    return F.when((n <= 0) | (longest <= 0), F.array().cast("array<int>")).when(have < 2, even).otherwise(F.concat(known, after))
 
 
 def padded(v: Column, size: int) -> Column:

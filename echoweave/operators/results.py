@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .runs import ordered
 
 #: The label and the fingerprint of rows that no profile owns.
-SENTINEL, SENTINEL_ID = "Speaker_other", "other"
+SENTINEL, SENTINEL_ID = "Speaker", "fp_system_speaker"
 #: Vectors of a batch at most; edges that a node keeps at least.
 BATCH_LIMIT, LEAST_EDGES = 4096, 6
 

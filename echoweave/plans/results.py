@@ -56,9 +56,9 @@ def distinct_in_order(spark: S, d: D) -> DataFrame:
     return R.distinct_in_order(t, ["job"], "seg", "label").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("""WITH l AS (SELECT DISTINCT c_nationkey AS job, CASE WHEN c_custkey % 9 = 0 THEN 'Speaker_other' ELSE c_mktsegment END AS label FROM customer),
+@query("""WITH l AS (SELECT DISTINCT c_nationkey AS job, CASE WHEN c_custkey % 9 = 0 THEN 'Speaker' ELSE c_mktsegment END AS label FROM customer),
 f AS (SELECT c_nationkey AS job, c_mktsegment AS label, min(c_name) AS fingerprint_id FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2), p AS (SELECT c_nationkey AS job, c_mktsegment AS label, min(c_custkey) AS profile_id FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1, 2)
-SELECT job, label, CASE WHEN label = 'Speaker_other' THEN 'other' ELSE fingerprint_id END AS fingerprint_id, profile_id FROM l LEFT JOIN f USING (job, label) LEFT JOIN p USING (job, label)""")
+SELECT job, label, CASE WHEN label = 'Speaker' THEN 'fp_system_speaker' ELSE fingerprint_id END AS fingerprint_id, profile_id FROM l LEFT JOIN f USING (job, label) LEFT JOIN p USING (job, label)""")
 def speaker_rows(spark: S, d: D) -> DataFrame:
     c = table(spark, d, "customer").withColumnsRenamed({"c_nationkey": "job"})
     labels = c.select("job", F.when(F.col("c_custkey") % 9 == 0, R.SENTINEL).otherwise(F.col("c_mktsegment")).alias("label")).distinct()
@@ -156,16 +156,22 @@ def artifact_paths(spark: S, d: D) -> DataFrame:
     return R.artifact_paths(t, "o_orderkey", ["o_orderpriority", "again", "o_orderstatus"])
 
 
-@query(f"""WITH {TOK}, f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sm, event_id) - 1 AS i, value FROM tok), p AS (SELECT user_id, list((i - 1.5::DOUBLE) * 20 ORDER BY i) AS places FROM f WHERE value / 100 >= 1 - 1e-4::DOUBLE GROUP BY user_id),
-u AS (SELECT DISTINCT user_id, 1 + user_id % 9 AS n FROM tok), r AS (SELECT u.user_id, n, coalesce(p.places, []::DOUBLE[]) AS places, i FROM u LEFT JOIN p USING (user_id), unnest(range(0, n + 1)) t(i))
-SELECT user_id, i::INT AS pos, CASE WHEN len(places) < 2 THEN least(900, i * 60) WHEN i < len(places) THEN least(900, greatest(0, round(places[i + 1])::BIGINT)) ELSE NULL END::BIGINT AS ms FROM r WHERE len(places) < 2 OR i < len(places)""")
+@query(f"""WITH RECURSIVE {TOK}, f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sm, event_id) - 1 AS i, value / 100 AS peak, 1 + round(value * 100)::BIGINT % 400 AS alpha FROM tok),
+u AS (SELECT user_id, 1 + user_id % 9 + CASE WHEN user_id % 3 = 0 THEN (count(*) FILTER (peak >= 1 - 1e-4::DOUBLE)) ELSE 0 END AS n, count(*) FILTER (peak >= 1 - 1e-4::DOUBLE) AS seen, sum(alpha)::DOUBLE AS total FROM f GROUP BY user_id),
+c(user_id, i, acc, fired) AS (SELECT user_id, -1::BIGINT, 0::DOUBLE, false FROM u WHERE seen <> n + 1 UNION ALL
+ SELECT user_id, i, CASE WHEN t >= 1 - 1e-4::DOUBLE THEN t - (1 - 1e-4::DOUBLE) ELSE t END, t >= 1 - 1e-4::DOUBLE FROM (SELECT c.user_id, f.i, c.acc + f.alpha::DOUBLE * ((u.n + 1)::DOUBLE / u.total) AS t FROM c JOIN f ON f.user_id = c.user_id AND f.i = c.i + 1 JOIN u ON u.user_id = c.user_id)),
+p AS (SELECT user_id, list((i - 1.5::DOUBLE) * 20 ORDER BY i) AS places FROM (SELECT user_id, i FROM c WHERE fired UNION ALL SELECT user_id, i FROM f JOIN u USING (user_id) WHERE seen = n + 1 AND peak >= 1 - 1e-4::DOUBLE) GROUP BY user_id),
+r AS (SELECT u.user_id, n, coalesce(p.places, []::DOUBLE[]) AS places, i FROM u LEFT JOIN p USING (user_id), unnest(range(0, n + 1)) t(i))
+SELECT user_id, i::INT AS pos, CASE WHEN len(places) < 2 THEN least(900, i * 60) WHEN i < len(places) THEN least(900, greatest(0, round(places[i + 1])::BIGINT))
+ ELSE least(900, least(900, greatest(0, round(places[len(places)])::BIGINT)) + (i - len(places) + 1) * 60) END::BIGINT AS ms FROM r""")
 def token_times(spark: S, d: D) -> DataFrame:
-    """Times of the tokens of a recording from its peaks; the padded ones are tested by themselves."""
-    peaks = F.transform(F.array_sort(F.collect_list(F.struct("sm", "event_id", "value"))), lambda x: x["value"] / 100)
-    t = tokens(spark, d).groupBy("user_id").agg(peaks.alias("peaks")).withColumn("n", (1 + F.col("user_id") % 9).cast("int"))
-    t = t.withColumn("places", V.fire_places(F.col("peaks")))
-    out = t.select("user_id", F.size("places").alias("have"), F.posexplode(V.token_times(F.col("places"), F.col("n"), F.lit(900))).alias("pos", "ms"))
-    return out.where("have < 2 or pos < have").select("user_id", "pos", F.col("ms").cast("long").alias("ms"))
+    """Times of a recording's tokens from its peaks, or from its weights where the peaks are not as many as the tokens; missing ones are padded."""
+    item = F.struct("sm", "event_id", (F.col("value") / 100).alias("peak"), (1 + F.round(F.col("value") * 100).cast("long") % 400).cast("double").alias("alpha"))
+    t = tokens(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("f"))
+    t = t.select("user_id", F.transform("f", lambda x: x["peak"]).alias("peaks"), F.transform("f", lambda x: x["alpha"]).alias("alphas"))
+    more = F.when(F.col("user_id") % 3 == 0, F.size(V.fire_places(F.col("peaks")))).otherwise(0)
+    t = t.withColumn("n", (1 + F.col("user_id") % 9 + more).cast("int"))
+    return t.select("user_id", F.posexplode(V.token_times(F.col("peaks"), F.col("alphas"), F.col("n"), F.lit(900))).alias("pos", "ms")).select("user_id", "pos", F.col("ms").cast("long").alias("ms"))
 
 
 PROFILES = """p AS (SELECT c_nationkey AS job, c_mktsegment AS label, round(sum(c_acctbal))::BIGINT AS x, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT job, sum(n) AS total FROM p GROUP BY job),

@@ -1,5 +1,7 @@
 """Punctuation, clustering over label tables, pauses, key failover."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -105,17 +107,39 @@ def test_batches_overlap_as_their_ranges_say(spark):
         assert got == {(p, r.batch) for r in ranges for p in range(r.lo, r.hi)}
 
 
+def brute_times(peaks, alphas, n, longest):
+    if n <= 0 or longest <= 0:
+        return []
+    places = [i - 1.5 for i, p in enumerate(peaks) if p >= 1 - 1e-4]
+    if len(places) != n + 1 and alphas:
+        places, acc, total = [], 0.0, sum(alphas)
+        for i, a in enumerate(alphas if total > 1e-6 else []):
+            acc += a * (n + 1) / total
+            if acc >= 1 - 1e-4:
+                places.append(i - 1.5)
+                acc -= 1 - 1e-4
+    if len(places) < 2:
+        return [min(longest, i * 60) for i in range(n + 1)]
+    out = [min(longest, max(0, int(p * 20 + 0.5))) for p in places[: n + 1]]
+    last = out[-1]
+    while len(out) < n + 1:
+        out.append(min(longest, last + (len(out) - (len(places) - 1)) * 60))
+    return out
+
+
 def test_token_times(spark):
-    def brute(places, n, longest):
-        if len(places) < 2:
-            return [min(longest, i * 60) for i in range(n + 1)]
-        out = [min(longest, max(0, int(p * 20 + 0.5))) for p in places[: n + 1]]
-        last = out[-1]
-        while len(out) < n + 1:
-            out.append(min(longest, last + (len(out) - (len(places) - 1)) * 60))
-        return out
-
-    rows = [([-1.5, 2.5, 9.5], n, 700) for n in (1, 2, 3, 5)] + [([4.5], 3, 100), ([], 2, 900), ([1.5, 2.5, 40.5, 60.5], 6, 1000)]
-    df = spark.createDataFrame(rows, "places array<double>, n int, longest int")
-    got = df.select("places", "n", "longest", V.token_times(F.col("places"), F.col("n"), F.col("longest")).alias("t")).collect()
-    assert all(r.t == brute(r.places, r.n, r.longest) for r in got)
+    rng = random.Random(8)
+    peaks = lambda *at: [1.0 if i in at else 0.2 for i in range(70)]
+    rows = [(peaks(0, 4, 11), [], n, 700) for n in (1, 2, 3, 5)] + [(peaks(6), [], 3, 100), ([], [], 2, 900), (peaks(3, 4, 42, 62), [], 6, 1000), (peaks(3, 9), [0.5] * 70, 0, 9), (peaks(3, 9), [0.5] * 70, 2, 0), (peaks(3), [0.0] * 70, 2, 900)]
+    # a number of peaks that isn't the tokens' own: the weights decide; more fires than steps: at most one a step
+    rows += [(peaks(3, 9, 20), [rng.random() for _ in range(70)], n, 5000) for n in (1, 2, 3, 9, 40, 90)]
+    df = spark.createDataFrame(rows, "peaks array<double>, alphas array<double>, n int, longest int")
+    got = df.select("*", V.token_times(F.col("peaks"), F.col("alphas"), F.col("n"), F.col("longest")).alias("t")).collect()
+    assert [r.t for r in got] == [brute_times(r.peaks, r.alphas, r.n, r.longest) for r in got]
+
+
+def test_token_times_of_known_cases(spark):
+    times = lambda peaks, alphas, n, longest: spark.range(1).select(V.token_times(F.array(*map(F.lit, peaks)).cast("array<double>"), F.array(*map(F.lit, alphas)).cast("array<double>"), F.lit(n), F.lit(longest)).alias("t")).first().t
+    assert times([], [0.5] * 4, 1, 10_000) == [0, 30]
+    many = times([1.0] * 2000, [], 1999, 30_000)
+    assert len(many) == 2000 and many[0] == 0 and many[-1] == 30_000 and all(0 <= t <= 30_000 for t in many)
