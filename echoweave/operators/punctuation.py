@@ -45,7 +45,7 @@ class Restorer:
             raise ValueError(f"{len(self.open)} tokens, {len(ids)} marks")
         n = len(ids) if last else cut_after(ids, len(ids)) + 1
         done, self.open = self.open[:n], self.open[n:]
-        return [{"pos": r["pos"], "token": r["token"], "mark": int(i)} for r, i in zip(done, ids, strict=False)]
+        return [{**r, "mark": int(i)} for r, i in zip(done, ids, strict=False)]
 
     def add(self, row: dict) -> list[dict]:
         # a full chunk waits until it is known not to be the last
