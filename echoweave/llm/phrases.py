@@ -5,15 +5,18 @@ numbers of its own, with breaks between pieces, and its different words with
 their counts. Words that occur LEAST times in their language get ids; a block's
 other words become breaks, for no phrase that counts can hold them. Sequences of
 2 ids, then of 3 and 4, are packed into KEY_BYTES-byte keys, big-endian and
-padded with zeros; a block sorts its keys by radix and counts runs. The counts
-are dealt by key range, sorted there and counted as runs once more. Keys that
-occur LEAST times go back to the blocks they came from, and only sequences whose
-every two neighbours are frequent are packed as longer keys.
+padded with zeros; a block sorts its keys by radix and counts runs. The runs are
+dealt by key range, with bounds from a sample of them, sorted there by radix and
+counted once more. Keys that occur LEAST times go back to the blocks they came
+from, and only sequences whose every two neighbours are frequent are packed as
+longer keys.
 
 Scale: nothing is broadcast and no dictionary is held whole; what a block needs
 of it comes by a shuffle of the block's own different words and keys. A word or
-phrase of any frequency costs one row a block. The blocks are shuffled twice, as
-packed ids. Candidates - sequences of LEAST occurrences and more - are joined
+phrase of any frequency is counted once a block. The blocks are shuffled twice,
+as packed ids; keys move as packed arrays, one for each block and range that
+have any in common. A range has about RANGE_KEYS keys, so its task's memory is
+bounded, and one bound of 16 bytes a range reaches the driver. Candidates - sequences of LEAST occurrences and more - are joined
 with their parts by key; a part in very many candidates is a join that Spark's
 adaptive execution splits.
 """
@@ -38,8 +41,10 @@ LEAST, MAX_WORDS = 30, 4
 OUTWEIGHS = 80
 SCORE_SCALE, TOP = 2_000_000, 2000
 #: Text of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 KEY_BYTES = 4 * MAX_WORDS
+#: Keys of a range, about, and one of how many is a sample for the bounds.
+RANGE_KEYS, SAMPLE = 1 << 20, 1000
 #: A language's phrases are cut to the first of each of so many parts before they meet.
 SALTS = 64
 BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
@@ -139,22 +144,28 @@ def run_lengths(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.diff(np.append(first, len(rows)))
 
 
-def key_array(rows: np.ndarray) -> pa.Array:
-    """(rows, MAX_WORDS) big-endian numbers as a binary column."""
-    rows = np.ascontiguousarray(rows, ">u4")
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * KEY_BYTES
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+def pack_keys(rows: np.ndarray) -> bytes:
+    """(rows, MAX_WORDS) numbers, column by column."""
+    return squeeze(np.ascontiguousarray(rows.T.astype(np.uint32)).ravel())
 
 
-def key_rows(keys: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(keys.to_pylist()), ">u4").reshape(-1, MAX_WORDS).astype(np.uint32)
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unsqueeze(data).reshape(MAX_WORDS, -1).T)
+
+
+def as_bytes(rows: np.ndarray) -> np.ndarray:
+    """Keys as KEY_BYTES-byte strings, whose order is that of the numbers."""
+    return np.ascontiguousarray(rows, ">u4").view(f"S{KEY_BYTES}").ravel()
+
+
+PACKED = "block long, many long, keys binary, n binary"
 
 
 def counted(ids: np.ndarray, starts: list[tuple[np.ndarray, int]], block: int) -> pa.Table:
-    """Keys of the sequences of ids from the given places (places, words): block, key, n."""
-    runs = [run_lengths([ids[at + i] for i in range(size)]) for at, size in starts]
-    keys, n = np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs])
-    return pa.table({"block": pa.array(np.full(len(n), block)), "key": key_array(keys), "n": pa.array(n)})
+    """Sorted keys of the sequences of ids from the given places (places, words), with their counts: a row a length."""
+    runs = [r for at, size in starts if len((r := run_lengths([ids[at + i] for i in range(size)]))[1])]
+    columns = [pa.array([block] * len(runs), pa.int64()), pa.array([len(n) for _, n in runs], pa.int64()), pa.array([pack_keys(k) for k, _ in runs], pa.binary()), pa.array([squeeze(n) for _, n in runs], pa.binary())]
+    return pa.table(dict(zip(("block", "many", "keys", "n"), columns, strict=True)))
 
 
 def coded(block: pa.Table, known: pa.Table) -> pa.Table:
@@ -180,9 +191,9 @@ def longer_of(block: pa.Table, pairs: pa.Table) -> pa.Table:
     """A coded block and its frequent pairs -> counted sequences of 3 to MAX_WORDS words whose neighbours are all frequent pairs."""
     ids = unsqueeze(block.column("ids")[0].as_py()).astype(np.uint64) if block.num_rows else np.zeros(0, np.uint64)
     if len(ids) < 2 or not pairs.num_rows:
-        return counted(np.zeros(0, np.uint32), [(np.zeros(0, np.int64), 3)], 0)
-    known = key_rows(pairs.column("key"))
-    known = np.sort(known[:, 0].astype(np.uint64) << np.uint64(32) | known[:, 1])
+        return counted(np.zeros(0, np.uint32), [], 0)
+    known = np.concatenate([unpack_keys(k) for k in pairs.column("keys").to_pylist()]).astype(np.uint64)
+    known = np.sort(known[:, 0] << np.uint64(32) | known[:, 1])
     both = ids[:-1] << np.uint64(32) | ids[1:]
     good = known[np.minimum(np.searchsorted(known, both), len(known) - 1)] == both
     starts = []
@@ -192,53 +203,67 @@ def longer_of(block: pa.Table, pairs: pa.Table) -> pa.Table:
     return counted(ids.astype(np.uint32), starts, block.column("block")[0].as_py())
 
 
-def frequent_runs(counts: DataFrame, least: int, back: bool) -> DataFrame:
-    """counts(block, key, n) -> key, f of the keys that occur least times in all, and, to go back, key, block of each block that has one (f null there).
+def range_bounds(packed: DataFrame) -> list[bytes]:
+    """Keys that part packed(many, keys) into ranges of about RANGE_KEYS; a range holds what is above its lower bound, up to its upper one."""
+    total = packed.agg(F.sum("many")).first()[0] or 0
+    if total <= RANGE_KEYS:
+        return []
 
-    Keys are dealt by range and sorted; a run is counted as it passes. Blocks are
-    held back only until the run has ``least`` occurrences.
-    """
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys in b.column(0):
+                taken = np.ascontiguousarray(unpack_keys(keys.as_py())[SAMPLE // 2 :: SAMPLE], ">u4")
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in taken], pa.binary())], names=["key"])
+
+    samples = packed.select("keys").mapInArrow(sample, "key binary").repartitionByRange(-(-total // RANGE_KEYS), "key")
+    return sorted(bytes(r.key) for r in samples.groupBy(F.spark_partition_id()).agg(F.max("key").alias("key")).collect())[:-1]
+
+
+def frequent_runs(packed: DataFrame, least: int, back: bool) -> DataFrame:
+    """packed(block, many, keys, n) -> block, keys, f: a range's keys that occur least times in all with their counts, block null; to go back, those of each block too, f null."""
+    packed = checkpointed(packed)
+    bounds = np.array(range_bounds(packed), f"S{KEY_BYTES}")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, _, keys, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, n = unpack_keys(keys), unsqueeze(n)
+                ends = np.concatenate([[0], np.searchsorted(as_bytes(rows), bounds, "right"), [len(rows)]])
+                full = np.flatnonzero(np.diff(ends))
+                part = [slice(ends[r], ends[r + 1]) for r in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([pack_keys(rows[p]) for p in part], pa.binary()), pa.array([squeeze(n[p]) for p in part], pa.binary())], names=["range", "block", "keys", "n"])
+
+    def merge(parts: pa.Table) -> pa.Table:
+        keys = [unpack_keys(k) for k in parts.column("keys").to_pylist()]
+        block = np.repeat(parts.column("block").to_numpy(), [len(k) for k in keys])
+        rows, n = np.concatenate(keys), np.concatenate([unsqueeze(x) for x in parts.column("n").to_pylist()]).astype(np.int64)
+        order = radix_order(list(rows.T))
+        rows, block, n = rows[order], block[order], n[order]
+        first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(1)))
+        f = np.add.reduceat(n, first)
+        out = [(None, pack_keys(rows[first[f >= least]]), f[f >= least].tobytes())] if (f >= least).any() else []
+        if back:
+            good = np.repeat(f >= least, np.diff(np.append(first, len(rows))))
+            rows, block = rows[good], block[good]
+            order = np.argsort(block, kind="stable")
+            rows, block = rows[order], block[order]
+            start = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            out += [(int(block[i]), pack_keys(rows[i:j]), None) for i, j in zip(start, [*start[1:], len(block)], strict=True)] if len(block) else []
+        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("block", pa.int64()), ("keys", pa.binary()), ("f", pa.binary())))})
+
+    return packed.mapInArrow(split, "range int, block long, keys binary, n binary").groupBy("range").applyInArrow(merge, "block long, keys binary, f binary")
+
+
+def totals_of(runs: DataFrame) -> DataFrame:
+    """The counts of frequent_runs() as key, f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, waiting = None, 0, []  # of the run that may go on
         for b in batches:
-            keys, n, block = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
-            if not len(keys):
-                continue
-            rows = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
-            first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(1)))
-            if last is not None and rows[0].tobytes() != last and total >= least:
-                yield totals([last], [total])
-            goes_on = last is not None and rows[0].tobytes() == last
-            sums = np.add.reduceat(n, first)
-            if goes_on:
-                sums[0] += total
-            size = np.diff(np.append(first, len(rows)))
-            full = np.repeat(sums >= least, size)
-            if back and goes_on and sums[0] >= least and waiting:
-                yield members([last] * len(waiting), waiting)
-                waiting = []
-            if back:
-                yield pa.RecordBatch.from_arrays([keys.filter(pa.array(full)), pa.array(block[full]), pa.nulls(int(full.sum()), pa.int64())], names=["key", "block", "f"])
-            ended = first[:-1][sums[:-1] >= least]
-            yield totals(keys.take(pa.array(ended)), sums[:-1][sums[:-1] >= least])
-            last, total = rows[-1].tobytes(), int(sums[-1])
-            if total >= least:
-                waiting = []
-            else:
-                waiting = [*(waiting if goes_on and len(first) == 1 else []), *block[first[-1] :].tolist()]
-        if last is not None and total >= least:
-            yield totals([last], [total])
-
-    def totals(keys: pa.Array | list, f: np.ndarray | list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.nulls(len(f), pa.int64()), pa.array(f, pa.int64())], names=["key", "block", "f"])
-
-    def members(keys: list, block: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(block, pa.int64()), pa.nulls(len(block), pa.int64())], names=["key", "block", "f"])
-
-    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.repartitionByRange(partitions, "key").sortWithinPartitions("key")
-    return dealt.select("key", "n", "block").mapInArrow(run, "key binary, block long, f long")
+            for keys, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = np.ascontiguousarray(unpack_keys(keys), ">u4")
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(np.frombuffer(f, np.int64))], names=["key", "f"])
+
+    return runs.where("block is null").select("keys", "f").mapInArrow(run, "key binary, f long")
 
 
 def word_id(key: Column, i: int) -> Column:
@@ -259,11 +284,11 @@ def gram_counts(docs: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BY
     known = dictionary(words, least)
     ids = words.join(known.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "number", "id")
     code = checkpointed(read.select("block", "ids").groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(coded, "block long, ids binary"))
-    pairs = checkpointed(frequent_runs(code.mapInArrow(pairs_of, "block long, key binary, n long"), least, True))
-    longer = code.groupBy("block").cogroup(pairs.where("f is null").select(F.col("block").alias("of"), "key").groupBy("of")).applyInArrow(longer_of, "block long, key binary, n long")
-    longer = frequent_runs(longer, least, False)
+    pairs = checkpointed(frequent_runs(code.mapInArrow(pairs_of, PACKED), least, True))
+    longer = code.groupBy("block").cogroup(pairs.where("block is not null").select(F.col("block").alias("of"), "keys").groupBy("of")).applyInArrow(longer_of, PACKED)
+    longer = totals_of(frequent_runs(longer, least, False))
     single = known.select(F.rpad(F.unhex(F.lpad(F.hex("id"), 8, "0")), KEY_BYTES, F.lit(b"\x00")).alias("key"), "f")
-    every = single.unionByName(pairs.where("f is not null").select("key", "f")).unionByName(longer.select("key", "f"))
+    every = single.unionByName(totals_of(pairs)).unionByName(longer)
     size = sum(((word_id(F.col("key"), i) != 0).cast("int") for i in range(1, MAX_WORDS)), F.lit(1))
     return known, checkpointed(every.select("key", size.alias("size"), "f")), totals
 
