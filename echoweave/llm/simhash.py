@@ -1,8 +1,8 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints are cut into segments of 32 bits. Two segments that differ in at
-most two bits have a value in common in their Hamming balls of radius one, so
-each segment's ball is enumerated (33 values) and looked up as a table key; the
+Fingerprints are cut into segments. Two segments that differ in at most two bits
+have a value in common in their Hamming balls of radius one, so each segment's
+ball is enumerated (of 32 bits 33 values) and looked up as a table key; the
 members of a key are compared by complete distance.
 
 near_duplicates(): 64 bits of four-word shingles, two segments. Fingerprints that
@@ -11,10 +11,11 @@ links are found.
 
 near_dedup(): five-word shingles and a Jaccard similarity of 0.8. At 0.8 some 15 %
 of the bits differ, which 64 bits can't tell apart, so NEAR_WORDS * 64 bits and
-as many more segments are taken; pairs within NEAR_RADIUS bits are compared by the
-exact similarity of their shingles. A pair of similarity s is found in a segment
-with the chance that at most two of 32 bits differ: over ten segments 0.73 at
-s = 0.8, 0.89 at 0.85, 0.98 at 0.9; more segments find more.
+NEAR_SEGMENTS shorter segments are taken; candidates within NEAR_RADIUS bits are
+compared by the exact similarity of their shingles. A pair of similarity s is
+found in a segment with the chance that at most two of its bits differ: over 13
+segments of 28 bits 0.93 at s = 0.8, 0.99 at 0.85; more segments find more. Of a
+key's candidates only a spanning forest is compared by shingles (see below).
 
 Scale: fingerprints are taken in the scan; equal texts become one before the
 tables are built. They are dealt evenly over the cluster before their balls are
@@ -42,8 +43,10 @@ from .common import checkpointed, doc_columns, drop_rows, text_keys, tidy_shuffl
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: near_dedup(): words of a shingle, similarity of near copies, 64-bit words of a fingerprint, and bits in which candidates differ at most.
-NEAR_SHINGLE, SIMILARITY, NEAR_WORDS, NEAR_RADIUS = 5, 0.8, 5, 64
+#: Bits of a segment of near_duplicates().
+SEGMENT_BITS = 32
+#: near_dedup(): words of a shingle, similarity of near copies, 64-bit words of a fingerprint, bits in which candidates differ at most, segments and their bits.
+NEAR_SHINGLE, SIMILARITY, NEAR_WORDS, NEAR_RADIUS, NEAR_SEGMENTS, NEAR_BITS = 5, 0.8, 6, 80, 13, 28
 #: Members of a key that are compared in one piece.
 BLOCK = 4096
 #: Shingles of a text that are hashed at once.
@@ -128,19 +131,22 @@ def forest(fps: np.ndarray, old: int, radius: int = RADIUS) -> list[tuple[int, i
     return out
 
 
-def segment(fps: DataFrame, k: int) -> Column:
-    """The k-th 32 bits of the fingerprint f0, f1, ..."""
-    word = F.col(f"f{k // 2}")
-    return F.shiftrightunsigned(word, 32) if k % 2 else word.bitwiseAND(F.lit(0xFFFFFFFF))
+def segment(k: int, bits: int = SEGMENT_BITS) -> Column:
+    """The k-th so many bits of the fingerprint f0, f1, ..., which may lie in two words."""
+    word, low = divmod(k * bits, 64)
+    out = F.shiftrightunsigned(f"f{word}", low)
+    if low + bits > 64:
+        out = out.bitwiseOR(F.shiftleft(f"f{word + 1}", 64 - low))
+    return out.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(fps: DataFrame, segments: list[int], radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, segments: list[int], radius: int = RADIUS, block: int = BLOCK, bits: int = SEGMENT_BITS) -> DataFrame:
     """fps(node, f0, f1, ...), each node once -> edges(a, b) that connect the nodes that share a key of a segment and are within radius bits."""
     words = [c for c in fps.columns if c != "node"]
     n = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = checkpointed(fps.repartition(int(n), "node"))
     # a key: which segment, and a value of its ball
-    ball = lambda k: F.transform(F.array(*(F.lit(x) for x in [0, *(1 << i for i in range(32))])), lambda x: segment(fps, k).bitwiseXOR(x.cast("long")) + F.lit(k << 32))
+    ball = lambda k: F.transform(F.array(*(F.lit(x) for x in [0, *(1 << i for i in range(bits))])), lambda x: segment(k, bits).bitwiseXOR(x.cast("long")) + F.lit(k << 32))
     keys = dealt.select("node", F.explode(F.concat(*map(ball, segments))).alias("key"))
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -230,10 +236,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE, words: int =
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def near_links(texts: DataFrame, fps: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def near_links(texts: DataFrame, fps: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, segments: int = NEAR_SEGMENTS, bits: int = NEAR_BITS) -> DataFrame:
     """texts(k1, text), fps(node, f0, ...) of k1 -> edges(a, b) of near copies: fingerprints meet in a segment and are near, shingles are like enough."""
-    segments = range(2 * (len(fps.columns) - 1))
-    found = [checkpointed(links(fps, [k], radius)) for k in segments]
+    found = [checkpointed(links(fps, [k], radius, bits=bits)) for k in range(segments)]
     pairs = checkpointed(reduce(DataFrame.unionByName, found).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     sets = shingle_sets(texts.join(wanted, "k1", "left_semi").dropDuplicates(["k1"]), shingle)

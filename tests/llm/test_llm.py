@@ -238,6 +238,32 @@ def test_near_dedup_finds_like_texts(spark):
     assert any((fps[i] ^ fps[j]).bit_count() > 4 for i, j in edges)
 
 
+@pytest.mark.parametrize("n_words,edits", [(60, 1), (120, 2), (180, 3)])
+def test_near_dedup_of_families_near_the_threshold(spark, n_words, edits):
+    """Texts of one base with a few words changed in each: most pairs are just below 0.8, and merges hang on those just above."""
+    rng = random.Random(n_words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    base, texts = [word() for _ in range(n_words)], []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(edits):
+            w[rng.randrange(n_words)] = word()
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    true = brute_components([(i, j) for j in range(150) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    merges = len(true) - len(set(true.values()))
+    assert merges and 150 - simhash.near_dedup(docs_of(spark, texts)).count() >= 0.85 * merges
+
+
+def test_segments_over_two_words(spark):
+    rng = random.Random(1)
+    words = [rng.getrandbits(64) for _ in range(3)]
+    whole = sum(w << (64 * i) for i, w in enumerate(words))
+    df = spark.createDataFrame([tuple(w - (1 << 64) if w >> 63 else w for w in words)], "f0 long, f1 long, f2 long")
+    for bits in (28, 32):
+        assert list(df.select(*(simhash.segment(k, bits).alias(f"s{k}") for k in range(192 // bits))).first()) == [whole >> (k * bits) & ((1 << bits) - 1) for k in range(192 // bits)]
+
+
 def test_bit_counts():
     h = np.random.default_rng(2).integers(0, 1 << 63, 1000, np.uint64)
     assert simhash.bit_counts(h).tolist() == [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
