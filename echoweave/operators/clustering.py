@@ -59,31 +59,62 @@ def align_batches(df: DataFrame, batch: str, label: str, vector: str, least: flo
 def merge_fragments(profiles: list[dict], total_ms: int) -> dict[int, int]:
     """profiles(label, centroid, duration_ms, chunks, cohesion) -> into which label each goes.
 
-    While any pair is a duplicate, or one of it is a short loose fragment that is
-    clearly most alike the other, the best such pair merges, the shorter into the longer.
+    While any pair is a duplicate, or one of it is a short loose fragment and one
+    of it is clearly most alike a single other, the best such pair merges, the
+    shorter into the longer. A profile's cosines and its best two are kept and
+    brought up to date for what a merge changed: n^2 numbers, and n^2 steps of
+    NumPy for the fragments.
     """
-    rows = {p["label"]: dict(p, centroid=np.asarray(p["centroid"], float)) for p in profiles}
-    into = {k: k for k in rows}
-
-    def fragment(a: dict, b: dict, score: float) -> bool:
-        short = min(a, b, key=lambda p: p["duration_ms"])
-        others = sorted((cos(short["centroid"], p["centroid"]) for p in rows.values() if p is not short), reverse=True)
-        margin = others[0] - others[1] if len(others) > 1 else 1.0
-        return short["duration_ms"] < min(15_000, 0.03 * total_ms) and short["chunks"] <= 4 and short["cohesion"] < LOOSE and score >= FRAGMENT and margin >= FRAGMENT_MARGIN
-
-    while len(rows) > 1:
-        keys = sorted(rows)
-        pairs = [(cos(rows[a]["centroid"], rows[b]["centroid"]), a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
-        good = [(s, a, b) for s, a, b in pairs if s >= DUPLICATE or fragment(rows[a], rows[b], s)]
-        if not good:
-            break
-        _, a, b = max(good, key=lambda x: (x[0], -x[1], -x[2]))
-        a, b = sorted((a, b), key=lambda k: (-rows[k]["duration_ms"], k))
-        x, y = rows[a], rows.pop(b)
-        w = x["chunks"] + y["chunks"]
-        rows[a] = x | {"centroid": (x["centroid"] * x["chunks"] + y["centroid"] * y["chunks"]) / w, "duration_ms": x["duration_ms"] + y["duration_ms"], "chunks": w, "cohesion": (x["cohesion"] * x["chunks"] + y["cohesion"] * y["chunks"]) / w}
-        into = {k: a if v == b else v for k, v in into.items()}
-    return into
+    rows = sorted(profiles, key=lambda p: p["label"])
+    m = len(rows)
+    x = np.array([p["centroid"] for p in rows], float).reshape(m, -1)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    took, chunks, tight = (np.array([p[c] for p in rows], float) for c in ("duration_ms", "chunks", "cohesion"))
+    limit = min(15_000, int(0.03 * total_ms))
+    c = unit @ unit.T
+    np.fill_diagonal(c, -2.0)
+    live, into = np.ones(m, bool), np.arange(m)
+    first, second = np.full(m, -2.0), np.full(m, -2.0)
+
+    def best_two(which: np.ndarray) -> None:
+        if m > 1:
+            top = -np.partition(-c[which], min(1, m - 1), axis=1)[:, :2]
+            first[which], second[which] = top[:, 0], top[:, 1]
+
+    best_two(np.arange(m))
+    while live.sum() > 1:
+        if first.max() >= DUPLICATE:
+            a = int(first.argmax())
+            b = int(c[a].argmax())
+        else:
+            clear = live & (np.where(second > -2.0, first - second, 1.0) >= FRAGMENT_MARGIN)
+            short = np.flatnonzero(live & (took < limit) & (chunks <= 4) & (tight < LOOSE))
+            if not len(short):
+                break
+            able = np.where(clear[short][:, None] | clear[None, :], c[short], -2.0)
+            at = np.unravel_index(able.argmax(), able.shape)
+            if able[at] < FRAGMENT:
+                break
+            a, b = sorted((int(short[at[0]]), int(at[1])))
+        keep, gone = (a, b) if took[a] >= took[b] else (b, a)
+        w = chunks[keep] + chunks[gone]
+        x[keep] = (x[keep] * chunks[keep] + x[gone] * chunks[gone]) / w
+        tight[keep] = (tight[keep] * chunks[keep] + tight[gone] * chunks[gone]) / w
+        took[keep], chunks[keep] = took[keep] + took[gone], w
+        unit[keep] = x[keep] / max(np.linalg.norm(x[keep]), 1e-300)
+        touched = np.flatnonzero(live & ((c[:, keep] >= second) | (c[:, gone] >= second)))
+        live[gone], into[gone] = False, keep
+        new = np.where(live, unit @ unit[keep], -2.0)
+        new[keep] = -2.0
+        c[gone], c[:, gone], c[keep], c[:, keep] = -2.0, -2.0, new, new
+        best_two(np.union1d(touched, np.append(np.flatnonzero(live & (new > second)), [keep, gone])))
+
+    def root(i: int) -> int:
+        while into[i] != i:
+            i = int(into[i])
+        return i
+
+    return {p["label"]: rows[root(i)]["label"] for i, p in enumerate(rows)}
 
 
 def merged_fragments(profiles: DataFrame, job: str) -> DataFrame:

@@ -7,6 +7,7 @@ only in blocks or inside batches of a fixed size.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,22 +90,58 @@ def profile_health(pairs: DataFrame, persons: DataFrame, few: float = 0.50, many
 
 
 def merged_labels(rows: dict[int, tuple[np.ndarray, int]], least: float = MERGE_MIN) -> dict[int, int]:
-    """Greedy agglomeration of one job's label -> (centroid, members): the best pair merges, weighted by members, until no pair is alike enough."""
-    rows = dict(rows)
-    into = {k: k for k in rows}
-    while len(rows) > 1:
-        keys = sorted(rows)
-        m = np.stack([rows[k][0] / (np.linalg.norm(rows[k][0]) or 1.0) for k in keys])
-        c = np.where(np.triu(np.ones((len(keys), len(keys)), bool), 1), m @ m.T, -2.0)
-        i, j = np.unravel_index(c.argmax(), c.shape)
-        if c[i, j] < least:
-            break
-        a, b = keys[i], keys[j]
-        (x, n), (y, k) = rows[a], rows.pop(b)
-        rows[a] = ((x * n + y * k) / (n + k), n + k)
-        into = {key: a if to == b else to for key, to in into.items()}
-    order = {v: i for i, v in enumerate(sorted(set(into.values())))}
-    return {k: order[v] for k, v in into.items()}
+    """Greedy agglomeration of one job's label -> (centroid, members): the best pair merges, weighted by members, until no pair is alike enough.
+
+    A queue holds each label's best partner among the larger ones, and outdated
+    entries are dropped when they come up; after a merge only labels whose partner
+    took part look for a new one. n log n steps of one row of cosines each, and no
+    more memory than the centroids.
+    """
+    keys = sorted(rows)
+    x, n = np.array([rows[k][0] for k in keys], float).reshape(len(keys), -1), np.array([rows[k][1] for k in keys], float)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    live, version, partner, score = np.ones(len(keys), bool), np.zeros(len(keys), int), np.full(len(keys), -1), np.full(len(keys), -2.0)
+    queue: list[tuple[float, int, int, int]] = []
+
+    def put(i: int, j: int, cos: float) -> None:
+        partner[i], score[i] = j, cos
+        version[i] += 1
+        if cos >= least:
+            heapq.heappush(queue, (-cos, i, j, int(version[i])))
+
+    def search(i: int) -> None:
+        others = i + 1 + np.flatnonzero(live[i + 1 :])
+        if len(others):
+            c = unit[others] @ unit[i]
+            put(i, int(others[c.argmax()]), float(c.max()))
+        else:
+            put(i, -1, -2.0)
+
+    for i in range(len(keys)):
+        search(i)
+    into = np.arange(len(keys))
+    while queue:
+        _, a, b, seen = heapq.heappop(queue)
+        if not live[a] or seen != version[a]:
+            continue
+        live[b], into[b] = False, a
+        x[a], n[a] = (x[a] * n[a] + x[b] * n[b]) / (n[a] + n[b]), n[a] + n[b]
+        unit[a] = x[a] / max(np.linalg.norm(x[a]), 1e-300)
+        search(a)
+        before = np.flatnonzero(live[:a])
+        c = unit[before] @ unit[a]
+        for i, cos in zip(before.tolist(), c.tolist(), strict=True):
+            if partner[i] in (a, b) and cos < score[i]:
+                search(i)
+            elif cos > score[i] or cos == score[i] and a <= partner[i] or partner[i] == b:
+                put(i, a, cos)
+        for i in (a + 1 + np.flatnonzero(live[a + 1 : b] & (partner[a + 1 : b] == b))).tolist():
+            search(i)
+    roots = {}
+    for i in range(len(keys)):
+        roots[i] = i if into[i] == i else roots[int(into[i])]  # a label goes into a smaller one
+    order = {r: j for j, r in enumerate(sorted(set(roots.values())))}
+    return {k: order[roots[i]] for i, k in enumerate(keys)}
 
 
 def merge_labels(centers: DataFrame, label: str, least: float = MERGE_MIN, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -169,12 +206,16 @@ def spmv(edges: DataFrame, keys: list[str], vector: DataFrame) -> DataFrame:
     return edges.join(v, [*keys, "dst"]).groupBy(*keys, "src").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
 
 
+#: The first number of the sequence that k-means draws from, its factor and its step.
+CONGRUENTIAL = 0x9E3779B97F4A7C15, 6364136223846793005, 1442695040888963407
+
+
 def seeded_kmeans(x: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
     """k-means whose first centre is row 0 and whose others are drawn, by squared distance, from a fixed 64-bit congruential sequence."""
-    state, centers = 0x9E3779B97F4A7C15, [x[0]]
+    state, centers = CONGRUENTIAL[0], [x[0]]
     while len(centers) < k:
         d = np.min([((x - c) ** 2).sum(1) for c in centers], axis=0)
-        state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        state = (state * CONGRUENTIAL[1] + CONGRUENTIAL[2]) % (1 << 64)
         centers.append(x[min(int(np.searchsorted(np.cumsum(d), (state >> 11) / (1 << 53) * d.sum(), "right")), len(x) - 1)])
     c = np.stack(centers)
     label = np.full(len(x), -1)
@@ -193,24 +234,54 @@ def speakers_of(values: np.ndarray, least: int = 2, most: int = 8) -> int:
     return least + int(gaps.argmax()) if len(gaps) else least
 
 
-def spectral_labels(edges: DataFrame, batch: str, least: int = 2, most: int = 8) -> DataFrame:
-    """Labels of each batch's nodes from the Laplacian's smallest eigenvectors, renumbered by first node."""
+#: Eigenvalues below count as zero.
+NEAR_ZERO = 1e-5
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def spectral(a: np.ndarray, x: np.ndarray | None, least: int = 2, most: int = 8, forced: int | None = None) -> np.ndarray:
+    """Labels of the nodes of one affinity matrix from its Laplacian's smallest eigenvectors, renumbered by first node.
+
+    forced: this many clusters, as far as there are eigenvectors for them. Where
+    the solver fails, or more than ``most`` eigenvalues are zero and tell nothing,
+    the vectors x themselves are clustered: into 3, or 2 of fewer than 4.
+    """
+    n = len(a)
+    if n <= 1 or n <= least and not forced:
+        return np.zeros(n, int)
+    a = (a + a.T) / 2
+    np.fill_diagonal(a, 0)
+    try:
+        values, vectors = np.linalg.eigh(np.diag(np.abs(a).sum(1)) - a)
+    except np.linalg.LinAlgError:
+        values, vectors = np.zeros(n), None
+    values = values[: min(most + 4, n)]
+    if x is not None and (vectors is None or (np.abs(values) < NEAR_ZERO).sum() > most):
+        label = seeded_kmeans(x, 3 if n >= 4 else 2)
+    elif vectors is None:
+        label = np.zeros(n, int)
+    else:
+        k = min(max(1, forced), len(values), most) if forced else speakers_of(values, least, min(most, n - 1))
+        label = seeded_kmeans(vectors[:, :k], k)
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse]
+
+
+def spectral_labels(edges: DataFrame, batch: str, least: int = 2, most: int = 8, rows: tuple[DataFrame, str, str] | None = None) -> DataFrame:
+    """Labels of each batch's nodes: spectral(). rows (a table with the batch, its node and vector columns) are what the fallback clusters."""
+
+    def labels(key: object, pdf: pd.DataFrame, x: pd.DataFrame | None) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
         a = np.zeros((len(ids), len(ids)))
         a[np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])] = pdf["w"]
-        a = (a + a.T) / 2
-        np.fill_diagonal(a, 0)
-        if len(ids) <= least:
-            label = np.zeros(len(ids), int)
-        else:
-            values, vectors = np.linalg.eigh(np.diag(np.abs(a).sum(1)) - a)
-            label = seeded_kmeans(vectors[:, : speakers_of(values, least, min(most, len(ids) - 1))], speakers_of(values, least, min(most, len(ids) - 1)))
-        _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
-        return pd.DataFrame({batch: pdf[batch].iloc[0], "node": ids, "label": np.argsort(np.argsort(first))[inverse]})
-
-    return edges.groupBy(batch).applyInPandas(run, f"{batch} long, node long, label int")
+        vectors = None if x is None else np.array(x.set_index("_n")["_v"].loc[ids].tolist(), float)
+        return pd.DataFrame({batch: key, "node": ids, "label": spectral(a, vectors, least, most)})
+
+    schema = f"{batch} long, node long, label int"
+    if rows is None:
+        return edges.groupBy(batch).applyInPandas(lambda pdf: labels(pdf[batch].iloc[0], pdf, None), schema)
+    df, node, vector = rows
+    of = df.select(F.col(batch).alias("_b"), F.col(node).alias("_n"), F.col(vector).alias("_v"))
+    return edges.groupBy(batch).cogroup(of.groupBy("_b")).applyInPandas(lambda key, pdf, x: labels(key[0], pdf, x), schema)
 
 
 def block_topk(queries: DataFrame, rows: DataFrame, node: str, vector: str, k: int, size: int = 2048) -> DataFrame:
