@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .runs import ordered
@@ -123,6 +124,35 @@ def toggled(labels: Column, label: Column) -> Column:
     return F.array_sort(F.when(F.array_contains(labels, label), F.array_except(labels, F.array(label))).otherwise(F.array_union(labels, F.array(label))))
 
 
+def split_outcomes(states: DataFrame, requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """What toggling a label does to a job's split: key, outcome, labels, baseline.
+
+    states(key, identity, labels, baseline) has the jobs with an open split,
+    requests(key, identity, label, cleanup) one toggle of each job, known(key,
+    label) the labels that may be split. A split of another snapshot's identity is
+    discarded, with its baseline given back; a label that is neither marked nor
+    known is refused and changes nothing; a set that becomes empty restores the
+    baseline; else the new set is committed, with the cleanup before the first
+    split as its baseline.
+    """
+    state = states.select(key, F.col("identity").alias("_was"), F.col("labels").alias("_labels"), "baseline")
+    may = known.select(key, "label", F.lit(True).alias("_may")).distinct()
+    rows = requests.join(state, key, "left").join(may, [key, "label"], "left")
+    before = F.coalesce("_labels", F.array().cast("array<string>"))
+    after, marked = toggled(before, F.col("label")), F.array_contains(before, F.col("label"))
+    outcome = F.when(F.col("_was").isNotNull() & (F.col("_was") != F.col("identity")), "discard").when(~marked & F.col("_may").isNull(), "refuse").when(F.size(after) == 0, "restore").otherwise("commit")
+    rows = rows.withColumn("outcome", outcome)
+    labels = F.when(F.col("outcome") == "commit", after).when(F.col("outcome") == "refuse", before).otherwise(F.array().cast("array<string>"))
+    baseline = F.when(F.col("outcome") == "commit", F.coalesce("baseline", "cleanup")).otherwise(F.col("baseline"))
+    return rows.select(key, "outcome", labels.alias("labels"), baseline.alias("baseline"))
+
+
+def collated_order(df: DataFrame, keys: Sequence[str], title: str, name: str = "pos") -> DataFrame:
+    """Rows numbered from 1 as a reader sorts their titles: letters before accents before case, titles alike by their code points. Null titles come first."""
+    order = [F.collate(F.col(title), "UNICODE_CI_AI"), F.collate(F.col(title), "UNICODE_CI"), F.collate(F.col(title), "UNICODE"), F.col(title)]
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
 def artifact_paths(df: DataFrame, key: str, paths: Sequence[str]) -> DataFrame:
     """All different files of a job in the order of the columns, with pos from 0; null ones are left out."""
     return df.select(key, F.posexplode(F.array_distinct(F.array_compact(F.array(*paths)))).alias("pos", "path"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echoweave.functions import vectors as V
@@ -149,6 +150,39 @@ def toggled_split(spark: S, d: D) -> DataFrame:
     return s.select("job", F.array_join(R.toggled(F.col("labels"), F.lit("M3")), ",").alias("labels"))
 
 
+@query("""WITH k AS (SELECT DISTINCT l_orderkey AS job, ('M' || l_suppkey % 7) AS label FROM lineitem),
+s AS (SELECT job, list_sort(list(label))[1 : 1 + job % 2] AS labels, 's' || job % 5 AS identity, 'c' || job AS baseline FROM k WHERE job % 3 <> 0 GROUP BY job),
+r AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 7 = 0 THEN 's9' ELSE 's' || o_orderkey % 5 END AS identity, CASE WHEN o_orderkey % 11 = 0 THEN 'M8' ELSE coalesce((SELECT min(label) FROM k WHERE k.job = o_orderkey), 'M8') END AS label, 'd' || o_orderkey AS cleanup FROM orders),
+j AS (SELECT r.*, s.identity AS was, coalesce(s.labels, []::VARCHAR[]) AS before, s.baseline, list_contains(coalesce(s.labels, []::VARCHAR[]), r.label) AS marked, (r.job, r.label) IN (SELECT (job, label) FROM k) AS may FROM r LEFT JOIN s USING (job)),
+t AS (SELECT *, CASE WHEN marked THEN list_filter(before, lambda x: x <> label) ELSE list_sort(list_append(before, label)) END AS after FROM j),
+o AS (SELECT *, CASE WHEN was IS NOT NULL AND was <> identity THEN 'discard' WHEN NOT marked AND NOT may THEN 'refuse' WHEN len(after) = 0 THEN 'restore' ELSE 'commit' END AS outcome FROM t)
+SELECT job, outcome, array_to_string(CASE WHEN outcome = 'commit' THEN after WHEN outcome = 'refuse' THEN before ELSE []::VARCHAR[] END, ',') AS labels, CASE WHEN outcome = 'commit' THEN coalesce(baseline, cleanup) ELSE baseline END AS baseline FROM o""")
+def split_outcomes(spark: S, d: D) -> DataFrame:
+    """Toggles of a label in the splits of jobs: committed, restored, discarded or refused."""
+    known = lines(spark, d).select("job", F.col("mode").alias("label")).distinct()
+    each = known.groupBy("job").agg(F.array_sort(F.collect_set("label")).alias("all"))
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    states = each.where("job % 3 <> 0").select("job", name("s", F.col("job") % 5).alias("identity"), F.slice("all", F.lit(1), (1 + F.col("job") % 2).cast("int")).alias("labels"), name("c", F.col("job")).alias("baseline"))
+    order = table(spark, d, "orders").select(F.col("o_orderkey").alias("job")).join(each, "job", "left")
+    label = F.when(F.col("job") % 11 == 0, "M8").otherwise(F.coalesce(F.try_element_at("all", F.lit(1)), F.lit("M8")))
+    requests = order.select("job", F.when(F.col("job") % 7 == 0, "s9").otherwise(name("s", F.col("job") % 5)).alias("identity"), label.alias("label"), name("d", F.col("job")).alias("cleanup"))
+    return R.split_outcomes(states, requests, known, "job").select("job", "outcome", F.array_join("labels", ",").alias("labels"), "baseline")
+
+
+@query("""WITH w AS (SELECT DISTINCT lang, regexp_extract(text, '[a-zA-ZÀ-ÖØ-öø-ÿ]+') AS word FROM documents WHERE text IS NOT NULL),
+k AS (SELECT lang, word, replace(replace(replace(strip_accents(lower(replace(word, 'ẞ', 'ß'))), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae') AS base FROM w WHERE word <> '')
+SELECT lang, base, count(*) AS words, dense_rank() OVER (PARTITION BY lang ORDER BY base) AS place FROM k GROUP BY lang, base""")
+def reader_order(spark: S, d: D) -> DataFrame:
+    """Words that begin texts in a reader's order, those that differ in case and accents only together."""
+    words = table(spark, d, "documents").where("text is not null").select("lang", F.regexp_extract("text", "[a-zA-ZÀ-ÖØ-öø-ÿ]+", 0).alias("word")).distinct().where("word <> ''")
+    ranked = R.collated_order(words, ["lang"], "word")
+    alike = W.partitionBy("lang").orderBy(F.collate(F.col("word"), "UNICODE_CI_AI"))
+    ranked = ranked.withColumn("place", F.dense_rank().over(alike).cast("long"))
+    # the base form of a group is spelled from its first word
+    base = F.lower(F.regexp_replace(F.expr("translate(first, 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy')"), "ß", "ss"))
+    return ranked.groupBy("lang", "place").agg(F.min_by("word", "pos").alias("first"), F.count(F.lit(1)).alias("words")).select("lang", base.alias("base"), "words", "place")
+
+
 @query("""WITH a AS (SELECT o_orderkey, list_filter([o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, o_orderstatus], lambda x: x IS NOT NULL) AS p FROM orders)
 SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderkey ORDER BY min(i)) - 1)::INT AS pos, path FROM (SELECT o_orderkey, unnest(p) AS path, generate_subscripts(p, 1) AS i FROM a) GROUP BY o_orderkey, path""")
 def artifact_paths(spark: S, d: D) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echoweave.functions import vectors as V
 from echoweave.functions.hashing import fingerprint_id
-from echoweave.operators import catalog, clustering, frames, runs, votes
+from echoweave.operators import catalog, clustering, frames, runs, stages, votes
 from echoweave.operators import vectors as X
+from echoweave.sources import match_index
 
 from .registry import HOUR, KEYS, ORDER, TOK, query, r6, table, tokens
 
@@ -324,6 +327,19 @@ def incremental_index(spark: S, d: D) -> DataFrame:
     return kept.unionByName(X.against_centroids(changed, ["vec_id"], "embedding", c, "label")).select("vec_id", "cand", r6("score").alias("score"))
 
 
+@query(SCORES + ", q AS (SELECT vec_id AS target, cand % 4 AS person, max(score) AS score, arg_max(cand, score) AS candidate FROM s WHERE vec_id IN (7, 42) GROUP BY 1, 2) SELECT target, person, round(score, 6) AS score, candidate, row_number() OVER (PARTITION BY target ORDER BY q.score DESC, person) AS rank FROM q QUALIFY rank <= 3")
+def index_matches(spark: S, d: D) -> DataFrame:
+    """Matches of two targets from an index on disk that was written with old scores and brought up to date; each look-up reads one bucket."""
+    path = f"{stages.shared_folder(spark)}/match-index-{uuid.uuid4().hex}"
+    now = scores(spark, d).select(F.col("vec_id").alias("target"), F.col("cand").alias("candidate"), (F.col("cand") % 4).alias("person"), "score")
+    stale = (F.col("target") % 7 == 0) | (F.col("target") == 42)
+    match_index.write_index(now.withColumn("score", F.when(stale, F.lit(0.5)).otherwise(F.col("score"))), path, buckets=16)
+    match_index.update_index(spark, path, now.where(stale), spark.createDataFrame([], "id long"), buckets=16)
+    index = match_index.read_index(spark, path)
+    found = [match_index.matches(index, target, 3, buckets=16).withColumn("target", F.lit(target).cast("long")) for target in (7, 42)]
+    return found[0].unionByName(found[1]).select("target", "person", r6("score").alias("score"), "candidate", "rank")
+
+
 @query()
 def fingerprint(spark: S, d: D) -> DataFrame:
     return emb(spark, d).select("vec_id", fingerprint_id(F.col("embedding")).alias("fingerprint"))

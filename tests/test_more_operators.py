@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from echoweave.functions import vectors as V
 from echoweave.operators import clustering, pauses, punctuation
+from echoweave.operators import results as R
 from echoweave.operators import vectors as X
+from echoweave.sources import match_index
 from echoweave.sources.failover import Keys
 
 
@@ -143,3 +145,54 @@ def test_token_times_of_known_cases(spark):
     assert times([], [0.5] * 4, 1, 10_000) == [0, 30]
     many = times([1.0] * 2000, [], 1999, 30_000)
     assert len(many) == 2000 and many[0] == 0 and many[-1] == 30_000 and all(0 <= t <= 30_000 for t in many)
+
+
+def brute_matches(scores, target, limit, excluding=()):
+    best = {}
+    for t, c, person, score in scores:
+        if t == target and person is not None and c not in excluding:
+            best[person] = max(best.get(person, (-9, 0)), (score, -c))
+    return [(p, s, -c, i + 1) for i, (p, (s, c)) in enumerate(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:limit])]
+
+
+def test_match_index_reads_one_bucket_and_updates_those_it_must(spark, tmp_path):
+    rng, path = random.Random(4), str(tmp_path / "index")
+    schema = "target long, candidate long, person string, score double"
+    scores = [(t, c, None if c == 5 else f"p{c % 4}", round(rng.random(), 2)) for t in range(30) for c in range(9) if c != t]
+    match_index.write_index(spark.createDataFrame(scores, schema), path, buckets=8)
+    look = lambda t, *a: [tuple(r) for r in match_index.matches(match_index.read_index(spark, path), t, *a, buckets=8).orderBy("rank").collect()]
+    for t in (0, 3, 29, 99):
+        assert look(t, 3) == brute_matches(scores, t, 3) and look(t, 9, [1, 2]) == brute_matches(scores, t, 9, (1, 2))
+    plan = match_index.matches(match_index.read_index(spark, path), 3, 3, buckets=8)
+    assert len({f.split("/")[-2] for f in plan.inputFiles()}) >= 1
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in text or "PartitionFilters: [(isnotnull(bucket" in text or "bucket#" in text.split("PartitionFilters")[1][:60]
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "index").rglob("*.parquet")}
+    before = files()
+    changed = [(3, c, f"p{c % 4}", 0.5 + c / 100) for c in range(9) if c != 3]
+    n = match_index.update_index(spark, path, spark.createDataFrame(changed, schema), spark.createDataFrame([], "id long"), buckets=8)
+    assert n == 1 and len(files().keys() & before.keys()) > len(before) * 0.7
+    scores = [s for s in scores if s[0] != 3] + changed
+    assert look(3, 4) == brute_matches(scores, 3, 4) and look(4, 4) == brute_matches(scores, 4, 4)
+    match_index.update_index(spark, path, spark.createDataFrame([], schema), spark.createDataFrame([(2,), (7,)], "id long"), buckets=8)
+    scores = [s for s in scores if not {s[0], s[1]} & {2, 7}]
+    for t in range(30):
+        assert look(t, 4) == brute_matches(scores, t, 4)
+
+
+def test_split_outcomes(spark):
+    states = spark.createDataFrame([("a", "s1", ["M1"], "base a"), ("b", "s1", ["M1"], "base b"), ("c", "s2", ["M1"], "base c"), ("d", "s1", ["M1", "M2"], "base d")], "job string, identity string, labels array<string>, baseline string")
+    requests = spark.createDataFrame([("a", "s1", "M0", "now"), ("b", "s1", "M1", "now"), ("c", "s1", "M1", "now"), ("d", "s1", "M9", "now"), ("e", "s1", "M0", "now")], "job string, identity string, label string, cleanup string")
+    known = spark.createDataFrame([(j, f"M{i}") for j in "abcde" for i in range(3)], "job string, label string")
+    got = {r.job: (r.outcome, r.labels, r.baseline) for r in R.split_outcomes(states, requests, known, "job").collect()}
+    assert got == {"a": ("commit", ["M0", "M1"], "base a"), "b": ("restore", [], "base b"), "c": ("discard", [], "base c"), "d": ("refuse", ["M1", "M2"], "base d"), "e": ("commit", ["M0"], "now")}
+
+
+def test_reader_order_of_case_and_accents(spark):
+    df = spark.createDataFrame([(1, t) for t in ("zebra", "Édith", "edith", "Edith", "Zoe", "éa", "eb", "apple", None)], "k int, title string")
+    got = [r.title for r in R.collated_order(df, ["k"], "title").orderBy("pos").collect()]
+    assert got == [None, "apple", "éa", "eb", "edith", "Edith", "Édith", "zebra", "Zoe"]
+
+
+def test_sentinel_has_its_own_label_and_fingerprint(spark):
+    assert (R.SENTINEL, R.SENTINEL_ID) == ("Speaker", "fp_system_speaker")
