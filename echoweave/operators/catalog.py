@@ -94,3 +94,39 @@ def import_dedup(incoming: DataFrame, catalog: DataFrame, key: str, status: str)
     """What to do with each incoming file: keep what is done or active, replace what failed, insert what is new."""
     joined = incoming.join(catalog.select(key, F.col(status).alias("_s")), key, "left")
     return joined.withColumn("action", F.when(F.col("_s").isNull(), "insert").when(F.col("_s").isin("failed", "cancelled"), "replace").otherwise("keep")).drop("_s")
+
+
+#: What a cleanup's state is before anything has happened.
+CLEANUP_NONE = "none"
+
+
+def cleanup_states(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The state of each job's cleanup after its events, in order: key, status, cleaned_at, model, seconds, before (seconds that a resumed run goes on from).
+
+    events(key, order, op, at, model, seconds, flag, baseline): ``run`` starts
+    (flag: resumes, which keeps what was done), ``complete`` sets model, time and
+    seconds, ``cancel`` and ``fail`` leave them (flag: a failure clears the
+    completion), ``invalidate`` forgets everything, ``restore`` takes the baseline
+    (struct of status, cleaned_at, model, seconds). Other events change nothing.
+    """
+    at = events.schema["at"].dataType.simpleString()
+    kind = f"struct<status:string,cleaned_at:{at},model:string,seconds:double,before:double>"
+    null = lambda t: F.lit(None).cast(t)
+
+    def state(status: Column, cleaned: Column, model: Column, seconds: Column, before: Column) -> Column:
+        return F.struct(status.alias("status"), cleaned.alias("cleaned_at"), model.alias("model"), seconds.cast("double").alias("seconds"), before.cast("double").alias("before")).cast(kind)
+
+    def step(s: Column, e: Column) -> Column:
+        keep = (s["cleaned_at"], s["model"], s["seconds"], s["before"])
+        fresh = state(F.lit("running"), null(at), null("string"), F.lit(0.0), F.lit(0.0))
+        ran = F.when(e["flag"], state(F.lit("running"), s["cleaned_at"], s["model"], s["seconds"], s["seconds"])).otherwise(fresh)
+        failed = F.when(e["flag"], state(F.lit("failed"), null(at), null("string"), s["seconds"], s["before"])).otherwise(state(F.lit("failed"), *keep))
+        b = e["baseline"]
+        return (
+            F.when(e["op"] == "run", ran).when(e["op"] == "complete", state(F.lit("done"), e["at"], e["model"], e["seconds"], s["before"])).when(e["op"] == "cancel", state(F.lit("cancelled"), *keep)).when(e["op"] == "fail", failed)
+            .when(e["op"] == "invalidate", state(F.lit(CLEANUP_NONE), null(at), null("string"), F.lit(0.0), F.lit(0.0))).when(e["op"] == "restore", state(b["status"], b["cleaned_at"], b["model"], b["seconds"], s["before"])).otherwise(s)
+        )
+
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "op", "at", "model", "seconds", "flag", "baseline")))
+    start = state(F.lit(CLEANUP_NONE), null(at), null("string"), F.lit(0.0), F.lit(0.0))
+    return events.groupBy(key).agg(ordered.alias("_e")).select(key, F.aggregate("_e", start, step).alias("s")).select(key, "s.*")

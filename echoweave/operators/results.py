@@ -124,6 +124,34 @@ def toggled(labels: Column, label: Column) -> Column:
     return F.array_sort(F.when(F.array_contains(labels, label), F.array_except(labels, F.array(label))).otherwise(F.array_union(labels, F.array(label))))
 
 
+#: The one label of a result without speakers.
+ONLY_LABEL = "Speaker1"
+
+
+def partial_results(sentences: DataFrame, key: str, order: Sequence[str], text: str) -> DataFrame:
+    """Segments of a result that has no speakers yet: the sentences that aren't blank, trimmed, numbered from 1, all of one label."""
+    trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    kept = sentences.withColumn(text, trimmed).where(F.col(text) != "")
+    return kept.withColumns({"segment_id": F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long"), "label": F.lit(ONLY_LABEL)})
+
+
+def source_range(spans: Column, frame_ms: int = 10) -> Column:
+    """struct(start_ms, end_ms) of a window's spans (array of struct(lo, hi) in frames): from the first to the last, a frame at least; without spans the first frame."""
+    start = F.coalesce(F.array_min(F.transform(spans, lambda s: s["lo"])), F.lit(0))
+    end = F.greatest(F.coalesce(F.array_max(F.transform(spans, lambda s: s["hi"])), start), start + 1)
+    return F.struct((start * frame_ms).cast("long").alias("start_ms"), (end * frame_ms).cast("long").alias("end_ms"))
+
+
+def header_violations(documents: DataFrame, key: str, expected: str, version: str, seconds: str, versions: Sequence[int] = (1,)) -> DataFrame:
+    """What is wrong with documents' heads: key, rule. Blank or unexpected ids, unknown versions, cleanup seconds that are negative or not finite; null ones aren't checked."""
+    rules = {
+        "empty id": F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "", "other id": F.col(expected).isNotNull() & ~F.col(expected).eqNullSafe(F.col(key)), "version": F.col(version).isNotNull() & ~F.col(version).isin(*versions),
+        "cleanup seconds": F.col(seconds).isNotNull() & (F.isnan(F.col(seconds).cast("double")) | (F.abs(F.col(seconds)) == float("inf")) | (F.col(seconds) < 0)),
+    }
+    each = F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, hit in rules.items())))
+    return documents.select(F.col(key), F.explode(each).alias("rule"))
+
+
 def split_outcomes(states: DataFrame, requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """What toggling a label does to a job's split: key, outcome, labels, baseline.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echoweave.functions import vectors as V
-from echoweave.operators import clustering
+from echoweave.operators import catalog, clustering
 from echoweave.operators import results as R
 
 from .registry import KEYS, TOK, query, table, tokens
@@ -120,11 +120,48 @@ def effective_tokens(spark: S, d: D) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", R.effective_tokens(F.col("l_linenumber") - 2, F.floor("l_extendedprice"), 8404).cast("long").alias("n"))
 
 
-@query(f"WITH {TOK} SELECT user_id, sm // 86400000 AS win, min(sm) AS start_ms, max(em) AS end_ms FROM tok GROUP BY 1, 2")
+@query("""SELECT l_orderkey AS win, min(CASE WHEN l_quantity > 3 THEN l_partkey * 10 ELSE NULL END) IS NULL AS bare, coalesce(min(CASE WHEN l_quantity > 3 THEN l_partkey END), 0)::BIGINT * 10 AS start_ms,
+ greatest(coalesce(max(CASE WHEN l_quantity > 3 THEN l_partkey + l_quantity::BIGINT % 5 END), 0), coalesce(min(CASE WHEN l_quantity > 3 THEN l_partkey END), 0) + 1)::BIGINT * 10 AS end_ms FROM lineitem GROUP BY l_orderkey""")
 def source_range(spark: S, d: D) -> DataFrame:
-    """A window's span: from its first to its last millisecond."""
-    t = tokens(spark, d).withColumn("win", F.floor(F.col("sm") / 86_400_000))
-    return t.groupBy("user_id", "win").agg(F.min("sm").alias("start_ms"), F.max("em").alias("end_ms"))
+    """The time that a window's spans come from; of windows without spans, and with empty ones, a frame."""
+    span = F.when(F.col("l_quantity") > 3, F.struct(F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_quantity").cast("long") % 5).alias("hi")))
+    w = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("win")).agg(F.collect_list(span).alias("spans"))
+    return w.select("win", (F.size("spans") == 0).alias("bare"), R.source_range(F.col("spans")).alias("r")).select("win", "bare", "r.start_ms", "r.end_ms")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN ' ' ELSE '  ' || coalesce(text, '') END AS text FROM conversations))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, t) AS segment_id, 'Speaker1' AS label, length(t)::INT AS size FROM t WHERE t <> ''""")
+def partial_results(spark: S, d: D) -> DataFrame:
+    text = F.when(F.col("turn") % 4 == 1, " ").otherwise(F.concat(F.lit("  "), F.coalesce("text", F.lit(""))))
+    t = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+    return R.partial_results(t, "conv_id", ["turn", "text"], "text").select("conv_id", "segment_id", "label", F.length("text").alias("size"))
+
+
+@query("""WITH h AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE o_orderkey::VARCHAR END AS job, CASE WHEN o_orderkey % 7 = 0 THEN (o_orderkey + 1)::VARCHAR WHEN o_orderkey % 5 <> 0 THEN o_orderkey::VARCHAR END AS expected, o_orderkey % 3 AS version, CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice WHEN o_orderkey % 17 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 19 = 0 THEN 'inf'::DOUBLE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS seconds FROM orders)
+SELECT job, unnest(list_filter([CASE WHEN trim(job) = '' THEN 'empty id' END, CASE WHEN expected IS NOT NULL AND expected <> job THEN 'other id' END, CASE WHEN version NOT IN (1, 2) THEN 'version' END, CASE WHEN seconds IS NOT NULL AND (isnan(seconds) OR isinf(seconds) OR seconds < 0) THEN 'cleanup seconds' END], lambda x: x IS NOT NULL)) AS rule FROM h""")
+def header_violations(spark: S, d: D) -> DataFrame:
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    seconds = F.when(k % 11 == 0, -F.col("o_totalprice")).when(k % 17 == 0, float("nan")).when(k % 19 == 0, float("inf")).when(k % 4 != 0, F.col("o_totalprice"))
+    heads = o.select(F.when(k % 13 == 0, " ").otherwise(k.cast("string")).alias("job"), F.when(k % 7 == 0, (k + 1).cast("string")).when(k % 5 != 0, k.cast("string")).alias("expected"), (k % 3).alias("version"), seconds.alias("seconds"))
+    return R.header_violations(heads, "job", "expected", "version", "seconds", (1, 2))
+
+
+@query(f"""WITH RECURSIVE {TOK}, e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sm, event_id) AS i, sm, event_id % 13 AS op, value, event_id % 2 = 0 AS flag FROM tok),
+s(user_id, i, status, cleaned_at, model, seconds, before) AS (SELECT DISTINCT user_id, 0::BIGINT, 'none', NULL::BIGINT, NULL::VARCHAR, 0::DOUBLE, 0::DOUBLE FROM e UNION ALL
+ SELECT s.user_id, e.i, CASE WHEN op IN (0, 6) THEN 'running' WHEN op IN (1, 7) THEN 'done' WHEN op = 2 THEN 'cancelled' WHEN op IN (3, 8) THEN 'failed' WHEN op = 4 THEN 'none' WHEN op = 5 THEN 'done' ELSE status END,
+  CASE WHEN op IN (0, 6) AND NOT flag OR op IN (3, 8) AND flag OR op = 4 THEN NULL WHEN op IN (1, 7) THEN sm WHEN op = 5 THEN 5 ELSE cleaned_at END,
+  CASE WHEN op IN (0, 6) AND NOT flag OR op IN (3, 8) AND flag OR op = 4 THEN NULL WHEN op IN (1, 7) THEN 'm' || op WHEN op = 5 THEN 'base' ELSE model END,
+  CASE WHEN op IN (0, 6) AND NOT flag OR op = 4 THEN 0 WHEN op IN (1, 7) THEN value WHEN op = 5 THEN 0.5 ELSE seconds END::DOUBLE,
+  CASE WHEN op IN (0, 6) THEN CASE WHEN flag THEN seconds ELSE 0 END WHEN op = 4 THEN 0 ELSE before END::DOUBLE
+ FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, status, cleaned_at, model, seconds, before FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
+def cleanup_states(spark: S, d: D) -> DataFrame:
+    """A user's events as the events of a job's cleanup."""
+    k = F.col("event_id") % 13
+    op = F.when(k.isin(0, 6), "run").when(k.isin(1, 7), "complete").when(k == 2, "cancel").when(k.isin(3, 8), "fail").when(k == 4, "invalidate").when(k == 5, "restore").otherwise("seen")
+    base = F.struct(F.lit("done").alias("status"), F.lit(5).cast("long").alias("cleaned_at"), F.lit("base").alias("model"), F.lit(0.5).alias("seconds"))
+    e = tokens(spark, d).select("user_id", "sm", "event_id", op.alias("op"), F.col("sm").alias("at"), F.concat(F.lit("m"), k.cast("string")).alias("model"), F.col("value").alias("seconds"), (F.col("event_id") % 2 == 0).alias("flag"), base.alias("baseline"))
+    return catalog.cleanup_states(e, "user_id", ["sm", "event_id"])
 
 
 @query(f"WITH {TOK}, v AS (SELECT user_id, sm // 86400000 AS win, event_type AS label, count(*) AS votes FROM tok WHERE event_id % 4 <> 0 GROUP BY 1, 2, 3) SELECT user_id, win, label, votes FROM v QUALIFY row_number() OVER (PARTITION BY user_id, win ORDER BY votes DESC, label) = 1")

@@ -285,6 +285,14 @@ def interval_batch_merge(spark: S, d: D) -> DataFrame:
     return folds.interval_batches(seg, KEYS)
 
 
+@query(f"WITH {TOK}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sm, event_id) AS heard, count(*) OVER (PARTITION BY user_id) AS frames FROM tok) SELECT user_id, event_id, round(0.3 * heard / greatest(frames, 1) + 0.7 * least(value / 500, 1), 9) AS progress FROM n")
+def combined_progress(spark: S, d: D) -> DataFrame:
+    """How far a recording is, from the frames heard and the fraction recognised."""
+    t = tokens(spark, d).withColumns({"heard": F.row_number().over(runs.ordered(KEYS, ORDER)), "recognised": F.least(F.col("value") / 500, F.lit(1.0))})
+    t = t.withColumn("frames", F.count(F.lit(1)).over(W.partitionBy("user_id")))
+    return t.select("user_id", "event_id", F.round(timing.combined_progress(F.col("heard"), F.col("frames"), F.col("recognised")), 9).alias("progress"))
+
+
 @query()
 def progress_throttle(spark: S, d: D) -> DataFrame:
     t = tokens(spark, d).select("user_id", F.row_number().over(runs.ordered(KEYS, ORDER)).cast("long").alias("pos"), F.col("event_type").alias("stage"), F.least(F.col("value") / 200, F.lit(1.0)).alias("fraction"))

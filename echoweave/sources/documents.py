@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from .transactions import Files
+
 SEGMENT = "struct<segment_id:bigint,start_ms:bigint,end_ms:bigint,speaker_label:string,included_in_preview:boolean,raw_text:string>"
 SPEAKER = "struct<speaker_label:string,speaker_profile_id:string,fingerprint_id:string>"
 MERGED = "struct<merge_id:bigint,start_ms:bigint,end_ms:bigint,speaker_label:string,manual_speaker_label:string,raw_content:string,cleaned_content:string,was_llm_failure:boolean>"
@@ -78,3 +82,25 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of tokens -> token, id; of a token that comes twice the first id."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("id", "token"))
     return rows.groupBy("token").agg(F.min("id").alias("id"))
+
+
+def save_settings(spark: SparkSession, path: str, settings: dict) -> None:
+    """Settings as one JSON document that only its owner may read, in place by a rename; fields that KINDS doesn't know are refused."""
+    known = {f.name for f in schema_of("settings").fields}
+    if unknown := settings.keys() - known:
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    folder, _, name = path.rpartition("/")
+    files = Files(spark, folder)
+    files.write(f"{name}.staging", json.dumps(settings, ensure_ascii=False).encode())
+    owner = spark._jvm.org.apache.hadoop.fs.permission.FsPermission("600")
+    files.fs.setPermission(files.path(f"{name}.staging"), owner)
+    files.remove(name)
+    files.move(f"{name}.staging", name)
+
+
+def load_settings(spark: SparkSession, path: str) -> dict:
+    """The settings, or those of a save that was stopped between its two steps; none saved: empty."""
+    folder, _, name = path.rpartition("/")
+    files = Files(spark, folder)
+    files.move(f"{name}.staging", name) if not files.exists(name) else None
+    return json.loads(files.read(name)) if files.exists(name) else {}

@@ -91,3 +91,18 @@ def test_progress_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [("j", 1, 10), ("j", 3, 30), ("j", 3, 30)]
+
+
+def test_settings_are_the_owners_own(spark, tmp_path):
+    path = str(tmp_path / "conf" / "settings.json")
+    assert documents.load_settings(spark, path) == {}
+    first = {"glossary": ["雅冬"], "cleanup": {"chunkChars": 5}}
+    documents.save_settings(spark, path, first)
+    documents.save_settings(spark, path, first | {"queue": {"autoStart": True}})
+    assert documents.load_settings(spark, path) == first | {"queue": {"autoStart": True}}
+    assert (tmp_path / "conf" / "settings.json").stat().st_mode & 0o777 == 0o600
+    assert documents.read_documents(spark, path, "settings").first().glossary == ["雅冬"]
+    (tmp_path / "conf" / "settings.json").rename(tmp_path / "conf" / "settings.json.staging")  # stopped between the two steps
+    assert documents.load_settings(spark, path)["queue"] == {"autoStart": True}
+    with pytest.raises(ValueError):
+        documents.save_settings(spark, path, {"colour": 1})
