@@ -12,8 +12,10 @@ block are measured exactly, in double precision.
 Scale: all centres are fitted on a bounded sample, and so is the number of lists
 that a query looks into: the least that hold ``COVER`` of the sample's true
 neighbours. Every vector is coded. There are about LISTS * sqrt(vectors) lists,
-up to MAX_LISTS, and only their centres and counts are broadcast, so work grows
-with the vectors to the power of 1.5. A list with many vectors - one vector may
+up to MAX_LISTS and never more than the sample has rows, and only their centres
+and counts are broadcast. How many lists are looked into depends on the data: of
+clustered vectors few, and work grows with their number to the power of 1.5; of
+vectors without structure a fixed part of all, and work grows with the square. A list with many vectors - one vector may
 hold a third of the table - is cut into blocks of about ``BLOCK`` by the id's
 hash. Queries of a block are packed too and meet it by a join on list and block,
 so neither side is collected, and memory is that of two blocks. Equal vectors of

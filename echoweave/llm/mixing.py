@@ -111,7 +111,10 @@ def mixed_rows(docs: DataFrame, quality: DataFrame | None, weights: tuple[int, .
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, key_ranges: int = KEY_RANGES) -> DataFrame:
     """The mixed corpus: every document, all its columns, as often as it is taken - whole, so taken / size is rounded.
 
-    A source misses its target by half a document at most. Documents without words are not taken.
+    A source misses its target by half a document at most, and by the rounding
+    of each group of rows that repeat an id and a text: these are all taken as
+    often as they are on average. Documents without words, and so null texts,
+    are not taken; null ids and null sources are like any other value.
     """
     taken = mixed_rows(docs, quality, weights, max_epochs, key_ranges).where("taken > 0")
     times = taken.groupBy("doc_id", "text_key").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")

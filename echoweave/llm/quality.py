@@ -4,8 +4,8 @@ One dictionary is built from good and one from bad labelled text. A text is
 compressed whole with each, and without one. Its score is calibrated, by
 logistic regression, from normalised differences of sizes only: bad against good
 dictionary (of the whole text, and the mean of its chunks, where a long text's
-own history doesn't hide the dictionary), no dictionary against good and against
-bad, and uncompressed against compressed.
+own history doesn't hide the dictionary), and no dictionary against good and
+against bad.
 
 Scale: half of the labelled documents (by hash of the id) give chunks to the
 dictionaries, of which ``DICT_CHUNKS`` a class are drawn by hash from anywhere in
@@ -39,7 +39,7 @@ PART_BYTES = 1_000
 LEVEL = 3
 FOLDS, HELD_OUT_FOLD = 5, 0
 THRESHOLD = 0.3
-FEATURES = 5
+FEATURES = 4
 
 
 def chunks(data: bytes, size: int) -> list[bytes]:
@@ -74,7 +74,7 @@ def features(text: str, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompr
     size = lambda z, x: len(z.compress(x))
     g, b, n = (size(z, data) for z in (good, bad, none))
     parts = [difference(size(bad, x), size(good, x)) for x in chunks(data, PART_BYTES)] if len(data) > PART_BYTES else [difference(b, g)]
-    return difference(b, g), float(np.mean(parts)), difference(n, g), difference(n, b), difference(len(data), n)
+    return difference(b, g), float(np.mean(parts)), difference(n, g), difference(n, b)
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -93,13 +93,26 @@ class Model:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 0.1) -> None:
+        """Penalised logistic regression by Newton steps, each halved until it is better; ends when none is."""
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         a = expand((x - self.mean) / self.scale)
+
+        def cost(w: np.ndarray) -> float:
+            return float(np.logaddexp(0, a @ w).sum() - y @ (a @ w) + ridge / 2 * w @ w)
+
         w = np.zeros(a.shape[1])
+        now = cost(w)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+            size = 1.0
+            while size > 1e-9 and cost(w + size * step) >= now:
+                size /= 2
+            if size <= 1e-9 or now - cost(w + size * step) < 1e-10 * abs(now):
+                break
+            w = w + size * step
+            now = cost(w)
         self.weights = w
 
     def score(self, x: np.ndarray) -> np.ndarray:

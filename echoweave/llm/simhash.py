@@ -21,11 +21,13 @@ Scale: fingerprints are taken in the scan; equal texts become one before the
 tables are built. They are dealt evenly over the cluster before their balls are
 enumerated; a table row is 16 bytes and only one segment's table of near_dedup()
 is on disk at a time. Keys with one member are dropped by an aggregate. A key's
-members are compared in blocks of ``BLOCK``: two blocks meet in one task, and a
-task returns a minimum spanning forest of the links it finds, never the pairs:
-each link left out is replaced by a path of links no longer than itself. So a
-large group of near copies yields rows in proportion to its members, and no task
-holds more than two blocks.
+members are compared in blocks of ``BLOCK``: two blocks meet in one task, so a
+key of n members moves n * n / BLOCK rows, and a task returns a minimum spanning
+forest of the links it finds, never the pairs: each link left out is replaced by
+a path of links no longer than itself. So a large group of near copies yields
+rows in proportion to its members, and no task holds more than two blocks.
+near_dedup() compares the links of the forests by shingles, so it can miss a
+link whose path has one that isn't like enough.
 """
 
 from __future__ import annotations

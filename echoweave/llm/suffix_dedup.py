@@ -1,8 +1,8 @@
-"""Repeated-substring dedup on externally sorted, sampled suffixes.
+"""Repeated-substring dedup on hashed anchors in an external sort.
 
-A byte goes if it lies in a LENGTH-byte string that also starts earlier. Not
-every suffix is sorted: as in induced sorting a sample is sorted and the rest
-follows from it. Every LENGTH-byte window names one anchor inside it - its
+A byte goes if it lies in a LENGTH-byte string that also starts earlier. This is
+not induced sorting: no suffix is ordered by its text and no common prefixes are
+carried (the README says why). Every LENGTH-byte window names one anchor inside it - its
 smallest hashed GRAM - so equal windows name equal anchors at equal places, and
 neighbouring windows share theirs. The run of windows of one anchor, with the
 bytes that it spans, is a suffix tuple (gram, span, document, place).
@@ -14,8 +14,9 @@ bytes that it spans, is a suffix tuple (gram, span, document, place).
 3. Grams with several spans (passage ends, common phrases) share a prefix of
    unknown length: their spans are fetched and compared window by window.
 
-Scale: about one tuple of 48 bytes per 38 bytes of text moves, not the text; a
-hot passage comes to one tuple a piece of text before the shuffle. Memory is
+Scale: about one tuple of 48 bytes per 38 bytes of text moves, and once the whole
+texts of documents with grams of several spans; a hot passage comes to one tuple
+a piece of text before the shuffle. Memory is
 that of a piece (PIECE bytes), one document's runs, or a gram's spans; grams
 with over BIG spans are compared by a distributed aggregate instead.
 """

@@ -457,18 +457,38 @@ def test_quality_equals_brute_force(spark):
         diff = lambda p, q: (p - q) / max(p, q, 1)
         size = lambda z, v=d: len(z.compress(v))
         parts = [diff(size(b, d[i : i + 1000]), size(g, d[i : i + 1000])) for i in range(0, len(d), 1000)] or [diff(size(b), size(g))]
-        return [diff(size(b), size(g)), sum(parts) / len(parts), diff(size(n), size(g)), diff(size(n), size(b)), diff(len(d), size(n))]
+        return [diff(size(b), size(g)), sum(parts) / len(parts), diff(size(n), size(g)), diff(size(n), size(b))]
 
     ids = sorted(i for i in label if h[i] % 2)
     x, y = np.array([x_of(texts[i]) for i in ids]), np.array([label[i] for i in ids], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    wide = lambda v: np.array([[1, *row, *(row[i] * row[j] for i in range(5) for j in range(i, 5))] for row in (np.array(v) - mean) / scale])
-    a, w = wide(x), np.zeros(21)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(21), a.T @ (y - p) - 0.1 * w)
+    wide = lambda v: np.array([[1, *row, *(row[i] * row[j] for i in range(4) for j in range(i, 4))] for row in (np.array(v) - mean) / scale])
+    a, w, at = wide(x), np.zeros(15), 0.1
+    for _ in range(200):  # a gradient whose steps are damped by a growing and falling diagonal finds the same optimum
+        p = 1 / (1 + np.exp(-a @ w))
+        new = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + (0.1 + at) * np.eye(15), a.T @ (y - p) - 0.1 * w)
+        cost = lambda v: np.logaddexp(0, a @ v).sum() - y @ (a @ v) + 0.05 * v @ v  # noqa: B023, E731
+        w, at = (new, at / 3) if cost(new) < cost(w) else (w, at * 4)
     for i, t in texts.items():
-        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-np.clip(wide([x_of(t)]) @ w, -30, 30)))[0]), abs=1e-6)
+        assert got[i] == pytest.approx(float(1 / (1 + np.exp(-np.clip(wide([x_of(t)]) @ w, -30, 30)))[0]), abs=1e-4)
+
+
+def test_fit_settles_on_any_features():
+    """Separable, equal and constant features: the fit ends, and no set of features does worse than its best single one."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(600) < 0.8).astype(float)
+    x = np.column_stack([y + rng.normal(size=600) * 0.01, y + rng.normal(size=600), rng.normal(size=600), np.ones(600)])
+
+    def loss(columns):
+        m = quality.Model()
+        m.calibrate(x[:, columns], y)
+        p = m.score(x[:, columns]).clip(1e-12, 1 - 1e-12)
+        assert np.isfinite(m.weights).all() and np.abs(m.weights).max() < 1e3
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    single = [loss([i]) for i in range(4)]
+    for columns in ([0, 1], [0, 0], [0, 3], [1, 2, 3], [0, 1, 2, 3]):
+        assert loss(columns) <= min(single[i] for i in columns) + 0.01
 
 
 def test_quality_of_repeated_rows_and_clashing_columns(spark):
@@ -495,6 +515,51 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.97
 
 
+def test_language_equals_brute_force(spark, sample):
+    """Sample, n-grams, codewords' bits by ridge regression, losses and decoding once more, one document and one bit at a time."""
+    rows = sample.select("doc_id", "text", "lang", F.xxhash64(F.lit(8), F.col("doc_id")).alias("h")).collect()
+    known = [r for r in rows if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    per = defaultdict(int)
+    for r in known:
+        per[r.lang] += 1
+    share = max(8, langid.SAMPLE_DOCS // len(per))
+    learnt = sorted((r for r in known if (r.h % (1 << 30)) / (1 << 30) < share / per[r.lang] and any(c.isalpha() for c in r.text)), key=lambda r: (r.doc_id, r.lang))
+
+    def grams(text):
+        data, out = text.lower().encode(), np.zeros(2048)
+        for i in range(len(data) - 1):
+            two = (data[i] * 0x9E3779B1 ^ data[i + 1] * 0x85EBCA6B) & 0xFFFFFFFF
+            out[(two * 0x2C1B3C6D & 0xFFFFFFFF) >> 21] += 1
+            if i + 2 < len(data):
+                three = (two ^ data[i + 2] * 0xC2B2AE35) & 0xFFFFFFFF
+                out[(three * 0x297A2D39 & 0xFFFFFFFF) >> 21] += 1
+        out = np.sqrt(out)
+        return out / (np.linalg.norm(out) or 1)
+
+    names, code = sorted({r.lang for r in learnt}), langid.codewords(len({r.lang for r in learnt}))
+    assert len(names) > 1 and min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 3
+    a = np.array([[*grams(r.text).astype(np.float32).astype(float), 1.0] for r in learnt])
+    inverse = np.linalg.inv(a.T @ a + 0.01 * np.eye(a.shape[1]))
+    weights, trust = [], []
+    for bit in range(code.shape[1]):
+        y = np.array([code[names.index(r.lang), bit] for r in learnt])
+        w = inverse @ (a.T @ y)
+        right = min(max(float((np.sign(a @ w) == y).mean()), 0.5), 0.999)
+        weights.append(w)
+        trust.append(np.log(right / (1 - right)) / np.log(999) + 1e-3)
+    got = {r.doc_id: r for r in langid.identify(sample, langid.train(sample)).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        x = np.append(grams(r.text), 1.0)
+        loss = [sum(t * np.log1p(np.exp(-3 * float(x @ w) * c)) for w, t, c in zip(weights, trust, word, strict=True)) for word in code]
+        best = min(range(len(names)), key=lambda i: loss[i])
+        score = 1 / sum(np.exp(loss[best] - v) for v in loss)
+        assert got[r.doc_id].lang_pred == names[best] and got[r.doc_id].score == pytest.approx(score, abs=1e-6)
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, None, "en", 0), (2, "123 !", "en", 0), (3, "hello there", "en", 0), (None, "guten tag", None, 0)], "doc_id long, text string, lang string, score int")
     model = langid.fit(np.stack([langid.ngram_vector(t) for t in ("the house", "das haus")]), ["en", "de"])
