@@ -161,8 +161,8 @@ def reassign(df: DataFrame, key: str, label: str, vector: str, valid: DataFrame,
     return df.join(found, key, "left").withColumn("new_label", F.coalesce("_to", F.col(label))).drop("_to")
 
 
-def keep_if_collapsed(raw: DataFrame, merged: DataFrame, key: str, label: str, least: int = 30) -> DataFrame:
-    """The merged labels, unless they leave fewer than two of at least two, over enough rows: then the raw ones."""
-    n = raw.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("a")).first()
-    m = merged.agg(F.count_distinct(label).alias("b")).first()
-    return raw if n.n >= least and n.a >= 2 and m.b < 2 else merged
+def keep_if_collapsed(rows: DataFrame, keys: Sequence[str], raw: str, merged: str, name: str = "label", least: int = 30) -> DataFrame:
+    """rows with the label to go on with: a job's merged ones, unless they leave fewer than two of at least two, over enough rows; then its raw ones. One aggregate a job."""
+    jobs = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(raw).alias("_raw"), F.count_distinct(merged).alias("_merged"))
+    back = (F.col("_n") >= least) & (F.col("_raw") >= 2) & (F.col("_merged") < 2)
+    return rows.join(jobs.select(*keys, back.alias("_back")), list(keys)).withColumn(name, F.when(F.col("_back"), F.col(raw)).otherwise(F.col(merged))).drop("_back")

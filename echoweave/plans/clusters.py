@@ -61,6 +61,14 @@ def fragment_merges(spark: S, d: D) -> DataFrame:
     return clustering.merged_fragments(p.join(total, "job"), "job")
 
 
+@query("""WITH w AS (SELECT vec_id, vec_id // 125 AS job, label, CASE WHEN vec_id // 125 % 2 = 0 THEN 0 ELSE label % 3 END AS merged FROM embeddings), j AS (SELECT job, count(*) >= 30 AND count(DISTINCT label) >= 2 AND count(DISTINCT merged) < 2 AS back FROM w GROUP BY job)
+SELECT vec_id, job, CASE WHEN back THEN label ELSE merged END::BIGINT AS label FROM w JOIN j USING (job)""")
+def kept_labels(spark: S, d: D) -> DataFrame:
+    """Merged labels of jobs, and the raw ones where merging left a single one."""
+    w = windows(spark, d).select(F.col("pos").alias("vec_id"), "job", F.col("label").alias("raw"), F.when(F.col("job") % 2 == 0, 0).otherwise(F.col("label") % 3).alias("merged"))
+    return clustering.keep_if_collapsed(w, ["job"], "raw", "merged").select("vec_id", "job", "label")
+
+
 @query()
 def quality_repair(spark: S, d: D) -> DataFrame:
     """Labels of all jobs after the repair of garbage profiles, collapsed coverage and fragments."""

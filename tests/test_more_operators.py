@@ -49,10 +49,10 @@ def test_merge_fragments():
 
 
 def test_keep_raw_labels_if_merging_left_one(spark):
-    raw = spark.range(40).select("id", (F.col("id") % 2).alias("l"))
-    assert clustering.keep_if_collapsed(raw, raw.withColumn("l", F.lit(0)), "id", "l") is raw
-    few = raw.limit(10)
-    assert clustering.keep_if_collapsed(few, few, "id", "l") is few
+    rows = [("x", i, i % 2, 0) for i in range(40)] + [("few", i, i % 2, 0) for i in range(10)] + [("two", i, i % 3, i % 2) for i in range(40)] + [("same", i, 7, 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "job string, id long, raw long, merged long")
+    got = {(r.job, r.id): r.label for r in clustering.keep_if_collapsed(df, ["job"], "raw", "merged").collect()}
+    assert got == {(j, i): raw if j == "x" else merged for j, i, raw, merged in rows}
 
 
 def test_confirm_pauses(spark):
