@@ -11,11 +11,13 @@ links are found.
 
 near_dedup(): five-word shingles and a Jaccard similarity of 0.8. At 0.8 some 15 %
 of the bits differ, which 64 bits can't tell apart, so NEAR_WORDS * 64 bits and
-NEAR_SEGMENTS shorter segments are taken; candidates within NEAR_RADIUS bits are
-compared by the exact similarity of their shingles. A pair of similarity s is
-found in a segment with the chance that at most two of its bits differ: over 13
-segments of 28 bits 0.93 at s = 0.8, 0.99 at 0.85; more segments find more. Of a
-key's candidates only a spanning forest is compared by shingles (see below).
+NEAR_SEGMENTS segments are taken; candidates within NEAR_RADIUS bits are compared
+by the exact similarity of their shingles. A pair of similarity s is found in a
+segment with the chance that at most two of its bits differ: over 20 segments of
+32 bits 0.93 at s = 0.8, 0.99 at 0.85; more segments find more. Shorter segments
+find as much with fewer, but texts that have nothing in common meet in them too
+often: of n texts, some n * n / 2 ** 24 pairs in one of 32 bits. Of a key's
+candidates only a spanning forest is compared by shingles (see below).
 
 Scale: fingerprints are taken in the scan; equal texts become one before the
 tables are built. They are dealt evenly over the cluster before their balls are
@@ -48,7 +50,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of a segment of near_duplicates().
 SEGMENT_BITS = 32
 #: near_dedup(): words of a shingle, similarity of near copies, 64-bit words of a fingerprint, bits in which candidates differ at most, segments and their bits.
-NEAR_SHINGLE, SIMILARITY, NEAR_WORDS, NEAR_RADIUS, NEAR_SEGMENTS, NEAR_BITS = 5, 0.8, 6, 80, 13, 28
+NEAR_SHINGLE, SIMILARITY, NEAR_WORDS, NEAR_RADIUS, NEAR_SEGMENTS, NEAR_BITS = 5, 0.8, 10, 133, 20, 32
 #: Members of a key that are compared in one piece.
 BLOCK = 4096
 #: Shingles of a text that are hashed at once.
