@@ -5,17 +5,22 @@ the lists of its nearest centres. Euclidean nearness there is turned into a
 maximum inner product: a vector x becomes (x, -|x|^2 / 2), a query q becomes
 (q, 1). Vectors are coded by 16 centres for each pair of coordinates; codes are
 chosen so that the residual's part parallel to the vector, which moves the inner
-product, weighs ``ETA`` times as much as the rest. Two 4-bit codes share a byte;
-a query adds up a table of 256 sums for each byte, and the best ``RERANK`` of a
-block are measured exactly, in double precision.
+product, weighs ``ETA`` times as much as the rest. Vectors are coded relative to
+their list's centre, so that codes tell the vectors of a tight list apart. Two
+4-bit codes share a byte; a query adds up a table of 256 sums for each byte. The
+best ``RERANK`` of a block are measured exactly, in double precision, and with
+them every vector whose code and kept coding error leave it a chance to be nearer:
+a block loses none of its nearest, whatever the vectors are like.
 
 Scale: all centres are fitted on a bounded sample, and so is the number of lists
 that a query looks into: the least that hold ``COVER`` of the sample's true
-neighbours. Every vector is coded. There are about LISTS * sqrt(vectors) lists,
+neighbours. A query then looks into every other list that can hold a vector
+nearer than the k-th it has found, by the list's radius and by the plane between
+the centres; so the result is that of measuring all. Every vector is coded. There are about LISTS * sqrt(vectors) lists,
 up to MAX_LISTS and never more than the sample has rows, and only their centres
 and counts are broadcast. How many lists are looked into depends on the data: of
 clustered vectors few, and work grows with their number to the power of 1.5; of
-vectors without structure a fixed part of all, and work grows with the square. A list with many vectors - one vector may
+vectors without structure nearly all, and work grows with the square. A list with many vectors - one vector may
 hold a third of the table - is cut into blocks of about ``BLOCK`` by the id's
 hash. Queries of a block are packed too and meet it by a join on list and block,
 so neither side is collected, and memory is that of two blocks. Equal vectors of
@@ -104,26 +109,38 @@ def byte_tables(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     t = np.einsum("qmd,mcd->qmc", q_wide.reshape(len(q), -1, 2), centres)
     if t.shape[1] % 2:
         t = np.concatenate([t, np.zeros((len(q), 1, CENTRES))], 1)
-    return (t[:, 1::2, :, None] + t[:, ::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES).astype(np.float32)
+    return (t[:, 1::2, :, None] + t[:, ::2, None, :]).reshape(len(q), -1, CENTRES * CENTRES)
 
 
-def made_block(ids: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, ...]:
-    """ids by vector and then by id, where each vector's start, the different vectors, and their packed codes."""
+def made_block(ids: np.ndarray, x: np.ndarray, centres: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids by vector and then by id, where each vector's start, the different vectors, their packed codes relative to origin, what turns a score into a coded vector's squared distance, and the coding errors."""
     one, same = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, same.ravel()))
     starts = np.searchsorted(same.ravel()[order], np.arange(len(one) + 1))
-    return ids[order], starts, one, pack_codes(encode(augmented(one), centres))
+    v = augmented(one - origin)
+    codes = encode(v, centres)
+    seen = centres[np.arange(len(centres)), codes].reshape(len(v), -1)
+    square, last = (seen[:, : x.shape[1]] ** 2).sum(1), seen[:, x.shape[1]]
+    return ids[order], starts, one, pack_codes(codes), square + 2 * last, np.linalg.norm((v - seen)[:, : x.shape[1]], axis=1)
 
 
-def search_block(ids: np.ndarray, starts: np.ndarray, one: np.ndarray, codes: np.ndarray, centres: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int = K, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, distance) of each query's k nearest among the block's vectors, its own id left out."""
+def search_block(block: tuple[np.ndarray, ...], centres: np.ndarray, origin: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int = K, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of each query's k nearest among the vectors of a made_block(), its own id left out."""
+    ids, starts, one, codes, more, error = block
     depth = min(rerank, len(one))
-    if depth < len(one):
-        tables = byte_tables(q, centres)
-        score = np.zeros((len(q), len(one)), np.float32)
+    if k < depth < len(one):
+        y = q - origin
+        tables = byte_tables(y, centres)
+        far = np.zeros((len(q), len(one)))
         for j in range(codes.shape[1]):
-            score += tables[:, j][:, codes[:, j]]
-        best = np.argpartition(-score, depth - 1, axis=1)[:, :depth]
+            far -= tables[:, j][:, codes[:, j]]
+        size = (y * y).sum(1)[:, None]
+        far = size + 2 * far + more  # squared distance of the coded vector
+        slack = 1e-11 * (size + (centres * centres).sum(2).max(1).sum() + 2 * np.abs(centres[-1]).max())  # of rounding
+        best = np.argpartition(far, depth - 1, axis=1)[:, :depth]
+        least = np.sqrt(np.maximum(far - slack, 0)) - error  # no vector is nearer than its code's distance less its error
+        reach = [np.partition(np.sqrt(((one[row] - x) ** 2).sum(1)), k)[k] for x, row in zip(q, best, strict=True)]
+        best = [np.flatnonzero(low <= r * (1 + 1e-9)) for low, r in zip(least, reach, strict=True)]
     else:
         best = np.broadcast_to(np.arange(len(one)), (len(q), len(one)))
     out_q, out_v, out_d = [], [], []
@@ -143,6 +160,19 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres * centres).sum(1) - 2 * x @ centres.T
 
 
+def least_distances(x: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """(rows of x, lists): no vector of the list is nearer, by its radius and by the plane between its centre and x's own."""
+    size = (x * x).sum(1)[:, None]
+    square = np.maximum(size + distances(x, centres), 0)
+    own = square.argmin(1)
+    scale = size + (centres * centres).sum(1)
+    ball = np.sqrt(square) - radius - 1e-7 * np.sqrt(scale)
+    apart = np.sqrt(np.maximum((centres[own] ** 2).sum(1)[:, None] + distances(centres[own], centres), 0))
+    known = apart > 1e-6 * np.sqrt(scale)
+    plane = np.where(known, square - np.take_along_axis(square, own[:, None], 1) - 1e-13 * scale, 0) / np.where(known, 2 * apart, 1)
+    return np.maximum(ball, plane * (1 - 1e-9))
+
+
 def fit_lists(x: np.ndarray, n: int, k: int) -> tuple[np.ndarray, int]:
     """n coarse centres of the sample, and how many lists a query looks into."""
     rng = np.random.default_rng(9)
@@ -190,33 +220,44 @@ def nearest(rows: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
     if not sample:
         return rows.sparkSession.createDataFrame([], schema)
     x = np.array([r.x for r in sample], float)
-    centres = fit(augmented(x))
+    middle = x.mean(0)
+    x -= middle
     coarse, probes = fit_lists(x, max(1, min(MAX_LISTS, int(LISTS * rows.count() ** 0.5))), k)
+    centres = fit(augmented(x - coarse[distances(x, coarse).argmin(1)]))
     shared = rows.sparkSession.sparkContext.broadcast((centres, coarse))
 
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+    def origin(of: int) -> np.ndarray:
+        return middle + shared.value[1][of]
+
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                v = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(distances(v, shared.value[1]).argmin(1), pa.int32())], names=["vec_id", "x", "list"])
+                v = matrix(part.column("x")) - middle
+                at = distances(v, shared.value[1]).argmin(1)
+                far = np.linalg.norm(v - shared.value[1][at], axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.int32()), pa.array(far)], names=["vec_id", "x", "list", "far"])
 
-    listed = checkpointed(rows.mapInArrow(assigned, "vec_id long, x array<double>, list int"))
+    listed = checkpointed(rows.mapInArrow(assigned, "vec_id long, x array<double>, list int, far double"))
     # a row for each list, MAX_LISTS at most
-    counts = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    lists = checkpointed(listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.max("far").alias("radius")))
+    counts = F.broadcast(lists.select("list", "blocks"))
 
-    def packed(size: int, make: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> Callable:
+    def packed(size: int, make: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> Callable:
         """Rows that lie together by list and block -> one row for each group, or of a larger one for each up to size: ids, vectors and more as bytes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(key: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(key[:1], pa.int32()), pa.array(key[1:], pa.int32()), *(pa.array([m.tobytes()], pa.binary()) for m in make(ids, v))], names=["list", "part", *names])
+                return pa.RecordBatch.from_arrays([pa.array(key[:1], pa.int32()), pa.array(key[1:], pa.int32()), *(pa.array([m.tobytes()], pa.binary()) for m in make(int(key[0]), ids, v))], names=["list", "part", *names])
 
             keys, ids, v = np.zeros((0, 2), np.int32), np.zeros(0, np.int64), np.zeros((0, dims))
             for b in batches:
                 keys = np.concatenate([keys, np.column_stack([b.column(c).to_numpy() for c in ("list", "part")])])
                 ids = np.concatenate([ids, b.column("vec_id").to_numpy()])
-                v = np.concatenate([v, b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)])
+                v = np.concatenate([v, matrix(b.column("x"))])
                 ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(ids)]
                 lo = 0
                 for hi in ends:  # the last group may go on in the next batch
@@ -232,37 +273,59 @@ def nearest(rows: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int =
 
     part = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     dealt = listed.join(counts, "list").select("list", part.alias("part"), "vec_id", "x").repartition("list", "part").sortWithinPartitions("list", "part")
-    index = checkpointed(dealt.mapInArrow(packed(2 * block, lambda i, v: made_block(i, v, shared.value[0]), ["ids", "starts", "one", "codes"]), "list int, part int, ids binary, starts binary, one binary, codes binary"))
-
-    def search(queries: DataFrame, probes: int) -> DataFrame:
-        """queries(vec_id, x) -> query_id, vec_id, score, rank of the k nearest in so many lists."""
+    parts = ["ids", "starts", "one", "codes", "more", "error"]
+    kinds = [np.int64, np.int64, np.float64, np.uint8, np.float64, np.float64]
+    index = checkpointed(dealt.mapInArrow(packed(2 * block, lambda at, i, v: made_block(i, v, shared.value[0], origin(at)), parts), "list int, part int, " + ", ".join(f"{c} binary" for c in parts)))
 
-        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                v = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                near = np.argsort(distances(v, shared.value[1]), 1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["vec_id", "x", "lists"])
-
-        asked = queries.mapInArrow(probed, "vec_id long, x array<double>, lists array<int>").select("vec_id", "x", F.explode("lists").alias("list")).join(counts, "list")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lists of the nearest centres."""
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                near = np.argsort(distances(matrix(part.column("x")) - middle, shared.value[1]), 1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["vec_id", "x", "lists"])
+
+    def search(asked: DataFrame) -> DataFrame:
+        """asked(vec_id, x, lists) -> query_id, vec_id, score of the nearest in each block of the lists."""
+        asked = asked.select("vec_id", "x", F.explode("lists").alias("list")).join(counts, "list")
         asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "vec_id", "x").repartition("list", "part").sortWithinPartitions("list", "part")
-        asked = asked.mapInArrow(packed(query_block, lambda i, v: (i, v), ["q_ids", "q"]), "list int, part int, q_ids binary, q binary")
+        asked = asked.mapInArrow(packed(query_block, lambda at, i, v: (i, v), ["q_ids", "q"]), "list int, part int, q_ids binary, q binary")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for ids, starts, one, codes, q_ids, q in zip(*(b.column(c) for c in ("ids", "starts", "one", "codes", "q_ids", "q")), strict=True):
+                for at, q_ids, q, *made in zip(*(b.column(c) for c in ("list", "q_ids", "q", *parts)), strict=True):
                     of = lambda v, kind: np.frombuffer(v.as_buffer(), kind)
-                    vectors = of(one, np.float64).reshape(-1, dims)
-                    found = search_block(of(ids, np.int64), of(starts, np.int64), vectors, of(codes, np.uint8).reshape(len(vectors), -1), shared.value[0], of(q_ids, np.int64), of(q, np.float64).reshape(-1, dims), k, rerank)
+                    ids, starts, one, codes, more, error = (of(v, kind) for v, kind in zip(made, kinds, strict=True))
+                    one = one.reshape(-1, dims)
+                    found = search_block((ids, starts, one, codes.reshape(len(one), -1), more, error), shared.value[0], origin(at.as_py()), of(q_ids, np.int64), of(q, np.float64).reshape(-1, dims), k, rerank)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-        found = index.join(asked, ["list", "part"]).select("ids", "starts", "one", "codes", "q_ids", "q").mapInArrow(scan, "query_id long, vec_id long, score double")
+        return index.join(asked, ["list", "part"]).select("list", "q_ids", "q", *parts).mapInArrow(scan, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
         nth = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
         return checkpointed(found.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
     queries = listed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-    out = search(queries, probes)
-    if probes < len(coarse):  # a query whose lists held too few looks into all
-        short = queries.join(out.where(F.col("rank") == k), queries["vec_id"] == out["query_id"], "left_anti")
-        if not short.isEmpty():
-            out = out.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(search(short, len(coarse)))
+    out = ranked(search(queries.mapInArrow(first, "vec_id long, x array<double>, lists array<int>")))
+    if probes < len(coarse):
+        radius = np.zeros(len(coarse))
+        for r in lists.select("list", "radius").collect():
+            radius[r.list] = r.radius
+        radii = rows.sparkSession.sparkContext.broadcast(radius)
+
+        def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The other lists that can hold a vector as near as the k-th found; of a query that found fewer, all."""
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    v = matrix(part.column("x")) - middle
+                    order = np.argsort(distances(v, shared.value[1]), 1, kind="stable")[:, probes:].astype(np.int32)
+                    least = np.take_along_axis(least_distances(v, shared.value[1], radii.value), order, 1)
+                    may = [row[low <= reach * (1 + 1e-9)] for row, low, reach in zip(order, least, part.column("reach").to_numpy(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("x"), pa.array(may, pa.list_(pa.int32()))], names=["vec_id", "x", "lists"])
+
+        kth = out.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_s"))
+        rest = queries.join(kth, "vec_id", "left").select("vec_id", "x", F.coalesce("_s", F.lit(float("inf"))).alias("reach"))
+        out = ranked(out.drop("rank").unionByName(search(rest.mapInArrow(others, "vec_id long, x array<double>, lists array<int>"))))
     return out

@@ -731,6 +731,23 @@ def test_neighbours_of_a_large_clustered_table_with_a_hot_vector(spark):
     assert hit >= 0.9 * 10 * 60
 
 
+def test_neighbours_of_tight_clusters_and_of_queries_apart(spark):
+    """Vectors that differ by less than a code tells, and queries that lie unlike the other rows: none of the nearest is missed."""
+    rng = np.random.default_rng(4)
+    tight = rng.normal(size=(3, 16))[rng.integers(0, 3, 3000)] + 1e-4 * rng.normal(size=(3000, 16))
+    apart = rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 16))
+    apart[::100] = rng.normal(size=(30, 16))
+    for x in (tight, apart):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in ann.nearest(df, block=512, rerank=16).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        for q in range(0, 3000, 100):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            assert got[q] == np.lexsort((np.arange(3000), d))[:10].tolist()
+
+
 def test_packed_codes_and_tables():
     rng = np.random.default_rng(5)
     codes, centres, q = rng.integers(0, 16, (50, 5), np.uint8), rng.normal(size=(5, 16, 2)), rng.normal(size=(3, 9))
