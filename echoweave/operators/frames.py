@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from .runs import ordered
 
 #: Fixed values of the acoustic front end.
 RATE, FRAME, SHIFT, FFT, BINS = 16_000, 400, 160, 512, 80
+#: Chunks of an Arrow batch whose frames are made at a time.
+CHUNKS = 16
 LOW_HZ, HIGH_HZ, EMPHASIS, SCALE, POWER, FLOOR = 20.0, 8_000.0, 0.97, 32_768.0, 0.25, 1e-10
 
 
@@ -50,13 +52,19 @@ def fbank_frames(chunks: DataFrame) -> DataFrame:
     one is dealt over tasks and no task needs a neighbour's samples.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for job, first, samples in zip(b["job_id"], b["first_frame"], b["samples"], strict=True):
-                m = log_mel(np.asarray(samples, float))
-                yield pd.DataFrame({"job_id": job, "frame_id": first + np.arange(len(m)), "mel": list(m)})
-
-    return chunks.select("job_id", "first_frame", "samples").mapInPandas(run, "job_id string, frame_id long, mel array<double>")
+            for lo in range(0, b.num_rows, CHUNKS):
+                part = b.slice(lo, CHUNKS)
+                mels = [log_mel(x.values.to_numpy(zero_copy_only=False).astype(float)) for x in part.column("samples")]
+                n = np.array([len(m) for m in mels])
+                m = np.concatenate(mels)
+                frame = np.repeat(part.column("first_frame").to_numpy() - (np.cumsum(n) - n), n) + np.arange(len(m))
+                job = part.column("job_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * BINS, pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([job, pa.array(frame, pa.int64()), lists], names=["job_id", "frame_id", "mel"])
+
+    return chunks.select("job_id", "first_frame", "samples").mapInArrow(run, "job_id string, frame_id long, mel array<double>")
 
 
 def stack_frames(df: DataFrame, keys: list[str], order: list[str], vector: str, m: int, n: int) -> DataFrame:
