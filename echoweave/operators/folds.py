@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from echoweave.functions.text import CLAUSE, TERMINAL
+
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], make: Callable[[dict], object], schema: str) -> DataFrame:
     """Fold each key's rows in order. make(first row) gives an object with add(row) and end(); its rows get the keys' columns."""
@@ -209,30 +213,61 @@ class Sentences:
     SCHEMA = "sentence_id long, start_ms long, end_ms long, n long, text string"
 
     def __init__(self, chars: int = 30, gap: int = 300):
-        self.limit, self.gap, self.count, self.held = chars, gap, 0, []
+        self.limit, self.gap, self.count = chars, gap, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.held, self.size, self.start_ms, self.end_ms = [], 0, 0, 0
 
-    def flush(self) -> list[dict]:
-        text = "".join(r["token"] for r in self.held).strip()
+    def flush(self) -> list[tuple]:
+        text = "".join(self.held).strip()
         if not text:
             return []
         self.count += 1
-        out = {"sentence_id": self.count, "start_ms": self.held[0]["start_ms"], "end_ms": self.held[-1]["end_ms"], "n": len(self.held), "text": text}
-        self.held = []
+        out = (self.count, self.start_ms, self.end_ms, len(self.held), text)
+        self.clear()
         return [out]
 
-    def add(self, row: dict) -> list[dict]:
-        from echoweave.functions.text import CLAUSE, TERMINAL
-
+    def push(self, token: str, start_ms: int, end_ms: int) -> list[tuple]:
         # a pause is seen when the next token comes; a token without text ends nothing
-        out = self.flush() if self.held and self.held[-1]["token"] and row["start_ms"] - self.held[-1]["end_ms"] >= self.gap else []
-        self.held.append(row)
-        mark, size = row["token"][-1:], sum(len(r["token"]) for r in self.held)
-        if mark and (mark in TERMINAL or size >= 2 * self.limit or size >= self.limit and mark in CLAUSE):
+        out = self.flush() if self.held and self.held[-1] and start_ms - self.end_ms >= self.gap else []
+        if not self.held:
+            self.start_ms = start_ms
+        self.held.append(token)
+        self.end_ms = end_ms
+        self.size += len(token)
+        mark = token[-1:]
+        if mark and (mark in TERMINAL or self.size >= 2 * self.limit or self.size >= self.limit and mark in CLAUSE):
             out += self.flush()
         return out
 
+    def document(self, tokens: list[str], starts: list[int], ends: list[int]) -> list[tuple]:
+        """push() of all tokens of a document and flush(), in one loop."""
+        out, held, size, first, last, limit, gap = [], [], 0, 0, 0, self.limit, self.gap
+        for token, start, end in zip(tokens, starts, ends, strict=True):
+            if held and start - last >= gap and held[-1] and (text := "".join(held).strip()):
+                out.append((len(out) + 1, first, last, len(held), text))
+                held, size = [], 0
+            if not held:
+                first = start
+            held.append(token)
+            last = end
+            size += len(token)
+            if token and (token[-1] in TERMINAL or size >= limit and (size >= 2 * limit or token[-1] in CLAUSE)) and (text := "".join(held).strip()):
+                out.append((len(out) + 1, first, last, len(held), text))
+                held, size = [], 0
+        if text := "".join(held).strip():
+            out.append((len(out) + 1, first, last, len(held), text))
+        return out
+
+    def rows(self, out: list[tuple]) -> list[dict]:
+        return [dict(zip(("sentence_id", "start_ms", "end_ms", "n", "text"), r, strict=True)) for r in out]
+
+    def add(self, row: dict) -> list[dict]:
+        return self.rows(self.push(row["token"], row["start_ms"], row["end_ms"]))
+
     def end(self) -> list[dict]:
-        return self.flush()
+        return self.rows(self.flush())
 
 
 def sentences(tokens: DataFrame, keys: Sequence[str] = ("job_id",), order: Sequence[str] = ("pos",)) -> DataFrame:
@@ -240,21 +275,55 @@ def sentences(tokens: DataFrame, keys: Sequence[str] = ("job_id",), order: Seque
     return ordered_fold(tokens.select(*keys, *order, "token", "start_ms", "end_ms"), keys, order, lambda row: Sentences(), Sentences.SCHEMA)
 
 
+#: Documents of an Arrow batch that are taken apart at a time.
+DOCUMENTS = 64
+
+
+def lists(column: pa.ListArray) -> Iterator[list]:
+    """Each row's elements, none for a null."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield flat[at : at + n]
+        at += n
+
+
+def document_sentences(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """docs(keys, tokens array<string>, starts array<long>, ends array<long>) -> sentences() of documents that have all their tokens in one row: nothing is shuffled or sorted."""
+    out = StructType([*(docs.schema[k] for k in keys), *_parse_datatype_string(Sentences.SCHEMA)])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, DOCUMENTS):
+                part = b.slice(lo, DOCUMENTS)
+                at, done = [], []
+                for i, (tokens, starts, ends) in enumerate(zip(*(lists(part.column(c)) for c in ("tokens", "starts", "ends")), strict=True)):
+                    found = Sentences().document(tokens, starts, ends)
+                    done += found
+                    at += [i] * len(found)
+                if done:
+                    columns = [part.column(k).take(pa.array(at)) for k in keys] + [pa.array(c) for c in zip(*done, strict=True)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return docs.select(*keys, "tokens", "starts", "ends").mapInArrow(run, out)
+
+
 class RepeatFilter:
     """Drop a single CJK character that is the last kept token or the one before it."""
 
     SCHEMA = "pos long, token string"
 
     def __init__(self):
-        self.kept: list[str] = []
+        self.last, self.before = None, None
+
+    def keeps(self, t: str) -> bool:
+        if (t == self.last or t == self.before) and len(t) == 1 and ("一" <= t <= "鿿" or "㐀" <= t <= "䶿"):
+            return False
+        self.last, self.before = t, self.last
+        return True
 
     def add(self, row: dict) -> list[dict]:
-        t = row["token"]
-        cjk = len(t) == 1 and ("一" <= t <= "鿿" or "㐀" <= t <= "䶿")
-        if cjk and t in self.kept:
-            return []
-        self.kept = [*self.kept[-1:], t]
-        return [{"pos": row["pos"], "token": t}]
+        return [{"pos": row["pos"], "token": row["token"]}] if self.keeps(row["token"]) else []
 
     def end(self) -> list[dict]:
         return []
@@ -264,6 +333,29 @@ def repeat_filter(tokens: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataF
     return ordered_fold(tokens.select(*keys, "pos", "token"), keys, ["pos"], lambda row: RepeatFilter(), RepeatFilter.SCHEMA)
 
 
+def document_repeat_filter(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """docs(keys, tokens array<string>) -> keys, tokens: what repeat_filter() keeps of documents that have all their tokens in one row; nothing is shuffled or sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, DOCUMENTS):
+                part = b.slice(lo, DOCUMENTS)
+                tokens = part.column("tokens")
+                flat, sizes = tokens.flatten(), tokens.value_lengths().fill_null(0).to_numpy()
+                single = pc.and_(pc.equal(pc.utf8_length(flat), 1), pc.greater_equal(flat, "㐀")).to_numpy(zero_copy_only=False)
+                if single.any():  # else nothing can go
+                    kept, hi = np.ones(len(flat), bool), np.cumsum(sizes)
+                    for i in np.unique(np.searchsorted(hi, np.flatnonzero(single), "right")).tolist():
+                        keeps, lo = RepeatFilter().keeps, hi[i] - sizes[i]
+                        kept[lo : hi[i]] = [keeps(t) for t in flat[lo : hi[i]].to_numpy(zero_copy_only=False).tolist()]
+                    flat, sizes = flat.filter(pa.array(kept)), np.diff(np.append(0, np.append(0, np.cumsum(kept))[hi]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), lists], names=[*keys, "tokens"])
+
+    types = dict(docs.dtypes)
+    return docs.select(*keys, "tokens").mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "tokens array<string>"]))
+
+
 class GreedyChunks:
     """Rows in chunks of at most a budget; one that is over it by itself is alone."""
 

@@ -15,3 +15,21 @@ def plan(df):
 
 def test_fbank_frames_of_a_small_file_are_dealt(spark):
     assert QUERIES["fbank_frames"](spark, SF).rdd.getNumPartitions() >= 4
+
+
+def random_tokens(seed, n=400):
+    return np.random.default_rng(seed).choice(["a", "word", " ", "", "字", "你", "你", "。", "，", "end.", "x" * 25], n).tolist()
+
+
+def test_sentences_of_whole_documents(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(150):
+        tokens = random_tokens(k, k * 3)
+        starts = np.cumsum(rng.integers(0, 400, len(tokens)) + 100).tolist()
+        rows.append((k, tokens, starts, [s + 100 for s in starts]))
+    df = spark.createDataFrame([*rows, (150, None, None, None)], "k long, tokens array<string>, starts array<long>, ends array<long>")
+    flat = df.select("k", F.posexplode(F.arrays_zip("tokens", "starts", "ends")).alias("pos", "t")).select("k", "pos", F.col("t.tokens").alias("token"), F.col("t.starts").alias("start_ms"), F.col("t.ends").alias("end_ms"))
+    want = sorted(map(tuple, folds.sentences(flat, ["k"]).collect()))
+    assert len(want) > 1000 and sorted(map(tuple, folds.document_sentences(df, ["k"]).collect())) == want
+    assert "Exchange" not in plan(QUERIES["sentence_split"](spark, SF))
