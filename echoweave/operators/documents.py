@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from echoweave.functions.hashing import fnv1a64
 from echoweave.functions.text import strip
 
-from .folds import ordered_fold
+from .folds import DOCUMENTS, lists, ordered_fold
 
 #: The model's marks by id (from 0), its limits of context.
 MARKS = ("<unk>", "_", "，", "。", "？", "、")
@@ -97,14 +97,15 @@ def repeat_guard(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
                     ahead.add(tuple(tokens[j : j + 3]))
         return marks
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = b[list(keys)].copy()
-            out["marks"] = [guard(list(t), list(m)) for t, m in zip(b["tokens"], b["marks"], strict=True)]
-            yield out
+            for lo in range(0, b.num_rows, DOCUMENTS):  # few documents at a time are Python objects
+                part = b.slice(lo, DOCUMENTS)
+                marks = [guard(t, m) for t, m in zip(lists(part.column("tokens")), lists(part.column("marks")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(marks, pa.list_(pa.int32()))], names=[*keys, "marks"])
 
     types = dict(docs.dtypes)
-    return docs.select(*keys, "tokens", "marks").mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "marks array<int>"]))
+    return docs.select(*keys, "tokens", "marks").mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "marks array<int>"]))
 
 
 class Identity:

@@ -41,3 +41,12 @@ def test_repeat_filter_of_whole_documents(spark):
     got = [(r.k, t) for r in folds.document_repeat_filter(df.repartition(2), ["k"]).orderBy("k").collect() for t in r.tokens]
     assert got == [(r.k, r.token) for r in want]
     assert "Exchange" not in plan(QUERIES["repeat_filter"](spark, SF))
+
+
+def test_repeat_guard_takes_few_documents_at_a_time(spark, monkeypatch):
+    rows = [(k, ["a", "b", "c", "d", "e"] * (k % 7), [0, 0, 0, 0, 3] * (k % 7)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>, marks array<int>").coalesce(1)
+    few = {r.k: r.marks for r in documents.repeat_guard(df, ["k"]).collect()}
+    monkeypatch.setattr(documents, "DOCUMENTS", 1)
+    assert len(few) == 300 and few == {r.k: r.marks for r in documents.repeat_guard(df, ["k"]).collect()}
+    assert "MapInArrow" in plan(documents.repeat_guard(df, ["k"]))
