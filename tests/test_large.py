@@ -50,3 +50,19 @@ def test_repeat_guard_takes_few_documents_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(documents, "DOCUMENTS", 1)
     assert len(few) == 300 and few == {r.k: r.marks for r in documents.repeat_guard(df, ["k"]).collect()}
     assert "MapInArrow" in plan(documents.repeat_guard(df, ["k"]))
+
+
+def test_largest_of_a_strip_with_ties():
+    c = np.random.default_rng(2).integers(0, 5, (40, 30)).astype(float)
+    c[3], c[5, :27], c[7, 4] = np.nan, np.nan, np.nan
+    want = np.lexsort((np.broadcast_to(np.arange(30), c.shape), -c), axis=1)
+    for keep in (1, 6, 30, 50):
+        assert (vectors.largest(c, keep) == want[:, :keep]).all()
+
+
+def test_top_edges_over_several_strips(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(0, i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in rng.permutation(300).tolist()], "batch long, id long, v array<double>")
+    strips = sorted(map(tuple, vectors.top_edges(df, "batch", "id", "v", 6).collect()))
+    monkeypatch.setattr(vectors, "STRIP", 1000)
+    assert len(strips) == 1800 and strips == sorted(map(tuple, vectors.top_edges(df, "batch", "id", "v", 6).collect()))
