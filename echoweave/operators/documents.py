@@ -41,6 +41,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence
     return joined.select(*(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in (*keys, *values)))
 
 
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that the tables don't have equally often, and n, by how many they differ: one sum over both."""
+    both = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.abs(F.sum("n")).alias("n")).where("n > 0")
+
+
 def carry_overrides(fresh: DataFrame, old: DataFrame, key: Sequence[str], same: Sequence[str], override: str) -> DataFrame:
     """An old row's override stays where all its ``same`` columns are unchanged."""
     o = old.select(*(F.col(c).alias(f"_{c}") for c in (*key, *same, override)))

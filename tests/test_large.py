@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from echoweave.operators import documents, folds, vectors
+from echoweave.operators import documents, folds, results, stages, vectors
 from echoweave.plans.all import QUERIES
 
 from .conftest import SF
@@ -66,3 +66,15 @@ def test_top_edges_over_several_strips(spark, monkeypatch):
     strips = sorted(map(tuple, vectors.top_edges(df, "batch", "id", "v", 6).collect()))
     monkeypatch.setattr(vectors, "STRIP", 1000)
     assert len(strips) == 1800 and strips == sorted(map(tuple, vectors.top_edges(df, "batch", "id", "v", 6).collect()))
+
+
+def test_differing_counts_repeated_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (4, "y"), (4, "y")], "k int, v string")
+    assert sorted(map(tuple, documents.differing(a, b).collect())) == [(1, "x", 1), (3, "y", 1), (4, "y", 2)]
+    assert "Except" not in QUERIES["recompute_diff"](spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+def test_dealt_parts_stay_small(spark):
+    df = stages.dealt(spark.range(10_000).selectExpr("id % 500 as k", "id"), "k", rows=1000)
+    assert df.rdd.getNumPartitions() == 10 and df.count() == 10_000
