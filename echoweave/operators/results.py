@@ -108,15 +108,19 @@ def window_majority(votes: DataFrame, window: Sequence[str], label: str) -> Data
 
 def split_metadata_violations(splits: DataFrame, key: str, labels: str, version: str, baseline: DataFrame, label: str) -> DataFrame:
     """splits(key, labels array, version) against the labels of baseline(key, label) -> key, rule, value."""
-    each = splits.select(key, F.explode(labels).alias("value"))
-    rule = lambda df, name: df.select(key, F.lit(name).alias("rule"), F.col("value").cast("string").alias("value"))
-    known = baseline.select(key, F.col(label).alias("value")).distinct()
-    return (
-        rule(splits.where(F.col(version) != 1).withColumn("value", F.col(version)), "version")
-        .unionByName(rule(each.where(F.trim("value") == ""), "blank"))
-        .unionByName(rule(each.groupBy(key, "value").count().where("count > 1"), "duplicate"))
-        .unionByName(rule(each.where(F.trim("value") != "").distinct().join(known, [key, "value"], "left_anti"), "unknown"))
+    each = splits.select(key, F.explode(labels).alias("value"), F.lit(1).alias("n"), F.lit(0).alias("known"))
+    known = baseline.select(key, F.col(label).alias("value"), F.lit(0).alias("n"), F.lit(1).alias("known"))
+    # a sum a label instead of a table a rule: nothing is sorted or joined
+    sums = each.unionByName(known).groupBy(key, "value").agg(F.sum("n").cast("int").alias("n"), F.max("known").alias("known")).where("n > 0")
+    blank, none = F.trim("value") == "", F.array().cast("array<string>")
+    rules = F.concat(
+        F.when(blank, F.array_repeat(F.lit("blank"), F.col("n"))).otherwise(none),
+        F.when(F.col("n") > 1, F.array(F.lit("duplicate"))).otherwise(none),
+        F.when(~blank & ((F.col("known") == 0) | F.col(key).isNull()), F.array(F.lit("unknown"))).otherwise(none),
     )
+    value = F.col("value").cast("string").alias("value")
+    versions = splits.where(F.col(version) != 1).select(key, F.lit("version").alias("rule"), F.col(version).cast("string").alias("value"))
+    return versions.unionByName(sums.select(key, F.explode(rules).alias("rule"), value))
 
 
 def toggled(labels: Column, label: Column) -> Column:

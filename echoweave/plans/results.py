@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echoweave.functions import vectors as V
-from echoweave.operators import catalog, clustering
+from echoweave.operators import catalog, clustering, stages
 from echoweave.operators import results as R
 
 from .registry import KEYS, TOK, query, table, tokens
@@ -174,7 +174,7 @@ def window_majority(spark: S, d: D) -> DataFrame:
 SELECT job, 'version' AS rule, version::VARCHAR AS value FROM s WHERE version <> 1 UNION ALL SELECT job, 'blank', value FROM e WHERE trim(value) = '' UNION ALL SELECT job, 'duplicate', value FROM e GROUP BY job, value HAVING count(*) > 1
 UNION ALL SELECT DISTINCT job, 'unknown', value FROM e WHERE trim(value) <> '' AND (job, value) NOT IN (SELECT (l_orderkey, ('M' || l_suppkey % 7)) FROM lineitem)""")
 def split_metadata(spark: S, d: D) -> DataFrame:
-    t = lines(spark, d)
+    t = stages.dealt(lines(spark, d).select("job", "seg", "mode", "l_quantity"), "job")
     label = F.when(F.col("seg") % 5 == 0, " ").when(F.col("l_quantity") > 45, "M9").otherwise(F.col("mode"))
     splits = t.groupBy("job").agg(F.collect_list(label).alias("labels")).withColumn("version", 1 + (F.col("job") % 10 == 0).cast("int"))
     return R.split_metadata_violations(splits, "job", "labels", "version", t, "mode")

@@ -78,3 +78,12 @@ def test_differing_counts_repeated_rows(spark):
 def test_dealt_parts_stay_small(spark):
     df = stages.dealt(spark.range(10_000).selectExpr("id % 500 as k", "id"), "k", rows=1000)
     assert df.rdd.getNumPartitions() == 10 and df.count() == 10_000
+
+
+def test_split_metadata_violations_by_one_sum(spark):
+    splits = spark.createDataFrame([(1, ["a", "a", " ", " ", "z", None, None], 1), (2, [], 3), (None, ["a"], 1), (3, None, 1)], "job int, labels array<string>, version int")
+    base = spark.createDataFrame([(1, "a"), (1, "q"), (2, "z"), (None, "a")], "job int, label string")
+    out = results.split_metadata_violations(splits, "job", "labels", "version", base, "label")
+    want = [(1, "blank", " "), (1, "blank", " "), (1, "duplicate", " "), (1, "duplicate", "a"), (1, "duplicate", None), (1, "unknown", "z"), (2, "version", "3"), (None, "unknown", "a")]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in plan(out)
