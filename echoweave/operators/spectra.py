@@ -37,10 +37,11 @@ class Spectrum(NamedTuple):
 
 
 class Blocked(NamedTuple):
-    """A symmetric matrix in blocks(i, j, rows, cols, w), packed, over nodes that place(node, part, at) numbers; its size and largest diagonal entry."""
+    """A symmetric matrix in blocks(i, j, rows, cols, w), packed, over nodes that place(node, part, at) numbers in so many parts; its size and largest diagonal entry."""
 
     blocks: DataFrame
     place: DataFrame
+    parts: int
     n: int
     most: float
 
@@ -58,7 +59,8 @@ def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
     entries = materialized(entries)
     diagonal = entries.where("src = dst")
     n, most = diagonal.agg(F.count(F.lit(1)), F.max("w")).first()
-    part = F.pmod(F.xxhash64("src"), F.lit(-(-n // part_nodes) or 1)).cast("int")
+    parts = -(-n // part_nodes) or 1
+    part = F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int")
     at = F.row_number().over(W.partitionBy("part").orderBy("src")) - 1
     place = materialized(diagonal.select("src", part.alias("part")).withColumn("at", at).select(F.col("src").alias("node"), "part", "at"))
 
@@ -70,7 +72,7 @@ def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
 
     side = lambda node, p, a: place.select(F.col("node").alias(node), F.col("part").alias(p), F.col("at").alias(a))
     entries = entries.join(side("src", "i", "r"), "src").join(side("dst", "j", "c"), "dst").select("i", "j", "r", "c", "w")
-    return Blocked(materialized(entries.groupBy("i", "j").applyInArrow(pack, "i int, j int, rows binary, cols binary, w binary")), place, n, most or 0.0)
+    return Blocked(materialized(entries.groupBy("i", "j").applyInArrow(pack, "i int, j int, rows binary, cols binary, w binary")), place, parts, n, most or 0.0)
 
 
 def matrix_of(data: pa.Scalar, width: int) -> np.ndarray:
@@ -110,11 +112,33 @@ def step_of(m: Blocked, state: DataFrame, width: int, scale: float = 1.0, shift:
 
 
 def filtered(m: Blocked, block: DataFrame, width: int, low: float, high: float, degree: int) -> DataFrame:
-    """A Chebyshev polynomial of the matrix times block(part, x): at most 1 on [low, high], growing fast below. A plan of ``degree`` products."""
+    """A Chebyshev polynomial of the matrix times block(part, x): at most 1 on [low, high], growing fast below.
+
+    Plans stay small, whatever the degree, for the driver keeps those of past
+    steps: each product is written, and a matrix of one part, whose products need
+    no other part, is multiplied on in its task.
+    """
     middle, half = (high + low) / 2, (high - low) / 2
+    if m.parts == 1:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part, rows, cols, w, x in zip(*b.columns, strict=True):
+                    r, c = (np.frombuffer(v.as_py(), np.uint32) for v in (rows, cols))
+                    w = (np.frombuffer(w.as_py(), np.float64) - middle * (r == c)) / half
+                    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                    cur = prev = matrix_of(x, width)
+                    for k in range(degree):
+                        total = np.zeros_like(cur)
+                        total[r[first]] = np.add.reduceat(w[:, None] * cur[c], first, axis=0)
+                        cur, prev = 2 * total - prev if k else total, cur
+                    yield packed(part=[part.as_py()], x=[np.ascontiguousarray(cur).tobytes()])
+
+        met = m.blocks.join(block.select(F.col("part").alias("j"), "x"), "j")
+        return met.select(F.col("i").alias("part"), "rows", "cols", "w", "x").mapInArrow(run, "part int, x binary")
     state = block.select("part", F.col("x").alias("cur"), F.col("x").alias("prev"))
     for k in range(degree):
-        state = step_of(m, state, width, (2 if k else 1) / half, middle, 1.0 if k else 0.0)
+        state = materialized(step_of(m, state, width, (2 if k else 1) / half, middle, 1.0 if k else 0.0))
     return state.select("part", F.col("cur").alias("x"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from echoweave.operators import documents, folds, results, stages, vectors
+from echoweave.operators import documents, folds, results, spectra, stages, vectors
 from echoweave.plans.all import QUERIES
 
 from .conftest import SF
@@ -87,3 +87,17 @@ def test_split_metadata_violations_by_one_sum(spark):
     want = [(1, "blank", " "), (1, "blank", " "), (1, "duplicate", " "), (1, "duplicate", "a"), (1, "duplicate", None), (1, "unknown", "z"), (2, "version", "3"), (None, "unknown", "a")]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
     assert "Join" not in plan(out)
+
+
+def test_filter_plans_do_not_grow_with_the_degree(spark):
+    edges = spark.createDataFrame([(i, (i + s) % 60, 1.0 + i % 3) for i in range(60) for s in (1, 7)], "src long, dst long, w double")
+    got = []
+    for part_nodes in (100, 20):
+        m = spectra.blocked(spectra.laplacian(edges), part_nodes)
+        rows = {(r.part, r.at): r.node for r in m.place.collect()}
+        sizes = {p: sum(k[0] == p for k in rows) for p in {k[0] for k in rows}}
+        x = spark.createDataFrame([(p, np.array([[rows[p, a], 1.0] for a in range(n)]).tobytes()) for p, n in sizes.items()], "part int, x binary")
+        few, many = (spectra.filtered(m, x, 2, 1.0, 12.0, degree) for degree in (2, 6))
+        assert plan(many).count("Join") == plan(few).count("Join") <= 1
+        got.append({rows[r.part, a]: v for r in many.collect() for a, v in enumerate(np.frombuffer(r.x).reshape(-1, 2).tolist())})
+    assert len(got[0]) == 60 and all(np.allclose(got[0][k], got[1][k]) for k in got[0])
