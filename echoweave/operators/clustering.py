@@ -20,10 +20,6 @@ from . import vectors as X
 SAME, DUPLICATE, FRAGMENT, FRAGMENT_MARGIN, LOOSE, REASSIGN_MIN = 0.78, 0.84, 0.74, 0.06, 0.78, 0.40
 
 
-def cos(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a @ b / ((np.linalg.norm(a) * np.linalg.norm(b)) or 1.0))
-
-
 def align_batches(df: DataFrame, batch: str, label: str, vector: str, least: float = SAME, keys: Sequence[str] = ()) -> DataFrame:
     """Local labels of each batch -> global labels, in batch order: the most alike known centroid, if alike enough, else a new one.
 
@@ -35,19 +31,20 @@ def align_batches(df: DataFrame, batch: str, label: str, vector: str, least: flo
     table = X.centroids(key, "_k", vector).join(members, "_k").select(*(F.col(f"_k.job.{k}").alias(k) for k in keys), F.col("_k.batch").alias(batch), F.col("_k.label").alias(label), "centroid", "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: list[list] = []
         out = []
         pdf = pdf.sort_values([batch, label])
-        for centroid, n in zip(pdf["centroid"], pdf["n"], strict=True):
-            c = np.array(centroid)
-            scores = [cos(c, k[0]) for k in known]
-            at = int(np.argmax(scores)) if scores else -1
+        table = np.array(pdf["centroid"].tolist(), float).reshape(len(pdf), -1)
+        known, norms, sizes, m = np.zeros_like(table), np.zeros(len(pdf)), np.zeros(len(pdf)), 0
+        for c, n in zip(table, pdf["n"], strict=True):
+            scale = norms[:m] * np.linalg.norm(c)
+            scores = known[:m] @ c / np.where(scale == 0, 1.0, scale)
+            at = int(np.argmax(scores)) if m else -1
             if at >= 0 and scores[at] >= least:
-                old, m = known[at]
-                known[at] = [(old * m + c * n) / (m + n), m + n]
+                known[at] = (known[at] * sizes[at] + c * n) / (sizes[at] + n)
             else:
-                known.append([c, n])
-                at = len(known) - 1
+                at, m = m, m + 1
+                known[at] = c
+            norms[at], sizes[at] = np.linalg.norm(known[at]), sizes[at] + n
             out.append(at)
         return pdf[[*keys, batch, label]].assign(global_label=out)
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from echoweave.operators import documents, folds, results, spectra, stages, vectors
+from echoweave.operators import clustering, documents, folds, results, spectra, stages, vectors
 from echoweave.plans.all import QUERIES
 
 from .conftest import SF
@@ -101,3 +101,43 @@ def test_filter_plans_do_not_grow_with_the_degree(spark):
         assert plan(many).count("Join") == plan(few).count("Join") <= 1
         got.append({rows[r.part, a]: v for r in many.collect() for a, v in enumerate(np.frombuffer(r.x).reshape(-1, 2).tolist())})
     assert len(got[0]) == 60 and all(np.allclose(got[0][k], got[1][k]) for k in got[0])
+
+
+def test_few_eigenpairs_without_all(monkeypatch):
+    """The smallest eigenvalues and the labels of a large graph, without a solver of all eigenvectors."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.4, (240, 6)) for c in np.eye(6)[:3]])
+    a = np.zeros((720, 720))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = unit @ unit.T
+    best = vectors.largest(c, 6)
+    np.put_along_axis(a, best, np.take_along_axis(c, best, 1), 1)
+    sym = (a + a.T) / 2
+    np.fill_diagonal(sym, 0)
+    m = np.diag(abs(sym).sum(1)) - sym
+    whole, basis = np.linalg.eigh(m)
+    k = vectors.speakers_of(whole[:12])
+    want = vectors.seeded_kmeans(basis[:, :k], k)
+    sizes, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda b: (sizes.append(len(b)), eigh(b))[1])
+    label = vectors.spectral(a, x)
+    values, few = vectors.smallest_eigenpairs(m, 12)
+    assert sizes and max(sizes) < 720 and np.allclose(values, whole[:12], atol=1e-10) and np.allclose(m @ few, few * values, atol=1e-8)
+    assert len(set(zip(label.tolist(), want.tolist(), strict=True))) == len(set(want.tolist())) == len(set(label.tolist()))
+    two = np.kron(np.eye(30), np.full((24, 24), -1.0) + 24 * np.eye(24))  # thirty parts: more zeros than are asked for
+    assert np.abs(vectors.smallest_eigenpairs(two, 12)[0]).max() < 1e-9
+    assert np.array_equal(vectors.smallest_eigenpairs(np.zeros((720, 720)), 3)[0], np.zeros(3))
+
+
+def test_aligned_batches_equal_a_plain_fold(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(5, 4))
+    rows = [(b, j, (base[rng.integers(5)] + rng.normal(0, 0.4, 4)).tolist()) for b in range(12) for j in range(3)] + [(12, 0, [0.0] * 4)]
+    got = {(r.b, r.j): r.global_label for r in clustering.align_batches(spark.createDataFrame(rows, "b long, j int, v array<double>"), "b", "j", "v").collect()}
+    known, want = [], {}
+    for b, j, v in rows:
+        scores = [float(np.dot(v, k) / ((np.linalg.norm(v) * np.linalg.norm(k)) or 1.0)) for k, _ in known]
+        at = int(np.argmax(scores)) if scores and max(scores) >= clustering.SAME else len(known)
+        known[at:at + 1] = [((known[at][0] * known[at][1] + np.array(v)) / (known[at][1] + 1), known[at][1] + 1)] if at < len(known) else [(np.array(v), 1)]
+        want[b, j] = at
+    assert got == want and len(set(want.values())) > 3
