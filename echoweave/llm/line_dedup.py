@@ -136,6 +136,11 @@ def components_of(edges: DataFrame) -> DataFrame:
     return checkpointed(connected_components(edges).select("node.k1", "node.k2", F.col("component.k1").alias("p1"), F.col("component.k2").alias("p2")))
 
 
+def links_of(parts: DataFrame) -> DataFrame:
+    """Edges (a, b) of lines and their components: they stand for all links that made these."""
+    return parts.select(F.struct("k1", "k2").alias("a"), F.struct(F.col("p1").alias("k1"), F.col("p2").alias("k2")).alias("b")).where("a <> b")
+
+
 def with_components(members: DataFrame, parts: DataFrame) -> DataFrame:
     """members(key, ...) with comp, the component of the key's line."""
     comps = parts.select(F.col("k1").alias("key"), F.col("p1").alias("comp")).dropDuplicates(["key"])
@@ -161,7 +166,7 @@ def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, compare
     parts = components_of(edges)
     start = checkpointed(open_groups(with_components(large.select("group", "key", "kind"), parts)).drop("n", "low"))
     rows, before, draw = start, None, 0
-    while not rows.isEmpty():
+    while rows.head(1):
         keys = rows.select(F.col("key").alias("k1")).distinct()
         if draw:  # other minima, of all shingles
             signed = signatures(texts.join(keys, "k1", "left_semi"), draw, ((0, 1 << 31, 0),))
@@ -177,18 +182,17 @@ def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, compare
             further = [F.get("sig", F.pmod(F.col("at") + j, F.lit(BANDS * ROWS))) for j in range(STEP)]
             rows = rows.withColumns({"group": F.xxhash64("group", *further), "at": F.pmod(F.col("at") + STEP, F.lit(BANDS * ROWS))})
             rows = checkpointed(open_groups(rows))
-            if rows.isEmpty():
+            if not rows.head(1):
                 break
             levels.append(rows.select("group", "key", "kind", "comp", "n", "low"))
             rows = rows.where(F.col("n") > SMALL).drop("n", "low")
         if levels:
-            groups = reduce(DataFrame.unionByName, levels)
+            groups = reduce(DataFrame.unionByName, levels).coalesce(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # else each level's parts are tasks of their own
             pairs = checkpointed(likely(apart(groups, pairs_in(groups)), signed).join(compared, ["a", "b"], "left_anti"))
             new = checkpointed(verified(texts, pairs, similarity))
             compared = compared.unionByName(pairs)
-            if not new.isEmpty():
-                edges = edges.unionByName(new)
-                parts = components_of(edges)
+            if new.head(1):
+                parts = components_of(links_of(parts).unionByName(new))
         draw += 1
         # after the draws for all: what agrees in all minima
         rows = start if draw < DRAWS else rows.select(F.xxhash64("kind", "sig").alias("group"), "key", "kind").distinct()
@@ -197,7 +201,7 @@ def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, compare
         if draw > DRAWS and n > before // 2:  # the first line of each component meets the others
             pivots = rows.groupBy("group", F.col("comp").alias("of")).agg(F.min("key").alias("a"))
             pairs = rows.join(pivots, "group").where("comp <> of").select("a", F.col("key").alias("b")).distinct()
-            return components_of(edges.unionByName(verified(texts, pairs, similarity)))
+            return components_of(links_of(parts).unionByName(verified(texts, pairs, similarity)))
         before = n
     return parts
 

@@ -272,3 +272,16 @@ def test_runs_over_blocks_and_ranges(spark, monkeypatch):
     assert {(bytes(r.key), r.f) for r in phrases.totals_of(out).collect()} == {(key(k), n) for k, n in good.items()}
     got = [(r.block, tuple(k)) for r in out.where("block is not null").collect() for k in phrases.unpack_keys(r.keys).tolist()]
     assert sorted(got) == sorted((b, k) for k in good for b in of[k])
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars already are components as they are; a path takes rounds, of six shuffles each at most."""
+    from echoweave.llm import components
+
+    made = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: (made.append(df._jdf.queryExecution().executedPlan().toString()), common.checkpointed(df))[1])
+    star = spark.createDataFrame([(k, k % 3) for k in range(3, 40)], "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(star).collect()} == {k: k % 3 for k in range(40)} and len(made) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r.component for r in components.connected_components(path).collect()} == {0} and len(made) > 2
+    assert all("Union" not in p for p in made)
