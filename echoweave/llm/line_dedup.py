@@ -9,10 +9,12 @@ lines can differ, so two like lines always have a signature of the same kind.
 
 Banding: ROWS minima are a band. A group of lines that share a band is compared
 in full up to SMALL lines. A larger one is compared with its pivot (smallest
-key); while its lines lie in more than one component it is split by further
-minima, in CHAINS different orders, until its parts are small: lines behind a
-common template part where a minimum is their own. Lines that agree in all
-minima are compared with one pivot after the other until none is left.
+key); if its lines lie in more than one component it is split by further
+minima, its own and those of a second signature, in CHAINS different orders, at
+all levels at once: each part is compared like a group. Lines behind a common
+template part where a minimum is their own. Of lines that agree in all minima
+the first of each component meets the others, or they are split by another
+signature first if these are too many.
 
 Candidates that agree in too few minima to be alike are dropped; of the others
 the exact Jaccard similarity of their sets of SHINGLE characters decides.
@@ -49,8 +51,6 @@ AGREE = 10
 SMALL = 8
 #: Orders of the further minima that split a larger group, and minima of a step.
 CHAINS, STEP = 2, 3
-#: Signatures that a larger group is split by.
-DRAWS = 2
 #: Bytes a character: texts are cut in UTF-32, where a substring needs no search.
 WIDE = 4
 
@@ -96,39 +96,52 @@ def band_groups(signed: DataFrame) -> DataFrame:
 
 
 def pairs_in(groups: DataFrame) -> DataFrame:
-    """a, b, kind: all pairs of groups of up to SMALL, and the pairs with the smallest key of larger ones."""
-    keys = groups.where(F.col("n") <= SMALL).groupBy("group", "kind").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    """a, b, kind: all pairs of groups of up to SMALL, and the pairs with the smallest key of larger ones; of several kinds the one of most shingles.
+
+    groups(group, key, kind, n, low) may have comp and low_comp: then only pairs of different components.
+    """
+    comp, low_comp = (F.col("comp"), F.col("low_comp")) if "comp" in groups.columns else (F.col("key"), F.col("low"))
+    keys = groups.where(F.col("n") <= SMALL).groupBy("group", "kind").agg(F.array_sort(F.collect_list(F.struct("key", comp.alias("comp")))).alias("keys"))
+    of = lambda x, y: F.when(x.comp != y.comp, F.struct(x.key.alias("a"), y.key.alias("b")))
+    pairs = F.array_compact(F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(SMALL)), lambda y: of(x, y)))))
     few = keys.select("kind", F.explode(pairs).alias("p")).select("p.a", "p.b", "kind")
-    many = groups.where(F.col("n") > SMALL).select(F.col("low").alias("a"), F.col("key").alias("b"), "kind")
-    return few.unionByName(many).where("a <> b").distinct()
+    many = groups.where((F.col("n") > SMALL) & (comp != low_comp)).select(F.col("low").alias("a"), F.col("key").alias("b"), "kind")
+    return few.unionByName(many).groupBy("a", "b").agg(F.min("kind").alias("kind"))
 
 
-def likely(pairs: DataFrame, signed: DataFrame, agree: int = AGREE) -> DataFrame:
-    """a, b: the pairs whose signatures agree in enough minima."""
-    sig = lambda c: signed.select(F.col("k1").alias(c), "kind", F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(sig("a"), ["a", "kind"]).join(sig("b"), ["b", "kind"])
+def likely(both: DataFrame, agree: int = AGREE) -> DataFrame:
+    """The rows whose signatures sig_a and sig_b agree in enough minima."""
     same = reduce(Column.__add__, ((F.get("sig_a", F.lit(j)) == F.get("sig_b", F.lit(j))).cast("int") for j in range(BANDS * ROWS)))
-    return both.where(same >= agree).select("a", "b").distinct()
+    return both.where(same >= agree)
+
+
+def shingles(line: Column, ascii_: Column) -> Column:
+    """The different shingles of a line; one shorter than a shingle is one. ascii_: whether a character is a byte here; both of a pair must be taken alike."""
 
+    def of(chars: Column, wide: int) -> Column:
+        at = lambda x: F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(x) / wide).cast("int") - SHINGLE, F.lit(0)))
+        # the encoded line is bound to a variable: a column would be copied from its row again for every shingle
+        return F.get(F.transform(F.array(chars), lambda x: F.transform(at(x), lambda i: F.xxhash64(F.substring(x, i * wide + 1, F.lit(SHINGLE * wide))))), F.lit(0))
 
-def shingles(line: Column) -> Column:
-    """The different shingles of a line; one shorter than a shingle is one."""
-    at = lambda wide: F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(wide) / WIDE).cast("int") - SHINGLE, F.lit(0)))
-    of = lambda wide: F.array_distinct(F.transform(at(wide), lambda i: F.xxhash64(F.substring(wide, i * WIDE + 1, F.lit(SHINGLE * WIDE)))))
-    # the encoded line is bound to a variable: a column would be copied from its row again for every shingle
-    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), F.lit(0))
+    return F.array_distinct(F.when(ascii_, of(line.cast("binary"), 1)).otherwise(of(F.encode(line, "UTF-32"), WIDE)))
 
 
-def verified(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) of (k1, k2) keys of the pairs of k1 whose exact Jaccard similarity is high enough; texts(k1, k2, line) has each line once."""
-    of = lambda c: texts.select(F.col("k1").alias(c), F.struct("k1", "k2").alias(f"node_{c}"), F.col("line").alias(f"line_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    # through a generator, so that the optimiser can't put the sets into each of the conditions
-    sets = both.select("node_a", "node_b", F.explode(F.array(F.struct(shingles(F.col("line_a")).alias("s"), shingles(F.col("line_b")).alias("t")))).alias("x"))
-    sized = sets.select("node_a", "node_b", F.size("x.s").alias("m"), F.size("x.t").alias("n"), "x").where(F.least("m", "n") >= similarity * F.greatest("m", "n"))
-    sets = sized.select("node_a", "node_b", "m", "n", F.explode(F.array(F.size(F.array_intersect("x.s", "x.t")))).alias("common"))
-    return sets.where(F.col("common") >= similarity * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def measured(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b (k1), node_a, node_b (k1, k2), m, n, common of the likely ones of pairs(a, b, kind): the sizes of their sets of shingles, and of what these have in common.
+
+    texts(k1, k2, kind, line, sig) has each line once a kind. It is a checkpoint:
+    the optimiser would put the sets into the condition of a filter on it.
+    """
+    of = lambda c: texts.select(F.col("k1").alias(c), "kind", F.struct("k1", "k2").alias(f"node_{c}"), F.col("line").alias(f"line_{c}"), F.col("sig").alias(f"sig_{c}"))
+    both = likely(pairs.join(of("a"), ["a", "kind"]).join(of("b"), ["b", "kind"]))
+    plain = (F.octet_length("line_a") == F.length("line_a")) & (F.octet_length("line_b") == F.length("line_b"))
+    sets = both.select("a", "b", "node_a", "node_b", shingles(F.col("line_a"), plain).alias("s"), shingles(F.col("line_b"), plain).alias("t"))
+    return checkpointed(sets.select("a", "b", "node_a", "node_b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("common")))
+
+
+def verified(sized: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of (k1, k2) keys: those of measured() whose exact Jaccard similarity is high enough."""
+    return sized.where(F.col("common") >= similarity * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def components_of(edges: DataFrame) -> DataFrame:
@@ -143,74 +156,71 @@ def links_of(parts: DataFrame) -> DataFrame:
 
 def with_components(members: DataFrame, parts: DataFrame) -> DataFrame:
     """members(key, ...) with comp, the component of the key's line."""
-    comps = parts.select(F.col("k1").alias("key"), F.col("p1").alias("comp")).dropDuplicates(["key"])
+    comps = parts.groupBy(F.col("k1").alias("key")).agg(F.min("p1").alias("comp"))
     return members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
 def open_groups(members: DataFrame) -> DataFrame:
     """members(group, key, comp, ...) of groups with more than one component, with n, low and low_comp of the smallest key."""
-    stats = F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    stats = F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.min_by("comp", "key").alias("low_comp"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     groups = members.groupBy("group").agg(*stats).where("lo <> hi").drop("lo", "hi")
-    return members.join(groups, "group")
+    return members.join(groups.hint("shuffle_hash"), "group")
 
 
-def apart(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b, kind), those of rows(key, comp) in different components."""
-    comps = rows.select("key", "comp").distinct()
-    of = lambda c: comps.select(F.col("key").alias(c), F.col("comp").alias(f"comp_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b").select("a", "b", "kind")
+def drawn(lines: DataFrame, draw: int) -> DataFrame:
+    """k1, k2, kind (-draw), line, sig: lines(k1, k2, line) signed anew, by all shingles."""
+    signed = signatures(lines, draw, ((0, 1 << 31, 0),)).drop("kind", "copies")
+    return lines.join(signed, ["k1", "k2"]).select("k1", "k2", F.lit(-draw).alias("kind"), "line", "sig")
 
 
-def split_further(large: DataFrame, signed: DataFrame, texts: DataFrame, compared: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The components of lines. large(group, key, kind): groups that were compared with one pivot only; compared(a, b): pairs; edges: their links."""
-    parts = components_of(edges)
-    start = checkpointed(open_groups(with_components(large.select("group", "key", "kind"), parts)).drop("n", "low"))
-    rows, before, draw = start, None, 0
-    while rows.head(1):
-        keys = rows.select(F.col("key").alias("k1")).distinct()
-        if draw:  # other minima, of all shingles
-            signed = signatures(texts.join(keys, "k1", "left_semi"), draw, ((0, 1 << 31, 0),))
-            rows = rows.withColumn("kind", F.lit(0))
-        else:
-            signed = signed.join(keys, "k1", "left_semi")
-        signed = checkpointed(signed)
-        rows = rows.join(signed.select(F.col("k1").alias("key"), "kind", "sig"), ["key", "kind"])
-        rows = rows.select(F.explode(F.array(*(F.xxhash64("group", F.lit(c)) for c in range(CHAINS)))).alias("group"), "key", "kind", "comp", "sig")
-        rows = checkpointed(rows.withColumn("at", F.pmod(F.col("group"), F.lit(BANDS * ROWS)).cast("int")))
-        levels = []
-        for _ in range(0, BANDS * ROWS, STEP):  # the place is a column, so that each step is the same code
-            further = [F.get("sig", F.pmod(F.col("at") + j, F.lit(BANDS * ROWS))) for j in range(STEP)]
-            rows = rows.withColumns({"group": F.xxhash64("group", *further), "at": F.pmod(F.col("at") + STEP, F.lit(BANDS * ROWS))})
-            rows = checkpointed(open_groups(rows))
-            if not rows.head(1):
-                break
-            levels.append(rows.select("group", "key", "kind", "comp", "n", "low"))
-            rows = rows.where(F.col("n") > SMALL).drop("n", "low")
-        if levels:
-            groups = reduce(DataFrame.unionByName, levels).coalesce(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # else each level's parts are tasks of their own
-            pairs = checkpointed(likely(apart(groups, pairs_in(groups)), signed).join(compared, ["a", "b"], "left_anti"))
-            new = checkpointed(verified(texts, pairs, similarity))
-            compared = compared.unionByName(pairs)
-            if new.head(1):
-                parts = components_of(links_of(parts).unionByName(new))
+def parts_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members(group, key, kind, comp) in the parts of their groups: those of equal minima, STEP more a level, in CHAINS different orders. All levels at once."""
+    sig = members.join(texts.select(F.col("k1").alias("key"), "kind", "sig"), ["key", "kind"])
+    rows = sig.select("key", "kind", "comp", "sig", F.explode(F.array(*(F.xxhash64("group", "kind", F.lit(c)) for c in range(CHAINS)))).alias("level0"))
+    rows = rows.withColumn("at", F.pmod("level0", F.lit(BANDS * ROWS)).cast("int"))
+    levels = range(1, BANDS * ROWS // STEP + 1)
+    for i in levels:
+        further = (F.get("sig", F.pmod(F.col("at") + STEP * (i - 1) + j, F.lit(BANDS * ROWS))) for j in range(STEP))
+        rows = rows.withColumn(f"level{i}", F.xxhash64(f"level{i - 1}", *further))
+    return rows.select("key", "kind", "comp", F.explode(F.array(*(f"level{i}" for i in levels))).alias("group"))
+
+
+def split_further(large: DataFrame, texts: DataFrame, sized: DataFrame, similarity: float) -> DataFrame:
+    """The components of lines. large(group, key, kind): groups that were compared with one pivot only; sized: the pairs measured so far."""
+    parts = components_of(verified(sized, similarity))
+    rows = checkpointed(open_groups(with_components(large, parts)).select("group", "key", "kind", "comp"))
+    draw, before = 0, None
+    while n := rows.count():
         draw += 1
-        # after the draws for all: what agrees in all minima
-        rows = start if draw < DRAWS else rows.select(F.xxhash64("kind", "sig").alias("group"), "key", "kind").distinct()
-        rows = checkpointed(open_groups(with_components(rows.drop("comp"), parts)).drop("n", "low"))
-        n = rows.count()
-        if draw > DRAWS and n > before // 2:  # the first line of each component meets the others
-            pivots = rows.groupBy("group", F.col("comp").alias("of")).agg(F.min("key").alias("a"))
-            pairs = rows.join(pivots, "group").where("comp <> of").select("a", F.col("key").alias("b")).distinct()
-            return components_of(links_of(parts).unionByName(verified(texts, pairs, similarity)))
+        keys = rows.select(F.col("key").alias("k1")).distinct()
+        own = texts.join(keys, "k1", "left_semi")
+        again = drawn(own.select("k1", "k2", "line").distinct(), draw)
+        own = checkpointed(own.unionByName(again) if draw == 1 else again)  # first both by the kind's minima and by others
+        kinds = F.array("kind", F.lit(-draw)) if draw == 1 else F.array(F.lit(-draw))
+        members = rows.select("group", "key", "comp", F.explode(kinds).alias("kind")).distinct()
+        more = measured(own, pairs_in(open_groups(parts_of(members, own))).join(sized.select("a", "b"), ["a", "b"], "left_anti"))
+        sized = sized.unionByName(more)
+        new = verified(more, similarity)
+        if new.head(1):
+            parts = components_of(links_of(parts).unionByName(new))
+        # what agrees in all minima
+        same = own.where(F.col("kind") == -draw).select(F.xxhash64("sig").alias("group"), F.col("k1").alias("key"), "kind").distinct()
+        rows = checkpointed(open_groups(with_components(same, parts)).select("group", "key", "kind", "comp"))
+        firsts = rows.groupBy("group", F.col("comp").alias("of")).agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("m"))
+        sizes = firsts.groupBy("group").agg((F.count(F.lit(1)) * F.sum("m")).alias("pairs"), F.sum("m").alias("m"))
+        pairs, left = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if left and (pairs <= SMALL * left or before is not None and n > before // 2):  # the first line of each component meets the others
+            meet = rows.join(firsts.drop("m"), "group").where("comp <> of").select("a", F.col("key").alias("b"), "kind").distinct()
+            return components_of(links_of(parts).unionByName(verified(measured(own, meet), similarity)))
         before = n
     return parts
 
 
-def fetched(lines: DataFrame, signed: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """at (doc_id, text_key, line_no), k1, k2, line of the lines that occur more than once or whose k1 is in texts_of; line is null for the others."""
+def fetched(lines: DataFrame, signed: DataFrame, keys: DataFrame) -> DataFrame:
+    """at (doc_id, text_key, line_no), k1, k2, line of the lines that occur more than once or whose k1 is in keys; line is null for the others."""
     repeated = signed.where("copies > 1").select("k1", F.lit(False).alias("text"))
-    wanted = repeated.unionByName(texts_of.select("k1", F.lit(True).alias("text"))).groupBy("k1").agg(F.bool_or("text").alias("text"))
-    rows = lines.select(F.struct("doc_id", "text_key", "line_no").alias("at"), "k1", "k2", "line").join(wanted, "k1")
+    wanted = repeated.unionByName(keys.select("k1", F.lit(True).alias("text"))).groupBy("k1").agg(F.bool_or("text").alias("text"))
+    rows = lines.select(F.struct("doc_id", "text_key", "line_no").alias("at"), "k1", "k2", "line").join(wanted.hint("shuffle_hash"), "k1")
     return rows.select("at", "k1", "k2", F.when(F.col("text"), F.col("line")).alias("line"))
 
 
@@ -218,23 +228,21 @@ def like_lines(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     """The components of like lines (k1, k2, p1, p2), and the places (see fetched()) of all lines that are repeated or may be like others."""
     signed = checkpointed(signatures(lines))
     groups = checkpointed(band_groups(signed))
-    pairs = checkpointed(likely(pairs_in(groups), signed))
-    large = groups.where(F.col("n") > SMALL)
-    texts_of = pairs.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(large.select(F.col("key").alias("k1"))).distinct()
-    places = checkpointed(fetched(lines, signed, texts_of))
-    texts = checkpointed(places.where("line is not null").select("k1", "k2", "line").distinct())
-    edges = checkpointed(verified(texts, pairs, similarity))
-    return split_further(large, signed, texts, pairs, edges, similarity), places
+    places = checkpointed(fetched(lines, signed, groups.select(F.col("key").alias("k1"))))
+    texts = places.where("line is not null").select("k1", "k2", "line").distinct()
+    texts = checkpointed(signed.drop("copies").join(texts.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "kind", "line", "sig"))
+    sized = measured(texts, pairs_in(groups))
+    return split_further(groups.where(F.col("n") > SMALL).select("group", "key", "kind"), texts, sized, similarity), places
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, gone array<int>: the numbers of the lines that go, in order, for documents that lose any."""
     with tidy_shuffles(docs.sparkSession):
         parts, places = like_lines(numbered_lines(doc_columns(docs, "doc_id", "text")), similarity)
-        rows = places.select("at", "k1", "k2").join(parts, ["k1", "k2"], "left").select("at", F.coalesce("p1", "k1").alias("k1"), F.coalesce("p2", "k2").alias("k2"))
+        rows = places.select("at", "k1", "k2").join(parts.hint("shuffle_hash"), ["k1", "k2"], "left").select("at", F.coalesce("p1", "k1").alias("k1"), F.coalesce("p2", "k2").alias("k2"))
         rows = checkpointed(rows)
         firsts = rows.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last or first is null").drop("last")
-        gone = rows.join(firsts, ["k1", "k2"]).where(~F.col("at").eqNullSafe(F.col("first")))
+        gone = rows.join(firsts.hint("shuffle_hash"), ["k1", "k2"]).where(~F.col("at").eqNullSafe(F.col("first")))
         return checkpointed(gone.groupBy("at.doc_id", "at.text_key").agg(F.array_sort(F.collect_set("at.line_no")).alias("gone")))
 
 
@@ -248,7 +256,7 @@ def without(lines: Column, gone: Column) -> Column:
 def marked(docs: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
     """docs joined with the numbers of the lines that go (_gone), and the text that stays."""
     gone = removed_lines(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"))
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
+    rows = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left")
     left = F.array_join(without(F.split(docs["text"], "\n"), gone["_gone"]), "\n")
     return rows, F.when(gone["_gone"].isNull(), docs["text"]).otherwise(left)
 

@@ -140,6 +140,21 @@ def test_lines_of_a_hot_family_that_are_unlike_the_pivots(spark):
     assert groups.where(F.col("n") > line_dedup.SMALL).count() > len(texts)
 
 
+def test_hot_lines_take_few_steps(spark, monkeypatch):
+    """Large groups are split at all levels at once: a step a level leaves more small files and tasks than the lines have bytes."""
+    from echoweave.llm import components
+
+    steps, rng = [], random.Random(13)
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "checkpointed", lambda df: steps.append(1) or common.checkpointed(df))
+    start = words(rng, 60)
+    texts = [f"{start} {own} {words(rng, 1)}" for own in (words(rng, 9) for _ in range(60)) for _ in range(2)]
+    lines = line_dedup.numbered_lines(docs_of(spark, texts))
+    found, true, wrong = line_merges(lines, line_dedup.like_lines(lines)[0])
+    assert not wrong and found >= 0.95 * true > 0
+    assert len(steps) <= 25
+
+
 def test_near_copies_of_one_line_in_thousands(spark):
     rng = random.Random(12)
     words_ = [words(rng, 1) for _ in range(60)]
