@@ -51,6 +51,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 SEGMENT_BITS = 32
 #: near_dedup(): words of a shingle, similarity of near copies, 64-bit words of a fingerprint, bits in which candidates differ at most, segments and their bits.
 NEAR_SHINGLE, SIMILARITY, NEAR_WORDS, NEAR_RADIUS, NEAR_SEGMENTS, NEAR_BITS = 5, 0.8, 10, 133, 20, 32
+#: Segments of near_links() whose tables are on disk at once.
+AT_ONCE = 2
 #: Members of a key that are compared in one piece.
 BLOCK = 4096
 #: Shingles of a text that are hashed at once.
@@ -144,11 +146,14 @@ def segment(k: int, bits: int = SEGMENT_BITS) -> Column:
     return out.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(fps: DataFrame, segments: list[int], radius: int = RADIUS, block: int = BLOCK, bits: int = SEGMENT_BITS) -> DataFrame:
-    """fps(node, f0, f1, ...), each node once -> edges(a, b) that connect the nodes that share a key of a segment and are within radius bits."""
-    words = [c for c in fps.columns if c != "node"]
-    n = fps.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = checkpointed(fps.repartition(int(n), "node"))
+def dealt_out(fps: DataFrame) -> DataFrame:
+    """fps by node, written once: each use of links() joins to it where it lies."""
+    return checkpointed(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"))
+
+
+def links(dealt: DataFrame, segments: list[int], radius: int = RADIUS, block: int = BLOCK, bits: int = SEGMENT_BITS) -> DataFrame:
+    """dealt(node, f0, f1, ...), see dealt_out(), each node once -> edges(a, b) that connect the nodes that share a key of a segment and are within radius bits."""
+    words = [c for c in dealt.columns if c != "node"]
     # a key: which segment, and a value of its ball
     ball = lambda k: F.transform(F.array(*(F.lit(x) for x in [0, *(1 << i for i in range(bits))])), lambda x: segment(k, bits).bitwiseXOR(x.cast("long")) + F.lit(k << 32))
     keys = dealt.select("node", F.explode(F.concat(*map(ball, segments))).alias("key"))
@@ -207,7 +212,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     prints = checkpointed(fingerprints(docs))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     with tidy_shuffles(docs.sparkSession):
-        parts = checkpointed(connected_components(links(least.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), [0, 1], block=block)))
+        parts = checkpointed(connected_components(links(dealt_out(least.select(F.col("fp").alias("node"), F.col("fp").alias("f0"))), [0, 1], block=block)))
     named = least.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.join(smallest, "component").select("fp", "component_id")
@@ -242,7 +247,8 @@ def wide_fingerprints(docs: DataFrame, shingle: int = NEAR_SHINGLE, words: int =
 
 def near_links(texts: DataFrame, fps: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, segments: int = NEAR_SEGMENTS, bits: int = NEAR_BITS) -> DataFrame:
     """texts(k1, text), fps(node, f0, ...) of k1 -> edges(a, b) of near copies: fingerprints meet in a segment and are near, shingles are like enough."""
-    found = [checkpointed(links(fps, [k], radius, bits=bits)) for k in range(segments)]
+    dealt, every = dealt_out(fps), list(range(segments))
+    found = [checkpointed(links(dealt, every[k : k + AT_ONCE], radius, bits=bits)) for k in range(0, segments, AT_ONCE)]
     pairs = checkpointed(reduce(DataFrame.unionByName, found).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     sets = shingle_sets(texts.join(wanted, "k1", "left_semi").dropDuplicates(["k1"]), shingle)

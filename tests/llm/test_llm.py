@@ -227,6 +227,14 @@ def test_near_dedup_keeps_one(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_dedup_deals_fingerprints_once(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: steps.append(1) or common.checkpointed(df))
+    text = words(random.Random(2), 60)
+    assert simhash.near_dedup(docs_of(spark, [text, text + " more", words(random.Random(4), 60)])).count() == 2
+    assert len(steps) <= 17
+
+
 def test_near_dedup_of_repeated_and_null_ids_and_clashing_columns(spark):
     long, other = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z"
     rows = [(3, long, 1), (5, long, 1), (5, other, 1), (None, long, 2), (7, other.upper(), 3), (None, "null ids only", 4), (None, "null ids only", 4), (8, "one two", 5), (8, "one two", 5), (9, None, 6), (10, " ", 6), (11, "", 6)]
