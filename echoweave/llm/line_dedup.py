@@ -51,6 +51,8 @@ AGREE = 10
 SMALL = 8
 #: Orders of the further minima that split a larger group, and minima of a step.
 CHAINS, STEP = 2, 3
+#: What a blank line has only.
+BLANKS = " \t\n\x0b\f\r"
 #: Bytes a character: texts are cut in UTF-32, where a substring needs no search.
 WIDE = 4
 
@@ -58,7 +60,7 @@ WIDE = 4
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, line, k1, k2 of each line that isn't blank. text_key tells rows of one doc_id apart."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
+    return rows.where(F.ltrim("line", F.lit(BLANKS)) != "").withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
 def orders(h: Column) -> Iterator[Column]:
@@ -116,18 +118,26 @@ def likely(both: DataFrame, agree: int = AGREE) -> DataFrame:
 
 
 def shingles(line: Column, ascii_: Column) -> Column:
-    """The different shingles of a line; one shorter than a shingle is one. ascii_: whether a character is a byte here; both of a pair must be taken alike."""
+    """The shingles of a line, repeats included; one shorter than a shingle is one. ascii_: whether a character is a byte here; both of a pair must be taken alike."""
 
     def of(chars: Column, wide: int) -> Column:
-        at = lambda x: F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(x) / wide).cast("int") - SHINGLE, F.lit(0)))
+        at = lambda x: F.sequence(F.lit(1), F.greatest(F.octet_length(x) - SHINGLE * wide + 1, F.lit(1)), F.lit(wide))
         # the encoded line is bound to a variable: a column would be copied from its row again for every shingle
-        return F.get(F.transform(F.array(chars), lambda x: F.transform(at(x), lambda i: F.xxhash64(F.substring(x, i * wide + 1, F.lit(SHINGLE * wide))))), F.lit(0))
+        return F.get(F.transform(F.array(chars), lambda x: F.transform(at(x), lambda i: F.xxhash64(F.substring(x, i, F.lit(SHINGLE * wide))))), F.lit(0))
 
-    return F.array_distinct(F.when(ascii_, of(line.cast("binary"), 1)).otherwise(of(F.encode(line, "UTF-32"), WIDE)))
+    return F.when(ascii_, of(line.cast("binary"), 1)).otherwise(of(F.encode(line, "UTF-32"), WIDE))
 
 
-def measured(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b (k1), node_a, node_b (k1, k2), m, n, common of the likely ones of pairs(a, b, kind): the sizes of their sets of shingles, and of what these have in common.
+def alike(s: Column, t: Column, similarity: float) -> Column:
+    """Whether the exact Jaccard similarity of two arrays' sets is high enough. What s has alone tells most unlike ones:
+    s has no more elements than its array, and the more it had, the higher the similarity could be."""
+    alone = F.size(F.array_except(s, t))
+    enough = lambda m, more: m - alone >= similarity * (m + more)
+    return F.when(enough(F.size(s), F.lit(0)), enough(F.size(F.array_distinct(s)), F.size(F.array_except(t, s)))).otherwise(False)
+
+
+def measured(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b (k1), node_a, node_b (k1, k2), like of the likely ones of pairs(a, b, kind): whether their sets of shingles are similar enough.
 
     texts(k1, k2, kind, line, sig) has each line once a kind. It is a checkpoint:
     the optimiser would put the sets into the condition of a filter on it.
@@ -136,12 +146,12 @@ def measured(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     both = likely(pairs.join(of("a"), ["a", "kind"]).join(of("b"), ["b", "kind"]))
     plain = (F.octet_length("line_a") == F.length("line_a")) & (F.octet_length("line_b") == F.length("line_b"))
     sets = both.select("a", "b", "node_a", "node_b", shingles(F.col("line_a"), plain).alias("s"), shingles(F.col("line_b"), plain).alias("t"))
-    return checkpointed(sets.select("a", "b", "node_a", "node_b", F.size("s").alias("m"), F.size("t").alias("n"), F.size(F.array_intersect("s", "t")).alias("common")))
+    return checkpointed(sets.select("a", "b", "node_a", "node_b", alike(F.col("s"), F.col("t"), similarity).alias("like")))
 
 
-def verified(sized: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) of (k1, k2) keys: those of measured() whose exact Jaccard similarity is high enough."""
-    return sized.where(F.col("common") >= similarity * (F.col("m") + F.col("n") - F.col("common"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def verified(sized: DataFrame) -> DataFrame:
+    """Edges (a, b) of (k1, k2) keys: those of measured() that are alike."""
+    return sized.where("like").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def components_of(edges: DataFrame) -> DataFrame:
@@ -187,7 +197,7 @@ def parts_of(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def split_further(large: DataFrame, texts: DataFrame, sized: DataFrame, similarity: float) -> DataFrame:
     """The components of lines. large(group, key, kind): groups that were compared with one pivot only; sized: the pairs measured so far."""
-    parts = components_of(verified(sized, similarity))
+    parts = components_of(verified(sized))
     rows = checkpointed(open_groups(with_components(large, parts)).select("group", "key", "kind", "comp"))
     draw, before = 0, None
     while n := rows.count():
@@ -198,9 +208,9 @@ def split_further(large: DataFrame, texts: DataFrame, sized: DataFrame, similari
         own = checkpointed(own.unionByName(again) if draw == 1 else again)  # first both by the kind's minima and by others
         kinds = F.array("kind", F.lit(-draw)) if draw == 1 else F.array(F.lit(-draw))
         members = rows.select("group", "key", "comp", F.explode(kinds).alias("kind")).distinct()
-        more = measured(own, pairs_in(open_groups(parts_of(members, own))).join(sized.select("a", "b"), ["a", "b"], "left_anti"))
+        more = measured(own, pairs_in(open_groups(parts_of(members, own))).join(sized.select("a", "b"), ["a", "b"], "left_anti"), similarity)
         sized = sized.unionByName(more)
-        new = verified(more, similarity)
+        new = verified(more)
         if new.head(1):
             parts = components_of(links_of(parts).unionByName(new))
         # what agrees in all minima
@@ -211,7 +221,7 @@ def split_further(large: DataFrame, texts: DataFrame, sized: DataFrame, similari
         pairs, left = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if left and (pairs <= SMALL * left or before is not None and n > before // 2):  # the first line of each component meets the others
             meet = rows.join(firsts.drop("m"), "group").where("comp <> of").select("a", F.col("key").alias("b"), "kind").distinct()
-            return components_of(links_of(parts).unionByName(verified(measured(own, meet), similarity)))
+            return components_of(links_of(parts).unionByName(verified(measured(own, meet, similarity))))
         before = n
     return parts
 
@@ -231,7 +241,7 @@ def like_lines(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     places = checkpointed(fetched(lines, signed, groups.select(F.col("key").alias("k1"))))
     texts = places.where("line is not null").select("k1", "k2", "line").distinct()
     texts = checkpointed(signed.drop("copies").join(texts.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "kind", "line", "sig"))
-    sized = measured(texts, pairs_in(groups))
+    sized = measured(texts, pairs_in(groups), similarity)
     return split_further(groups.where(F.col("n") > SMALL).select("group", "key", "kind"), texts, sized, similarity), places
 
 
@@ -250,7 +260,8 @@ def without(lines: Column, gone: Column) -> Column:
     """The lines but those of the numbers gone, in order: these are laid out as a row of bytes, which is looked up by place."""
     steps = F.transform(gone, lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.get(gone, i - 1)).otherwise(-1) - 1), F.lit("1")))
     mask = F.array_join(steps, "").cast("binary")
-    return F.filter(lines, lambda _, i: F.substring(mask, i + 1, F.lit(1)) != F.lit(b"1"))
+    # bound to a variable: else it is laid out again for every line
+    return F.get(F.transform(F.array(mask), lambda at: F.filter(lines, lambda _, i: F.substring(at, i + 1, F.lit(1)) != F.lit(b"1"))), F.lit(0))
 
 
 def marked(docs: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
@@ -278,5 +289,6 @@ def line_digest(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256 of the text that dedup_lines() leaves (null counts as empty, of one line)."""
     docs = doc_columns(docs, "doc_id", "text")
     rows, left = marked(docs, similarity)
-    n_lines = F.size(F.split(F.coalesce(docs["text"], F.lit("")), "\n")).cast("long")
+    text = F.coalesce(docs["text"], F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return rows.select(docs["doc_id"], n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"), F.sha2(F.coalesce(left, F.lit("")).cast("binary"), 256).alias("kept_sha256"))

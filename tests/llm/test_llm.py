@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -175,6 +176,24 @@ def test_a_text_of_very_many_lines(spark):
     assert spark.range(1).select(line_dedup.without(F.array(*map(F.lit, "abcdef")), F.array(F.lit(0), F.lit(2), F.lit(3))).alias("x")).first().x == ["b", "e", "f"]
 
 
+def test_line_dedup_takes_lines_from_a_long_document_in_one_pass(spark):
+    """Laying out the lines that go anew for each line took the square of a document's lines."""
+    n = 20_000
+    df = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).alias("all"), F.sequence(F.lit(0), F.lit(n - 1), F.lit(2)).alias("gone"))
+    began = time.monotonic()
+    assert df.select(line_dedup.without(F.col("all").cast("array<string>"), F.col("gone")).alias("x")).first().x == [str(i) for i in range(1, n, 2)]
+    assert time.monotonic() - began < 15
+
+
+def test_alike_counts_sets_and_blank_lines_are_told_without_a_pattern(spark):
+    pairs = [([1, 2, 3, 4, 4, 4], [1, 2, 3, 4, 5]), ([1, 2, 3, 4, 5, 5], [1, 2, 3, 4, 6]), ([1], [2, 2]), ([7, 7, 7], [7]), ([1, 2, 3, 4], [1, 2, 3, 4, 5, 6])]
+    got = spark.createDataFrame(pairs, "s array<long>, t array<long>").select(line_dedup.alike(F.col("s"), F.col("t"), 0.8).alias("x")).collect()
+    assert [r.x for r in got] == [len(set(s) & set(t)) >= 0.8 * len(set(s) | set(t)) for s, t in pairs]
+    lines = line_dedup.numbered_lines(docs_of(spark, [" \t\x0b\f\r\n\u00a0\n\n a \n\x1c"]))
+    assert sorted((r.line_no, r.line) for r in lines.collect()) == [(1, "\u00a0"), (3, " a "), (4, "\x1c")]
+    assert "rlike" not in lines._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 # -- 2 simhash --------------------------------------------------------------------------------------------------
 
 
