@@ -4,7 +4,8 @@ Neither holds a matrix or all rows anywhere. Nodes are dealt to parts of a fixed
 size; a sparse matrix is a table of packed blocks, one for two parts that share
 an edge, and some vectors are a table with a packed row a part. A sparse product
 is a join of blocks and parts and a sum by part. What reaches the driver is as
-wide as the basis, not as long as the table: inner products and centres.
+wide as the basis, not as long as the table: inner products and centres. A graph
+that one part holds is solved in that part's task.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .vectors import CONGRUENTIAL, NEAR_ZERO, laplacian_degrees, speakers_of, sy
 
 #: Products of the filter, blocks of the basis, restarts, and the residual to reach as a part of the spectrum's bound; an eigenvalue's error is about its square.
 DEGREE, BLOCKS, RESTARTS, TOLERANCE = 8, 5, 30, 1e-6
-#: Nodes of a part, about.
-PART_NODES = 1 << 16
+#: Nodes of a part, about; entries of a one-part matrix that its task solves whole.
+PART_NODES, WHOLE_ENTRIES = 1 << 16, 1 << 23
 KMEANS_ROUNDS = 30
 
 
@@ -37,13 +38,14 @@ class Spectrum(NamedTuple):
 
 
 class Blocked(NamedTuple):
-    """A symmetric matrix in blocks(i, j, rows, cols, w), packed, over nodes that place(node, part, at) numbers in so many parts; its size and largest diagonal entry."""
+    """A symmetric matrix in blocks(i, j, rows, cols, w), packed, over nodes that place(node, part, at) numbers in so many parts; its size, largest diagonal entry and number of entries."""
 
     blocks: DataFrame
     place: DataFrame
     parts: int
     n: int
     most: float
+    entries: int
 
 
 def laplacian(edges: DataFrame) -> DataFrame:
@@ -58,7 +60,8 @@ def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
     """entries(src, dst, w), each diagonal one among them, dealt to parts of about ``part_nodes`` nodes by hash."""
     entries = materialized(entries)
     diagonal = entries.where("src = dst")
-    n, most = diagonal.agg(F.count(F.lit(1)), F.max("w")).first()
+    loop = F.col("src") == F.col("dst")
+    n, most, size = entries.agg(F.count_if(loop), F.max(F.when(loop, F.col("w"))), F.count(F.lit(1))).first()
     parts = -(-n // part_nodes) or 1
     part = F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int")
     at = F.row_number().over(W.partitionBy("part").orderBy("src")) - 1
@@ -72,7 +75,7 @@ def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
 
     side = lambda node, p, a: place.select(F.col("node").alias(node), F.col("part").alias(p), F.col("at").alias(a))
     entries = entries.join(side("src", "i", "r"), "src").join(side("dst", "j", "c"), "dst").select("i", "j", "r", "c", "w")
-    return Blocked(materialized(entries.groupBy("i", "j").applyInArrow(pack, "i int, j int, rows binary, cols binary, w binary")), place, parts, n, most or 0.0)
+    return Blocked(materialized(entries.groupBy("i", "j").applyInArrow(pack, "i int, j int, rows binary, cols binary, w binary")), place, parts, n, most or 0.0, size)
 
 
 def matrix_of(data: pa.Scalar, width: int) -> np.ndarray:
@@ -176,39 +179,100 @@ def changed(df: DataFrame, of: Callable[..., dict[str, np.ndarray]], widths: dic
     return df.select("part", *columns).mapInArrow(run, "part int, " + ", ".join(f"{n} binary" for n in names))
 
 
-def smallest_eigenpairs(edges: DataFrame, k: int, degree: int = DEGREE, blocks: int = BLOCKS, restarts: int = RESTARTS, tolerance: float = TOLERANCE, part_nodes: int = PART_NODES) -> Spectrum:
-    """The k smallest eigenvalues of the Laplacian of edges(src, dst, w), which is symmetrised, and their vectors.
+class Spread:
+    """Vectors of a run as a table with a packed row a part: state(part, q, x), of a basis and the block that is to join it."""
 
-    Block Lanczos on a polynomial of the Laplacian that favours its low end, with
-    full reorthogonalisation (twice) and restarts from the best vectors. A block
-    finds eigenvalues that repeat, as of unconnected parts. A step is one
-    checkpoint of the basis and two passes of inner products. Fewer nodes than
-    k: as many as there are; no edges: none.
-    """
-    m = blocked(laplacian(edges), part_nodes)
-    kind = edges.schema["src"].dataType.simpleString()
-    if not m.n:
-        return Spectrum(np.zeros(0), edges.sparkSession.createDataFrame([], f"node {kind}, v array<double>"), 0.0)
-    k, width = min(k, m.n), min(k + 4, m.n)
-    high = 2 * max(m.most, 1e-300)
-    low = high / 8
+    def __init__(self, m: Blocked) -> None:
+        self.m = m
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield packed(part=[part], x=[np.random.default_rng(part).uniform(-1, 1, (rows, width)).tobytes()])
+    def start(self, width: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    yield packed(part=[part], x=[np.random.default_rng(part).uniform(-1, 1, (rows, width)).tobytes()])
+
+        return self.m.place.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).mapInArrow(run, "part int, x binary")
+
+    def state(self, block: DataFrame) -> DataFrame:
+        return materialized(block.select("part", F.lit(b"").alias("q"), "x"))
+
+    def filtered(self, state: DataFrame, width: int, low: float, high: float, degree: int) -> DataFrame:
+        image = filtered(self.m, state.select("part", "x"), width, low, high, degree)
+        return materialized(state.select("part", "q").join(image, "part"))
+
+    def image(self, state: DataFrame, size: int) -> DataFrame:
+        """x is the matrix times q."""
+        return materialized(step_of(self.m, state.select("part", F.col("q").alias("cur"), F.col("q").alias("prev")), size).select("part", F.col("cur").alias("x"), F.col("prev").alias("q")))
+
+    def products(self, state: DataFrame, widths: tuple[int, int], less: np.ndarray | None = None) -> np.ndarray:
+        return products(state, widths, less)
+
+    def squared(self, state: DataFrame, size: int) -> np.ndarray:
+        return products(state.select("q", F.col("q").alias("x")), (0, size))
+
+    def changed(self, state: DataFrame, of: Callable[..., dict[str, np.ndarray]], widths: dict[str, int], names: Sequence[str]) -> DataFrame:
+        return changed(state, of, widths, names)
+
+    def kept(self, block: DataFrame) -> DataFrame:
+        return materialized(block)
+
+
+class Whole:
+    """The same over a matrix of one part in its task: a state has the matrices q and x."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, w: np.ndarray, n: int) -> None:
+        self.rows, self.cols, self.w, self.n = rows.astype(np.intp), cols.astype(np.intp), w, n
+
+    def times(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.rows, w * v[self.cols], self.n) for v in np.ascontiguousarray(x.T)], 1)
+
+    def start(self, width: int) -> dict[str, np.ndarray]:
+        return {"x": np.random.default_rng(0).uniform(-1, 1, (self.n, width))}
 
-    block = m.place.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).mapInArrow(start, "part int, x binary")
+    def state(self, block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return block | {"q": np.zeros((self.n, 0))}
+
+    def filtered(self, state: dict[str, np.ndarray], width: int, low: float, high: float, degree: int) -> dict[str, np.ndarray]:
+        middle, half = (high + low) / 2, (high - low) / 2
+        w = (self.w - middle * (self.rows == self.cols)) / half
+        cur = prev = state["x"]
+        for k in range(degree):
+            total = self.times(cur, w)
+            cur, prev = 2 * total - prev if k else total, cur
+        return state | {"x": cur}
+
+    def image(self, state: dict[str, np.ndarray], size: int) -> dict[str, np.ndarray]:
+        return state | {"x": self.times(state["q"], self.w)}
+
+    def products(self, state: dict[str, np.ndarray], widths: tuple[int, int], less: np.ndarray | None = None) -> np.ndarray:
+        q, x = state["q"][:, : widths[0]], state["x"]
+        x = x if less is None else x - q @ less
+        return np.concatenate([q, x], 1).T @ x
+
+    def squared(self, state: dict[str, np.ndarray], size: int) -> np.ndarray:
+        return state["q"].T @ state["q"]
+
+    def changed(self, state: dict[str, np.ndarray], of: Callable[..., dict[str, np.ndarray]], widths: dict[str, int], names: Sequence[str]) -> dict[str, np.ndarray]:
+        new = of(**{c: state[c] for c in widths})
+        return {n: new[n] for n in names}
+
+    def kept(self, block: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return block
+
+
+def lanczos(space: Spread | Whole, n: int, k: int, width: int, high: float, degree: int, blocks: int, restarts: int, tolerance: float) -> tuple[np.ndarray, DataFrame | dict[str, np.ndarray], float]:
+    """The smallest eigenvalues of a matrix of n rows, rising, the block of their vectors, and the largest residual norm of the first k."""
+    low = high / 8
+    block = space.start(width)
     for _ in range(restarts):
         size, fresh = 0, width  # columns of the basis, and of the block that is to join it
-        state = materialized(block.select("part", F.lit(b"").alias("q"), "x"))
+        state = space.state(block)
         for step in range(blocks):
             if step:
-                image = filtered(m, state.select("part", "x"), fresh, low, high, degree)
-                state = materialized(state.select("part", "q").join(image, "part"))
-            g = products(state, (size, fresh))
+                state = space.filtered(state, fresh, low, high, degree)
+            g = space.products(state, (size, fresh))
             less = g[:size]
-            g = products(state, (size, fresh), less)
+            g = space.products(state, (size, fresh), less)
             less, rest = less + g[:size], g[size:] - g[:size].T @ g[:size]
             scale, turn = np.linalg.eigh((rest + rest.T) / 2)
             kept = scale > max(scale.max(), 1e-300) * 1e-20 if step == 0 else scale > 1e-24
@@ -220,24 +284,58 @@ def smallest_eigenpairs(edges: DataFrame, k: int, degree: int = DEGREE, blocks:
                 new = (x - q @ less) @ turn
                 return {"q": np.concatenate([q, new], 1), "x": new}
 
-            state = changed(state, joined, {"x": fresh, "q": size}, ["q", "x"])
+            state = space.changed(state, joined, {"x": fresh, "q": size}, ["q", "x"])
             size, fresh = size + int(kept.sum()), int(kept.sum())
-            if size + width > m.n:
+            if size + width > n:
                 break
-        # the best vectors of the basis, by the Laplacian itself; of vectors that are unit up to rounding
-        image = materialized(step_of(m, state.select("part", F.col("q").alias("cur"), F.col("q").alias("prev")), size).select("part", F.col("cur").alias("x"), F.col("prev").alias("q")))
-        h = products(image, (size, size))[:size]
-        g = products(image.select("q", F.col("q").alias("x")), (0, size))
+        # the best vectors of the basis, by the matrix itself; of vectors that are unit up to rounding
+        image = space.image(state, size)
+        h = space.products(image, (size, size))[:size]
+        g = space.squared(image, size)
         root = np.linalg.inv(np.linalg.cholesky((g + g.T) / 2)).T
         values, turn = np.linalg.eigh(root.T @ ((h + h.T) / 2) @ root)
         best = min(width, size)
         turn = (root @ turn)[:, :best]
-        off = products(changed(image, lambda x, q: {"q": q[:, :0], "x": x @ turn - q @ turn * values[:best]}, {"x": size, "q": size}, ["q", "x"]), (0, best))  # noqa: B023  used at once
-        block = materialized(changed(image, lambda q: {"x": q @ turn}, {"q": size}, ["x"]))  # noqa: B023
+        off = space.products(space.changed(image, lambda x, q: {"q": q[:, :0], "x": x @ turn - q @ turn * values[:best]}, {"x": size, "q": size}, ["q", "x"]), (0, best))  # noqa: B023  used at once
+        block = space.kept(space.changed(image, lambda q: {"x": q @ turn}, {"q": size}, ["x"]))  # noqa: B023
         residual = float(np.sqrt(np.diag(off)[:k].clip(0)).max())
-        if residual <= tolerance * high or best == m.n:
+        if residual <= tolerance * high or best == n:
             break
         low = min(max(float(values[best - 1]), high * 1e-6), high / 2)
+    return values[:best], block, residual
+
+
+def smallest_eigenpairs(edges: DataFrame, k: int, degree: int = DEGREE, blocks: int = BLOCKS, restarts: int = RESTARTS, tolerance: float = TOLERANCE, part_nodes: int = PART_NODES) -> Spectrum:
+    """The k smallest eigenvalues of the Laplacian of edges(src, dst, w), which is symmetrised, and their vectors.
+
+    Block Lanczos on a polynomial of the Laplacian that favours its low end, with
+    full reorthogonalisation (twice) and restarts from the best vectors. A block
+    finds eigenvalues that repeat, as of unconnected parts. A graph of one part
+    and bounded entries is one task's work, so that the driver starts no job a
+    step; of a larger one a step is a checkpoint of the basis and two passes of
+    inner products. Fewer nodes than k: as many as there are; no edges: none.
+    """
+    m = blocked(laplacian(materialized(edges)), part_nodes)
+    kind = edges.schema["src"].dataType.simpleString()
+    if not m.n:
+        return Spectrum(np.zeros(0), edges.sparkSession.createDataFrame([], f"node {kind}, v array<double>"), 0.0)
+    n, k, width, high = m.n, min(k, m.n), min(k + 4, m.n), 2 * max(m.most, 1e-300)
+    if m.parts == 1 and m.entries <= WHOLE_ENTRIES:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part, rows, cols, w in zip(*b.columns, strict=True):
+                    r, c = (np.frombuffer(v.as_py(), np.uint32) for v in (rows, cols))
+                    values, block, residual = lanczos(Whole(r, c, np.frombuffer(w.as_py()), n), n, k, width, high, degree, blocks, restarts, tolerance)
+                    x = pa.array([np.ascontiguousarray(block["x"]).tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), x, pa.array([values], pa.list_(pa.float64())), pa.array([residual])], names=["part", "x", "values", "residual"])
+
+        block = materialized(m.blocks.select("i", "rows", "cols", "w").mapInArrow(run, "part int, x binary, values array<double>, residual double"))
+        found = block.select("values", "residual").first()
+        values, residual, block = np.array(found["values"]), found.residual, block.select("part", "x")
+    else:
+        values, block, residual = lanczos(Spread(m), n, k, width, high, degree, blocks, restarts, tolerance)
+    best = len(values)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

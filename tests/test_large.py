@@ -141,3 +141,20 @@ def test_aligned_batches_equal_a_plain_fold(spark):
         known[at:at + 1] = [((known[at][0] * known[at][1] + np.array(v)) / (known[at][1] + 1), known[at][1] + 1)] if at < len(known) else [(np.array(v), 1)]
         want[b, j] = at
     assert got == want and len(set(want.values())) > 3
+
+
+def test_a_graph_of_one_part_takes_few_jobs(spark, monkeypatch):
+    """One task solves it: the driver starts no job a step. Beyond the bounds, steps over the table give the same."""
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame([(i, int(j), float(rng.uniform(0.2, 1))) for i in range(400) for j in {(i + 1) % 400, *rng.integers(0, 400, 3)}], "src long, dst long, w double")
+    last_job = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=0)
+    before = last_job()
+    one = spectra.smallest_eigenpairs(edges, 4)
+    between = last_job()
+    assert between - before <= 30
+    monkeypatch.setattr(spectra, "WHOLE_ENTRIES", 100)
+    many = spectra.smallest_eigenpairs(edges, 4)
+    assert last_job() - between > 30
+    assert one.residual < 1e-4 and np.allclose(one.values, many.values, atol=1e-9)
+    a, b = (np.array([r.v for r in x.vectors.orderBy("node").collect()]) for x in (one, many))
+    assert a.shape == (400, 4) and np.allclose(abs((a * b).sum(0)), 1, atol=1e-6)
