@@ -158,3 +158,40 @@ def test_a_graph_of_one_part_takes_few_jobs(spark, monkeypatch):
     assert one.residual < 1e-4 and np.allclose(one.values, many.values, atol=1e-9)
     a, b = (np.array([r.v for r in x.vectors.orderBy("node").collect()]) for x in (one, many))
     assert a.shape == (400, 4) and np.allclose(abs((a * b).sum(0)), 1, atol=1e-6)
+
+
+def test_edges_over_all_rows_equal_brute_force(spark, monkeypatch):
+    """Over several parts, tasks, strips and groups; with ties, copies, a vector of length 0 and null ones."""
+    rng = np.random.default_rng(4)
+    x = [v.tolist() for v in rng.integers(-2, 3, (700, 4)).astype(float)]
+    x[100:160], x[5], x[300], x[301] = [[1.0, 2.0, 0.0, 1.0]] * 60, [0.0] * 4, None, None
+    df = spark.createDataFrame([(i * 3, x[i]) for i in rng.permutation(700).tolist()], "id long, v array<float>").repartition(5)
+    unit = np.array([[0.0] * 4 if v is None else v for v in x])
+    with np.errstate(invalid="ignore"):
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    c = np.round(unit @ unit.T, 12)
+    none = np.array([v is None for v in x])
+    key = np.where(none[:, None] | none, -9, np.where(np.isnan(c), 9, c))
+    best = np.lexsort((np.broadcast_to(np.arange(700), c.shape), -key), axis=1)[:, :6]
+    want = sorted((i * 3, int(j) * 3, str(None if none[i] or none[j] else c[i, j] + 0.0)) for i in range(700) for j in best[i])
+    for held, groups, columns, strip in ((1 << 16, 256, 2048, 256), (150, 8, 30, 7), (64, 100, 2048, 1000)):
+        for name, value in (("HELD_ROWS", held), ("GROUP", groups), ("TILE_COLUMNS", columns), ("STRIP", strip)):
+            monkeypatch.setattr(vectors, name, value)
+        assert sorted((r.src, r.dst, str(None if r.w is None else r.w + 0.0)) for r in vectors.nearest_edges(df, "id", "v", 6).collect()) == want
+    few = vectors.nearest_edges(df.where("id < 9"), "id", "v", 6).collect()
+    assert len(few) == 9 and vectors.nearest_edges(df.where("false"), "id", "v", 6).count() == 0
+
+
+def test_topp_graph_meets_partners_of_far_rows(spark, tmp_path):
+    """Rows 0 to 5 have their partners at the end of a table that is longer than a batch."""
+    n, rng = 4400, np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(n, 7)), np.zeros((n, 1))], 1)
+    x[n - 6 :] = x[:6] = np.eye(8)[7] * 5 + rng.normal(0, 0.1, (6, 8))
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in QUERIES["topp_graph"](spark, str(tmp_path)).collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    best = vectors.largest(np.round(x @ x.T, 12), 6)
+    assert all(got[0] & {k} for k in (0, n - 6)) and got == {i: set(b) for i, b in enumerate(best.tolist())}
