@@ -2,8 +2,8 @@
 
 Neither holds a matrix or all rows anywhere. Nodes are dealt to parts of a fixed
 size; a sparse matrix is a table of packed blocks, one for two parts that share
-an edge, and some vectors are a table with a packed row a part. A sparse product
-is a join of blocks and parts and a sum by part. What reaches the driver is as
+an edge, and some vectors are a table with a packed row a part. In a sparse
+product blocks meet parts, and sums meet by part. What reaches the driver is as
 wide as the basis, not as long as the table: inner products and centres. A graph
 that one part holds is solved in that part's task.
 """
@@ -15,17 +15,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .catalog import positioned
 from .stages import materialized
 from .vectors import CONGRUENTIAL, NEAR_ZERO, laplacian_degrees, speakers_of, symmetrized
 
 #: Products of the filter, blocks of the basis, restarts, and the residual to reach as a part of the spectrum's bound; an eigenvalue's error is about its square.
-DEGREE, BLOCKS, RESTARTS, TOLERANCE = 8, 5, 30, 1e-6
-#: Nodes of a part, about; entries of a one-part matrix that its task solves whole.
-PART_NODES, WHOLE_ENTRIES = 1 << 16, 1 << 23
+DEGREE, BLOCKS, RESTARTS, TOLERANCE = 24, 5, 30, 1e-6
+#: Nodes that one part holds, of several each has half; entries of a one-part matrix that its task solves whole.
+PART_NODES, WHOLE_ENTRIES = 1 << 17, 1 << 23
 KMEANS_ROUNDS = 30
 
 
@@ -57,15 +57,14 @@ def laplacian(edges: DataFrame) -> DataFrame:
 
 
 def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
-    """entries(src, dst, w), each diagonal one among them, dealt to parts of about ``part_nodes`` nodes by hash."""
+    """entries(src, dst, w), each diagonal one among them, dealt to parts by order: nodes of near numbers share a part, and so may their edges."""
     entries = materialized(entries)
-    diagonal = entries.where("src = dst")
     loop = F.col("src") == F.col("dst")
     n, most, size = entries.agg(F.count_if(loop), F.max(F.when(loop, F.col("w"))), F.count(F.lit(1))).first()
-    parts = -(-n // part_nodes) or 1
-    part = F.pmod(F.xxhash64("src"), F.lit(parts)).cast("int")
-    at = F.row_number().over(W.partitionBy("part").orderBy("src")) - 1
-    place = materialized(diagonal.select("src", part.alias("part")).withColumn("at", at).select(F.col("src").alias("node"), "part", "at"))
+    share = part_nodes if n <= part_nodes else max(1, part_nodes // 2)
+    pos = F.col("pos") - 1
+    place = positioned(entries.where(loop).select(F.col("src").alias("node")), [F.col("node")])
+    place = materialized(place.select("node", F.floor(pos / share).cast("int").alias("part"), (pos % share).cast("int").alias("at")))
 
     def pack(rows: pa.Table) -> pa.Table:
         r, c, w = (rows.column(k).to_numpy() for k in ("r", "c", "w"))
@@ -75,7 +74,7 @@ def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
 
     side = lambda node, p, a: place.select(F.col("node").alias(node), F.col("part").alias(p), F.col("at").alias(a))
     entries = entries.join(side("src", "i", "r"), "src").join(side("dst", "j", "c"), "dst").select("i", "j", "r", "c", "w")
-    return Blocked(materialized(entries.groupBy("i", "j").applyInArrow(pack, "i int, j int, rows binary, cols binary, w binary")), place, parts, n, most or 0.0, size)
+    return Blocked(materialized(entries.groupBy("i", "j").applyInArrow(pack, "i int, j int, rows binary, cols binary, w binary")), place, -(-n // share) or 1, n, most or 0.0, size)
 
 
 def matrix_of(data: pa.Scalar, width: int) -> np.ndarray:
@@ -86,6 +85,13 @@ def packed(**columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("part", "i") else pa.binary()) for k, v in columns.items()], names=list(columns))
 
 
+def multiplied(r: np.ndarray, c: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a block, sorted by rows, that have entries, and what it gives there times x; a column at a time."""
+    new = np.append(True, r[1:] != r[:-1])
+    rows, at, c = r[new], np.cumsum(new) - 1, c.astype(np.intp)
+    return rows, np.stack([np.bincount(at, w * v[c], len(rows)) for v in np.ascontiguousarray(x.T)], 1)
+
+
 def step_of(m: Blocked, state: DataFrame, width: int, scale: float = 1.0, shift: float = 0.0, less: float = 0.0) -> DataFrame:
     """state(part, cur, prev) -> (part, cur, prev): scale * (matrix - shift) times cur less ``less`` times prev, and the cur before.
 
@@ -98,9 +104,8 @@ def step_of(m: Blocked, state: DataFrame, width: int, scale: float = 1.0, shift:
                 i, j = i.as_py(), j.as_py()
                 r, c = (np.frombuffer(x.as_py(), np.uint32) for x in (rows, cols))
                 w = (np.frombuffer(w.as_py(), np.float64) - shift * ((i == j) & (r == c))) * scale
-                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                sums = np.add.reduceat(w[:, None] * matrix_of(cur, width)[c], first, axis=0)
-                yield packed(i=[i], rows=[r[first].tobytes()], sums=[sums.tobytes()], cur=[cur.as_py() if i == j else None], prev=[prev.as_py() if i == j else None])
+                rows, sums = multiplied(r, c, w, matrix_of(cur, width))
+                yield packed(i=[i], rows=[rows.tobytes()], sums=[sums.tobytes()], cur=[cur.as_py() if i == j else None], prev=[prev.as_py() if i == j else None])
 
     def merge(rows: pa.Table) -> pa.Table:
         own = next(k for k, x in enumerate(rows.column("cur")) if x.is_valid)
@@ -117,9 +122,9 @@ def step_of(m: Blocked, state: DataFrame, width: int, scale: float = 1.0, shift:
 def filtered(m: Blocked, block: DataFrame, width: int, low: float, high: float, degree: int) -> DataFrame:
     """A Chebyshev polynomial of the matrix times block(part, x): at most 1 on [low, high], growing fast below.
 
-    Plans stay small, whatever the degree, for the driver keeps those of past
-    steps: each product is written, and a matrix of one part, whose products need
-    no other part, is multiplied on in its task.
+    One job, whatever the degree, of a shuffle a product: a task holds a part's
+    blocks by columns, and what they give meets at the part of their rows. A
+    matrix of one part needs no other and is multiplied on in its task.
     """
     middle, half = (high + low) / 2, (high - low) / 2
     if m.parts == 1:
@@ -129,20 +134,49 @@ def filtered(m: Blocked, block: DataFrame, width: int, low: float, high: float,
                 for part, rows, cols, w, x in zip(*b.columns, strict=True):
                     r, c = (np.frombuffer(v.as_py(), np.uint32) for v in (rows, cols))
                     w = (np.frombuffer(w.as_py(), np.float64) - middle * (r == c)) / half
-                    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                     cur = prev = matrix_of(x, width)
                     for k in range(degree):
                         total = np.zeros_like(cur)
-                        total[r[first]] = np.add.reduceat(w[:, None] * cur[c], first, axis=0)
+                        at, sums = multiplied(r, c, w, cur)
+                        total[at] = sums
                         cur, prev = 2 * total - prev if k else total, cur
                     yield packed(part=[part.as_py()], x=[np.ascontiguousarray(cur).tobytes()])
 
         met = m.blocks.join(block.select(F.col("part").alias("j"), "x"), "j")
         return met.select(F.col("i").alias("part"), "rows", "cols", "w", "x").mapInArrow(run, "part int, x binary")
-    state = block.select("part", F.col("x").alias("cur"), F.col("x").alias("prev"))
+    parts = m.parts
+
+    def unpacked(r: Row) -> tuple:
+        i, j, (rows, cols) = r.i, r.j, (np.frombuffer(v, np.uint32) for v in (r.rows, r.cols))
+        return j, (i, rows, cols, (np.frombuffer(r.w, np.float64) - middle * ((i == j) & (rows == cols))) / half)
+
+    def first(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, x in rows:
+            yield x, np.zeros_like(x)
+
+    def partial(met: tuple, scale: int) -> Iterator[tuple]:
+        blocks, (cur, prev) = met
+        for j, (i, rows, cols, w) in blocks:
+            at, sums = multiplied(rows, cols, w, cur)
+            sums *= scale
+            yield i, (at, sums, (cur, prev) if i == j else None)
+
+    def merged(rows: Iterator[tuple], goes_on: bool) -> Iterator[tuple]:
+        rows = [x for _, x in rows]
+        cur, prev = next(own for _, _, own in rows if own)
+        total = -prev if goes_on else np.zeros_like(cur)
+        for at, sums, _ in rows:
+            total[at] += sums
+        yield total, cur
+
+    # an element a partition on either side: the part's blocks, and its rows of the vectors
+    blocks = m.blocks.rdd.map(unpacked).partitionBy(parts, int).mapPartitions(lambda rows: [list(rows)])
+    state = block.select("part", "x").rdd.map(lambda r: (r.part, np.frombuffer(r.x, np.float64).reshape(-1, width))).partitionBy(parts, int).mapPartitions(first)
     for k in range(degree):
-        state = materialized(step_of(m, state, width, (2 if k else 1) / half, middle, 1.0 if k else 0.0))
-    return state.select("part", F.col("cur").alias("x"))
+        sums = blocks.zip(state).flatMap(lambda met, scale=2 if k else 1: partial(met, scale))
+        state = sums.partitionBy(parts, int).mapPartitions(lambda rows, goes_on=k > 0: merged(rows, goes_on))
+    out = state.mapPartitionsWithIndex(lambda part, rows: ((part, bytearray(np.ascontiguousarray(x).tobytes())) for x, _ in rows))
+    return block.sparkSession.createDataFrame(out, "part int, x binary", verifySchema=False)
 
 
 def products(df: DataFrame, widths: tuple[int, int], less: np.ndarray | None = None) -> np.ndarray:
