@@ -24,8 +24,8 @@ from .vectors import CONGRUENTIAL, NEAR_ZERO, laplacian_degrees, speakers_of, sy
 
 #: Products of the filter, blocks of the basis, restarts, and the residual to reach as a part of the spectrum's bound; an eigenvalue's error is about its square.
 DEGREE, BLOCKS, RESTARTS, TOLERANCE = 24, 5, 30, 1e-6
-#: Nodes that one part holds, of several each has half; entries of a one-part matrix that its task solves whole.
-PART_NODES, WHOLE_ENTRIES = 1 << 17, 1 << 23
+#: Nodes of a part; nodes that stay in one part, and entries of it that its task solves whole.
+PART_NODES, WHOLE_NODES, WHOLE_ENTRIES = 1 << 14, 1 << 17, 1 << 23
 KMEANS_ROUNDS = 30
 
 
@@ -56,12 +56,12 @@ def laplacian(edges: DataFrame) -> DataFrame:
     return off.unionByName(degrees)
 
 
-def blocked(entries: DataFrame, part_nodes: int) -> Blocked:
-    """entries(src, dst, w), each diagonal one among them, dealt to parts by order: nodes of near numbers share a part, and so may their edges."""
+def blocked(entries: DataFrame, part_nodes: int | None) -> Blocked:
+    """entries(src, dst, w), each diagonal one among them, dealt to parts by order: nodes of near numbers share a part, and so may their edges. part_nodes: None for one part of up to WHOLE_NODES, or parts of PART_NODES."""
     entries = materialized(entries)
     loop = F.col("src") == F.col("dst")
     n, most, size = entries.agg(F.count_if(loop), F.max(F.when(loop, F.col("w"))), F.count(F.lit(1))).first()
-    share = part_nodes if n <= part_nodes else max(1, part_nodes // 2)
+    share = part_nodes or (WHOLE_NODES if n <= WHOLE_NODES else PART_NODES)
     pos = F.col("pos") - 1
     place = positioned(entries.where(loop).select(F.col("src").alias("node")), [F.col("node")])
     place = materialized(place.select("node", F.floor(pos / share).cast("int").alias("part"), (pos % share).cast("int").alias("at")))
@@ -339,7 +339,7 @@ def lanczos(space: Spread | Whole, n: int, k: int, width: int, high: float, degr
     return values[:best], block, residual
 
 
-def smallest_eigenpairs(edges: DataFrame, k: int, degree: int = DEGREE, blocks: int = BLOCKS, restarts: int = RESTARTS, tolerance: float = TOLERANCE, part_nodes: int = PART_NODES) -> Spectrum:
+def smallest_eigenpairs(edges: DataFrame, k: int, degree: int = DEGREE, blocks: int = BLOCKS, restarts: int = RESTARTS, tolerance: float = TOLERANCE, part_nodes: int | None = None) -> Spectrum:
     """The k smallest eigenvalues of the Laplacian of edges(src, dst, w), which is symmetrised, and their vectors.
 
     Block Lanczos on a polynomial of the Laplacian that favours its low end, with

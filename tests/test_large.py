@@ -200,7 +200,7 @@ def test_topp_graph_meets_partners_of_far_rows(spark, tmp_path):
 def test_jobs_of_a_filter_do_not_grow_with_the_degree(spark):
     """Over several parts, of nodes in order: the products of a filter are one job's."""
     edges = spark.createDataFrame([(i, (i + s) % 60, 1.0 + i % 3) for i in range(60) for s in (1, 2)], "src long, dst long, w double")
-    m = spectra.blocked(spectra.laplacian(edges), 20)
+    m = spectra.blocked(spectra.laplacian(edges), 10)
     place = sorted((r.part, r.at, r.node) for r in m.place.collect())
     assert m.parts == 6 and [p[2] for p in place] == list(range(60)) and m.blocks.count() == 18  # a part meets itself and those beside it
     x = spark.createDataFrame([(p, np.arange(p * 10.0, p * 10 + 10)[:, None].tobytes()) for p in range(6)], "part int, x binary")
